@@ -454,7 +454,215 @@ class Model:
                 (pool % COMPANIES).alias("company_id"),
                 pool.alias("bank_account_id"),
                 F.date_add(F.col("o_orderdate").cast("date"), (key % 9).cast("int")).alias("posted_at"),
-                (F.when(key % 4 >= 2, -1000).otherwise(1000) * (1 + key % 3)).cast("bigint").alias("amount"),
+                (
+                    F.when(key % 4 >= 2, -1000).otherwise(1000) * (1 + key % 3)
+                    + F.when(key % 10 == 3, 7).otherwise(0)
+                )
+                .cast("bigint")
+                .alias("amount"),
                 F.when(key % 12 == 0, F.concat(text, F.lit(" nr "), key)).otherwise(text).alias("memo"),
             )
         )
+
+    # Files. Each holds a bounded run of consecutive keys, so building one never gathers more
+    # than that many rows.
+
+    def _file_lines(self, size: int) -> DataFrame:
+        key, account = F.col("o_orderkey"), F.col("o_custkey")
+        price = from_decimal(F.col("o_totalprice"))
+        return self.raw("orders").select(
+            ((key - key % size) / size).cast("bigint").alias("no"),
+            key.alias("key"),
+            account.alias("account"),
+            F.col("o_orderdate").cast("date").alias("day"),
+            F.when(key % 4 >= 2, -price).otherwise(price).alias("cents"),
+            F.concat(pick(key, MEMO_WORDS), F.lit(" & "), F.lower("o_orderpriority")).alias("memo"),
+            F.concat(
+                F.lit("Cliente "),
+                account.cast("string"),
+                F.when(key % 8 == 0, " 12.345.678/0001-90").otherwise(""),
+            ).alias("name"),
+        )
+
+    @cached_property
+    def ofx_files(self) -> DataFrame:
+        """(file, content): SGML in windows-1252 and XML in UTF-8, with some broken entries."""
+        from razao.functions.money import to_db
+
+        key = F.col("key")
+        xml = F.col("no") % 2 == 1
+        escaped = F.replace(F.col("memo"), F.lit("&"), F.lit("&amp;"))
+        amount = F.when(key % 6 == 1, F.translate(to_db(F.col("cents")), ".", ",")).otherwise(
+            to_db(F.col("cents"))
+        )
+        posted = F.when(key % 97 == 5, "20250230").otherwise(
+            F.concat(F.date_format("day", "yyyyMMdd"), F.lit("120000[-3:BRT]"))
+        )
+
+        def leaf(tag: str, value: Column) -> Column:
+            return F.concat(
+                F.lit(f"<{tag}>"), value, F.when(xml, f"</{tag}>").otherwise(""), F.lit("\r\n")
+            )
+
+        entry = F.concat(
+            F.lit("<STMTTRN>\r\n"),
+            leaf("TRNTYPE", F.lit("OTHER")),
+            leaf("DTPOSTED", posted),
+            F.when(key % 89 == 7, "").otherwise(leaf("TRNAMT", amount)),
+            F.when(key % 9 == 0, "").otherwise(leaf("FITID", F.concat(F.lit("F"), key.cast("string")))),
+            leaf("NAME", F.when(key % 15 == 2, escaped).otherwise(F.col("name"))),
+            leaf("MEMO", escaped),
+            F.lit("</STMTTRN>\r\n"),
+        )
+        files = self._file_lines(50).groupBy("no").agg(
+            F.array_join(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("key", entry.alias("e")))), lambda r: r["e"]
+                ),
+                "",
+            ).alias("entries"),
+            F.min("day").alias("first"),
+            F.last_day(F.max("day")).alias("last"),
+            F.max("day").alias("newest"),
+            F.sum("cents").alias("total"),
+        )
+        stamp = lambda d: F.date_format(d, "yyyyMMdd")
+        made = F.when(F.col("no") % 3 == 0, F.date_sub("last", 1)).otherwise(F.date_add("last", 5))
+        head = F.when(xml, '<?xml version="1.0" encoding="UTF-8"?>\r\n<?OFX OFXHEADER="200"?>\r\n').otherwise(
+            "OFXHEADER:100\r\nDATA:OFXSGML\r\nENCODING:USASCII\r\nCHARSET:1252\r\n\r\n"
+        )
+        text = F.concat(
+            head,
+            F.lit("<OFX>\r\n<SIGNONMSGSRSV1>\r\n<SONRS>\r\n<STATUS>\r\n"),
+            leaf("CODE", F.lit("0")),
+            F.lit("</STATUS>\r\n"),
+            leaf("DTSERVER", stamp(made)),
+            F.lit("</SONRS>\r\n</SIGNONMSGSRSV1>\r\n<STMTRS>\r\n<BANKACCTFROM>\r\n"),
+            leaf("BANKID", F.lit("341")),
+            leaf("ACCTID", F.concat(F.col("no").cast("string"), F.lit("-0"))),
+            F.lit("</BANKACCTFROM>\r\n<BANKTRANLIST>\r\n"),
+            leaf("DTSTART", stamp(F.col("first"))),
+            leaf("DTEND", stamp(F.col("last"))),
+            F.col("entries"),
+            F.lit("</BANKTRANLIST>\r\n<LEDGERBAL>\r\n"),
+            leaf("BALAMT", to_db(F.col("total"))),
+            leaf("DTASOF", stamp(F.col("last"))),
+            F.lit("</LEDGERBAL>\r\n</STMTRS>\r\n</OFX>\r\n"),
+        )
+        content = F.when(xml, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
+        return files.select(F.concat(F.lit("o"), F.col("no").cast("string")).alias("file"), content.alias("content"))
+
+    @cached_property
+    def csv_files(self) -> DataFrame:
+        """(file, content): signed amounts with preamble, or debit and credit columns."""
+        from razao.functions.money import format_amount, to_db
+
+        key, split = F.col("key"), F.col("no") % 3 == 1
+        quoted = F.concat(
+            F.lit('"'),
+            F.replace(F.col("memo"), F.lit(" & "), F.when(key % 25 == 6, '; \n""X"", ').otherwise('; ""X"", ')),
+            F.lit('"'),
+        )
+        memo = F.when(key % 10 == 4, quoted).when(key % 25 == 6, quoted).otherwise(F.col("memo"))
+        when = F.date_format("day", "dd/MM/yyyy")
+        plain = to_db(F.abs("cents"))
+        signed_row = F.concat_ws(
+            ";", when, memo, F.lpad(key.cast("string"), 6, F.lit("0")), format_amount(F.col("cents"))
+        )
+        split_row = F.concat_ws(
+            ",",
+            when,
+            memo,
+            F.when(F.col("cents") < 0, plain).otherwise(""),
+            F.when(F.col("cents") > 0, plain).otherwise(""),
+        )
+        row = F.when(split, split_row).otherwise(signed_row)
+        files = self._file_lines(50).groupBy("no").agg(
+            F.array_join(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("key", row.alias("r")))), lambda x: x["r"]
+                ),
+                "\r\n",
+            ).alias("rows")
+        )
+        head = F.when(split, "Data,Lançamento,Débito,Crédito\r\n").otherwise(
+            "\ufeffExtrato de Conta Corrente\r\nAgencia: 1234  Conta: 56789-0\r\n\r\n"
+            "Data;Histórico;Documento;Valor\r\n"
+        )
+        tail = F.when(split, "").otherwise("\r\nSALDO FINAL;;;10.600,10")
+        return files.select(
+            F.concat(F.lit("c"), F.col("no").cast("string")).alias("file"),
+            F.encode(F.concat(head, F.col("rows"), tail), "UTF-8").alias("content"),
+        )
+
+    @cached_property
+    def invoice_files(self) -> DataFrame:
+        """(file, company_id, content): municipal batches of ten and single national ones."""
+        from razao.functions.money import to_db
+
+        key = F.col("key")
+        lines = self._file_lines(10).withColumn("cents", F.abs("cents"))
+        issued = F.when(key % 23 == 5, "2025-02-30").otherwise(F.col("day").cast("string"))
+        document = F.lpad((F.col("account") * 7919 + 11).cast("string"), 14, F.lit("0"))
+        amount = to_db(F.col("cents"))
+        number = key.cast("string")
+        withheld = to_db(((F.col("cents") - F.col("cents") % 100) / 100).cast("bigint"))
+        client = F.concat(
+            F.lit("<Tomador><IdentificacaoTomador><CpfCnpj><Cnpj>"), document,
+            F.lit("</Cnpj></CpfCnpj></IdentificacaoTomador><RazaoSocial>Cliente &amp; "),
+            F.col("account").cast("string"), F.lit(" Ltda</RazaoSocial></Tomador>"),
+        )
+        municipal = F.concat(
+            F.lit("<CompNfse><Nfse versao=\"2.03\"><InfNfse><Numero>"), number,
+            F.lit("</Numero><CodigoVerificacao>AB12</CodigoVerificacao><DataEmissao>"), issued,
+            F.lit("T14:32:10</DataEmissao><ValoresNfse><ValorServicos>"), amount,
+            F.lit("</ValorServicos><ValorLiquidoNfse>1.00</ValorLiquidoNfse></ValoresNfse><ValorIr>"),
+            withheld,
+            F.lit("</ValorIr><ValorInss>0.10</ValorInss><Prestador><Cnpj>11222333000181</Cnpj>"
+                  "<RazaoSocial>Prestador Ltda</RazaoSocial></Prestador>"),
+            F.when(key % 19 == 4, "").otherwise(client),
+            F.lit("</InfNfse></Nfse></CompNfse>"),
+        )
+        batches = (
+            lines.where(F.col("no") % 2 == 0)
+            .groupBy("no")
+            .agg(
+                F.array_join(
+                    F.transform(
+                        F.array_sort(F.collect_list(F.struct("key", municipal.alias("x")))), lambda r: r["x"]
+                    ),
+                    "\n",
+                ).alias("body")
+            )
+            .select(
+                F.concat(F.lit("b"), F.col("no").cast("string")).alias("file"),
+                (F.col("no") % COMPANIES).alias("company_id"),
+                F.encode(
+                    F.concat(
+                        F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>\n<ConsultarNfseResposta>'
+                              '<ListaNfse>'),
+                        F.col("body"),
+                        F.lit("</ListaNfse></ConsultarNfseResposta>"),
+                    ),
+                    "ISO-8859-1",
+                ).alias("content"),
+            )
+        )
+        national = F.concat(
+            F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<NFSe xmlns="http://www.sped.fazenda.gov.br/nfse">'
+                  "<infNFSe><nNFSe>"), number,
+            F.lit("</nNFSe><DPS><infDPS><dhEmi>"), issued,
+            F.lit("T09:00:00-03:00</dhEmi><prest><CNPJ>11222333000181</CNPJ><xNome>Prestador</xNome></prest>"
+                  "<toma><CNPJ>"), document,
+            F.lit("</CNPJ><xNome>Cliente "), F.col("account").cast("string"),
+            F.lit("</xNome></toma><valores><vServPrest><vServ>"), amount,
+            F.lit("</vServ></vServPrest><trib><tribFed><vRetIRRF>"), withheld,
+            F.lit("</vRetIRRF></tribFed></trib></valores></infDPS></DPS></infNFSe>"),
+            F.when(key % 31 == 6, "").otherwise("</NFSe>"),
+        )
+        singles = lines.where(F.col("no") % 2 == 1).select(
+            F.concat(F.lit("n"), number).alias("file"),
+            (F.col("no") % COMPANIES).alias("company_id"),
+            F.encode(national, "UTF-8").alias("content"),
+        )
+        return batches.unionByName(singles)

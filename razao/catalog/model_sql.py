@@ -220,7 +220,7 @@ MODEL = {
                o_custkey // 15 AS bank_account_id,
                CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) AS posted_at,
                CASE WHEN o_orderkey % 4 >= 2 THEN -1000 ELSE 1000 END * (1 + o_orderkey % 3)
-                   AS amount,
+                   + CASE WHEN o_orderkey % 10 = 3 THEN 7 ELSE 0 END AS amount,
                {_pick("o_orderkey", WORDS)} || ' ' || lower(o_orderpriority)
                    || CASE WHEN o_orderkey % 12 = 0 THEN ' nr ' || o_orderkey ELSE '' END AS memo
         FROM orders WHERE o_orderkey % 7 <> 0""",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from razao.functions.money import trimmed
+from razao.functions.money import let, trimmed
 
 BUSINESS_ZONE = "America/Sao_Paulo"
 
@@ -33,23 +33,27 @@ def ofx_date(text: Column) -> Column:
 
 def csv_date(text: Column) -> Column:
     """ISO, or day/month/year with ``/ . -``; two-digit years split at 69/70."""
-    raw = trimmed(text)
-    iso = F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1)
     br = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})"
-    year = F.regexp_extract(raw, br, 3)
-    short = F.lpad(year, 2, "0")
-    full = (
-        F.when(F.length(year) == 4, year)
-        .when(F.coalesce(year.try_cast("int"), F.lit(0)) <= 69, F.concat(F.lit("20"), short))
-        .otherwise(F.concat(F.lit("19"), year))
-    )
-    joined = F.concat_ws(
-        "-",
-        full,
-        F.lpad(F.regexp_extract(raw, br, 2), 2, "0"),
-        F.lpad(F.regexp_extract(raw, br, 1), 2, "0"),
-    )
-    return F.when(iso != "", iso_date(iso)).when(raw.rlike(br), iso_date(joined))
+
+    def full_year(year: Column) -> Column:
+        return (
+            F.when(F.length(year) == 4, year)
+            .when(year.try_cast("int") <= 69, F.concat(F.lit("20"), F.lpad(year, 2, "0")))
+            .otherwise(F.concat(F.lit("19"), year))
+        )
+
+    def parts(raw: Column) -> Column:
+        joined = F.concat_ws(
+            "-",
+            let(F.regexp_extract(raw, br, 3), full_year),
+            F.lpad(F.regexp_extract(raw, br, 2), 2, "0"),
+            F.lpad(F.regexp_extract(raw, br, 1), 2, "0"),
+        )
+        return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(raw, 1, 10)).when(
+            raw.rlike(br), joined
+        )
+
+    return let(let(trimmed(text), parts), iso_date)
 
 
 def nfse_date(text: Column) -> Column:

@@ -6,6 +6,8 @@ warning or a reject row, so one bad value never fails a job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,17 +51,24 @@ def to_db(cents: Column) -> Column:
     )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _decimal_text(text: Column) -> Column:
     """``-12.345`` to cents; the third fraction digit decides the rounding."""
-    ok = text.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$")
-    digits = F.regexp_extract(text, r"^-?0*(\d*)", 1)
-    fraction = F.rpad(F.regexp_extract(text, r"\.(\d*)$", 1), 3, "0")
-    whole = F.when(digits == "", "0").otherwise(digits).try_cast("decimal(20,0)")
-    cents = whole * 100 + F.substring(fraction, 1, 2).try_cast("int") + F.when(
-        F.substring(fraction, 3, 1) >= "5", 1
-    ).otherwise(0)
-    signed = F.when(F.startswith(text, F.lit("-")), -cents).otherwise(cents)
-    return F.when(ok & (cents <= F.lit(MAX_CENTS)), signed.cast("bigint"))
+
+    def digits_to_cents(plain: Column) -> Column:
+        fraction = F.rpad(F.regexp_extract(plain, r"\.(\d*)$", 1), 3, "0")
+        whole = F.coalesce(F.regexp_extract(plain, r"^-?(\d+)", 1).try_cast("decimal(20,0)"), F.lit(0))
+        hundredths = F.substring(fraction, 1, 2).cast("int")
+        up = (F.substring(fraction, 3, 1) >= "5").cast("int")
+        sign = F.when(F.startswith(plain, F.lit("-")), -1).otherwise(1)
+        return F.when(F.length(plain) <= 40, sign * (whole * 100 + hundredths + up))
+
+    number = F.when(text.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$"), text)
+    return let(let(number, digits_to_cents), guarded).cast("bigint")
 
 
 def from_db(text: Column) -> Column:
@@ -73,23 +82,32 @@ def parse_user_amount(text: Column) -> Column:
     Comma is the decimal mark. A single dot with at most two digits after it is decimal;
     any other dot groups thousands. Parentheses and a leading minus negate.
     """
-    raw = trimmed(text)
-    wrapped = raw.rlike(r"^\(.*\)$")
-    body = F.when(wrapped, F.regexp_extract(raw, r"^\((.*)\)$", 1)).otherwise(raw)
-    body = F.regexp_replace(F.regexp_replace(body, r"(?i)R\$", ""), BLANKS, "")
-    minus = F.startswith(body, F.lit("-"))
-    digits = F.regexp_replace(body, r"^[-+]", "")
-    plain = (
-        F.when(
-            F.contains(digits, F.lit(",")),
-            F.regexp_replace(F.regexp_replace(digits, r"\.", ""), r"^([^,]*),", "$1."),
+
+    def value(body: Column) -> Column:
+        return F.regexp_replace(body, r"^[-+]", "")
+
+    def plain(digits: Column) -> Column:
+        return (
+            F.when(~digits.rlike(r"^[\d.,]+$"), F.lit(None))
+            .when(
+                F.contains(digits, F.lit(",")),
+                F.regexp_replace(F.regexp_replace(digits, r"\.", ""), r"^([^,]*),", "$1."),
+            )
+            .when(digits.rlike(r"^\d*\.\d{0,2}$"), digits)
+            .otherwise(F.regexp_replace(digits, r"\.", ""))
         )
-        .when(digits.rlike(r"^\d*\.\d{0,2}$"), digits)
-        .otherwise(F.regexp_replace(digits, r"\.", ""))
-    )
-    cents = _decimal_text(plain)
-    cents = F.when(wrapped != minus, -cents).otherwise(cents)
-    return F.when(digits.rlike(r"^[\d.,]+$"), cents)
+
+    def signed(raw: Column) -> Column:
+        wrapped = F.startswith(raw, F.lit("(")) & F.endswith(raw, F.lit(")"))
+        inner = F.when(wrapped, F.regexp_replace(raw, r"^\(|\)$", "")).otherwise(raw)
+        bare = F.regexp_replace(inner, r"(?i)R\$|" + BLANKS, "")
+        return let(
+            F.struct(bare.alias("text"), wrapped.alias("wrapped")),
+            lambda b: let(value(b["text"]), lambda digits: _decimal_text(plain(digits)))
+            * F.when(F.startswith(b["text"], F.lit("-")) != b["wrapped"], -1).otherwise(1),
+        )
+
+    return let(trimmed(text), signed)
 
 
 def parse_tolerant_amount(text: Column) -> Column:
@@ -97,22 +115,19 @@ def parse_tolerant_amount(text: Column) -> Column:
 
     A lone dot is always decimal here, unlike in :func:`parse_user_amount`.
     """
-    raw = F.regexp_replace(text, r"(?i)" + BLANKS + r"|R\$", "")
-    comma = F.length(raw) - F.length(F.regexp_replace(raw, r"^.*,", ""))
-    dot = F.length(raw) - F.length(F.regexp_replace(raw, r"^.*\.", ""))
-    first_comma_to_dot = F.regexp_replace(raw, r"^([^,]*),", "$1.")
-    plain = (
-        F.when(
-            (comma > 0) & (dot > 0),
-            F.when(
-                comma > dot,
-                F.regexp_replace(F.regexp_replace(raw, r"\.", ""), r"^([^,]*),", "$1."),
-            ).otherwise(F.regexp_replace(raw, ",", "")),
+
+    def plain(raw: Column) -> Column:
+        comma = F.length(raw) - F.instr(F.reverse(raw), ",")
+        dot = F.length(raw) - F.instr(F.reverse(raw), ".")
+        has_comma, has_dot = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
+        without_dots = F.when(has_dot, F.regexp_replace(raw, r"\.", "")).otherwise(raw)
+        decimal_comma = F.regexp_replace(without_dots, r"^([^,]*),", "$1.")
+        return F.when(has_comma & (~has_dot | (comma > dot)), decimal_comma).otherwise(
+            F.regexp_replace(raw, ",", "")
         )
-        .when(comma > 0, first_comma_to_dot)
-        .otherwise(raw)
-    )
-    return _decimal_text(F.regexp_replace(plain, r"^\+", ""))
+
+    raw = F.regexp_replace(text, r"(?i)" + BLANKS + r"|R\$", "")
+    return _decimal_text(F.regexp_replace(let(raw, plain), r"^\+", ""))
 
 
 def allocate(total: Column, parts: Column) -> Column:

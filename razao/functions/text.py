@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from razao.functions.money import trimmed
+from razao.functions.money import let, trimmed
 
 
 def _accent_table() -> tuple[str, str]:
@@ -87,8 +87,7 @@ def only_digits(text: Column) -> Column:
 
 def extract_tax_id(text: Column) -> Column:
     """Digits of the first punctuated CNPJ or CPF in the text, or null."""
-    found = only_digits(F.regexp_extract(text, TAX_ID_PATTERN, 1))
-    return F.when(found != "", found)
+    return F.nullif(only_digits(F.regexp_extract(text, TAX_ID_PATTERN, 1)), F.lit(""))
 
 
 def format_tax_id(digits: Column) -> Column:
@@ -111,8 +110,7 @@ def format_tax_id(digits: Column) -> Column:
 
 def normalize_tax_id(text: Column) -> Column:
     """Digits only, null when nothing is left."""
-    digits = only_digits(text)
-    return F.when(digits != "", digits)
+    return F.nullif(only_digits(text), F.lit(""))
 
 
 def is_tax_id(digits: Column) -> Column:
@@ -134,27 +132,29 @@ def memo_join(*parts: Column) -> Column:
 
 def xml_entities(text: Column) -> Column:
     """Decode the five named entities and decimal references, the ampersand last."""
+    return F.when(F.contains(text, F.lit("&")), _decode_entities(text)).otherwise(text)
+
+
+def _decode_entities(text: Column) -> Column:
     out = text
     for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
         out = F.regexp_replace(out, f"(?i)&{entity};", char)
-    # Decimal references are rare, so the split runs only where one occurs. Each piece after
-    # a "&#" either starts with digits and a semicolon or is put back unchanged.
-    pieces = F.split(out, "&#")
-    decoded = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.element_at(pieces, 1),
-        lambda done, piece: F.concat(
+
+    # Each piece after a "&#" either starts with digits and a semicolon or is put back.
+    def piece(done: Column, part: Column) -> Column:
+        number = F.regexp_extract(part, "^([0-9]{1,7});", 1)
+        return F.concat(
             done,
             F.when(
-                piece.rlike("^[0-9]{1,7};"),
-                F.concat(
-                    _code_point(F.regexp_extract(piece, "^([0-9]+);", 1)),
-                    F.regexp_replace(piece, "^[0-9]+;", ""),
-                ),
-            ).otherwise(F.concat(F.lit("&#"), piece)),
-        ),
-    )
-    out = F.when(F.contains(out, F.lit("&#")), decoded).otherwise(out)
+                number != "", F.concat(_code_point(number), F.regexp_replace(part, "^[0-9]+;", ""))
+            ).otherwise(F.concat(F.lit("&#"), part)),
+        )
+
+    def references(pieces: Column) -> Column:
+        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.aggregate(rest, F.element_at(pieces, 1), piece)
+
+    out = let(F.split(out, "&#"), references)
     return F.regexp_replace(out, "(?i)&amp;", "&")
 
 
@@ -178,7 +178,7 @@ def strip_ellipsis(name: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(F.trim(text) != "", F.trim(text))
+    return F.nullif(F.trim(text), F.lit(""))
 
 
 def description_fallback(given: Column, memo: Column) -> Column:

@@ -55,6 +55,41 @@ def rank_in_group(rows: DataFrame, keys: list[str], identifier: str = "id") -> D
     )
 
 
+def running_sums(
+    rows: DataFrame, keys: list[str], order: list[str], part: str, sums: dict[str, Column]
+) -> DataFrame:
+    """Inclusive running sums per group in ``order``, without one sort per group.
+
+    ``part`` names a column that never decreases along ``order`` (a month, an hour): sums run
+    inside (group, part), and the totals of earlier parts, a few rows per group, are added.
+    """
+    inside = W.partitionBy(*keys, part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    totals = rows.groupBy(*keys, part).agg(
+        *[F.sum(value).alias(f"_{name}_part") for name, value in sums.items()]
+    )
+    offsets = totals.select(
+        *keys,
+        part,
+        *[F.coalesce(F.sum(f"_{n}_part").over(before), zero).alias(f"_{n}_before") for n in sums],
+    )
+    # Null-safe on the keys: a null group is a group.
+    joined = rows.withColumns(
+        {f"_{n}_inside": F.coalesce(F.sum(v).over(inside), zero) for n, v in sums.items()}
+    )
+    names = [*keys, part]
+    right = offsets.select(
+        *[F.col(c).alias(f"_k_{c}") for c in names], *[f"_{n}_before" for n in sums]
+    )
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names])
+    return (
+        joined.join(right, match)
+        .withColumns({n: F.col(f"_{n}_inside") + F.col(f"_{n}_before") for n in sums})
+        .drop(*[f"_k_{c}" for c in names], *[f"_{n}_{x}" for n in sums for x in ("inside", "before")])
+    )
+
+
 def assign_classes(pairs: DataFrame) -> DataFrame:
     """Greedy assignment between classes of interchangeable rows.
 
@@ -108,14 +143,14 @@ def assign_classes(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def greedy_in_group(pairs: DataFrame, keys: list[str], quality: list[str]) -> DataFrame:
+def greedy_in_group(pairs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The same assignment for small groups in one pass, on the JVM.
 
-    ``pairs`` has the keys, ``line_id``, ``transaction_id`` and the quality columns (ascending
-    is better). The caller bounds the pairs of a group, so the sorted array of one group is
+    ``order`` names columns of ``pairs``, best first when ascending, among them ``line_id``
+    and ``transaction_id``, so that the order is strict. The caller bounds the pairs of a group, so the sorted array of one group is
     small, and the aggregate that carries the used ids stays cheap.
     """
-    element = F.struct(*quality, "line_id", "transaction_id")
+    element = F.struct(*order)
     kinds = dict(pairs.dtypes)
     line_type, txn_type = kinds["line_id"], kinds["transaction_id"]
     start = F.struct(

@@ -151,10 +151,9 @@ def _small(lines: DataFrame, transactions: DataFrame, exact_days: int, suggest_d
         left.join(right, GROUP).withColumn("day_gap", gap).where(F.col("day_gap") <= suggest_days)
     )
     scored = _score(pairs, exact_days).withColumn("_order", -F.col("score"))
-    quality = ["_order", "day_gap", "posted_at", "memo"]
-    # Inside the struct: line id before the transaction's own order, as the scan would go.
-    element = [*quality, "line_id", "booking_date", "description", "document_number"]
-    return greedy_in_group(scored, GROUP, element)
+    by_line = ["posted_at", "memo", "line_id"]
+    by_transaction = ["booking_date", "description", "document_number", "transaction_id"]
+    return greedy_in_group(scored, GROUP, ["_order", "day_gap", *by_line, *by_transaction])
 
 
 def _large(lines: DataFrame, transactions: DataFrame, exact_days: int, suggest_days: int) -> DataFrame:
@@ -184,7 +183,7 @@ def _large(lines: DataFrame, transactions: DataFrame, exact_days: int, suggest_d
     # `taken` members in a row: one row per match, keyed by (class, rank), which is unique, so
     # even a single huge class spreads over all tasks. Blocks keep the inner arrays short.
     block = 4096
-    blocks = F.sequence(F.lit(0).cast("bigint"), (F.col("taken") - 1) / block)
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("taken") - 1) / block))
     matches = (
         taken.withColumn("taken", F.col("taken").cast("bigint"))
         .withColumn("_block", F.explode(F.transform(blocks, lambda b: b * block)))
