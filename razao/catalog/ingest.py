@@ -152,10 +152,10 @@ def ingest_csv(m: Model):
 
 @query(
     "canonical_lines",
-    sql=_OFX + _CSV.replace(f"WITH {_file_rows(50)}", "", 1) + """, both AS (
+    sql=_OFX + _CSV.replace(f"WITH {_file_rows(50)}", "", 1) + """, every AS (
        SELECT 'ofx' AS source, file, line_no, posted_at, amount, memo, dedup_key FROM ofx_keyed
        UNION ALL SELECT 'csv', file, line_no, posted_at, amount, memo, dedup_key FROM csv_keyed)
-       SELECT source, file, line_no, posted_at::VARCHAR AS posted_at, amount, memo, dedup_key FROM both"""
+       SELECT source, file, line_no, posted_at::VARCHAR AS posted_at, amount, memo, dedup_key FROM every"""
     ,
 )
 def canonical_lines(m: Model):

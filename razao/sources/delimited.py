@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from razao.functions.dates import csv_date
 from razao.functions.money import let, parse_user_amount, trimmed
+from razao.functions.staging import staged
 from razao.functions.text import normalize_text
 from razao.operators.imports import with_dedup_key
 from razao.sources.decode import decode_statement
@@ -127,22 +128,17 @@ def _looks_like_header(row: Column) -> Column:
 def csv_layout(files: DataFrame) -> DataFrame:
     """(file, separator, rows, header row, column places, problem); one row per file."""
     text = F.regexp_replace(decode_statement(F.col("content")), "^\ufeff", "")
-    parsed = (
-        files.withColumn("_text", text)
-        .withColumn("separator", detect_separator(F.col("_text")))
-        .withColumn(
-            "rows", F.transform(records(F.col("_text")), lambda r: fields(r, F.col("separator")))
-        )
-        .withColumn(
-            "header_row",
-            F.array_position(F.transform("rows", _looks_like_header), True).cast("int"),
-        )
-        .withColumn("header", F.when(F.col("header_row") > 0, F.element_at("rows", F.col("header_row"))))
-        .withColumn("_titles", F.transform("header", normalize_text))
-        .drop("content", "_text")
-    )
-    placed = parsed.withColumns(
-        {f"{meaning}_column": find_column(F.col("_titles"), meaning) for meaning in HINTS}
+    decoded = staged(files, {"_text": text}).drop("content")
+    separated = staged(decoded, {"separator": detect_separator(F.col("_text"))})
+    cut = staged(separated, {"_records": records(F.col("_text"))}).drop("_text")
+    rows = F.transform("_records", lambda record: fields(record, F.col("separator")))
+    parsed = staged(cut, {"rows": rows}).drop("_records")
+    place = F.array_position(F.transform("rows", _looks_like_header), True).cast("int")
+    placed = staged(parsed, {"header_row": place})
+    header = F.when(F.col("header_row") > 0, F.element_at("rows", F.col("header_row")))
+    titled = staged(placed, {"header": header, "_titles": F.transform(header, normalize_text)})
+    placed = staged(
+        titled, {f"{meaning}_column": find_column(F.col("_titles"), meaning) for meaning in HINTS}
     )
     no_amount = F.col("amount_column").isNull() & (
         F.col("debit_column").isNull() | F.col("credit_column").isNull()
@@ -175,11 +171,11 @@ def csv_mapping(files: DataFrame) -> DataFrame:
 def _rows(files: DataFrame, invert_sign: bool) -> DataFrame:
     layout = csv_layout(files).where(F.col("problem").isNull())
     data = F.slice("rows", F.col("header_row") + 1, F.size("rows"))
-    exploded = layout.select(
+    exploded = staged(layout, {"_data": data}).select(
         "file",
         "header_row",
         *[f"{meaning}_column" for meaning in HINTS],
-        F.posexplode(data).alias("_index", "_row"),
+        F.posexplode("_data").alias("_index", "_row"),
     )
 
     def cell(meaning: str) -> Column:
@@ -192,21 +188,37 @@ def _rows(files: DataFrame, invert_sign: bool) -> DataFrame:
             F.abs(parse_user_amount(cell(meaning)))
         )
 
-    debit, credit = unsigned("debit"), unsigned("credit")
-    split = F.when((debit != 0) & (credit != 0), None).otherwise(credit - debit)
-    single = parse_user_amount(cell("amount"))
-    amount = F.when(F.col("amount_column").isNotNull(), -single if invert_sign else single).otherwise(split)
-    return exploded.select(
+    cells = staged(
+        exploded,
+        {
+            "raw_date": cell("date"),
+            "_single": parse_user_amount(cell("amount")),
+            "_debit": unsigned("debit"),
+            "_credit": unsigned("credit"),
+            "memo": cell("description"),
+            "check_number": F.nullif(cell("document"), F.lit("")),
+        },
+    ).where(F.col("raw_date") != "")
+    both = (F.col("_debit") != 0) & (F.col("_credit") != 0)
+    split = F.when(~both, F.col("_credit") - F.col("_debit"))
+    single = -F.col("_single") if invert_sign else F.col("_single")
+    return staged(
+        cells,
+        {
+            "posted_at": csv_date(F.col("raw_date")),
+            "amount": F.when(F.col("amount_column").isNotNull(), single).otherwise(split),
+        },
+    ).select(
         "file",
         (F.col("_index") + 1).alias("line_no"),
         # As a person counts: records of the file, the header included.
         (F.col("header_row") + F.col("_index") + 1).alias("record_no"),
-        cell("date").alias("raw_date"),
-        csv_date(cell("date")).alias("posted_at"),
-        amount.alias("amount"),
-        cell("description").alias("memo"),
-        F.when(cell("document") != "", cell("document")).alias("check_number"),
-    ).where(F.col("raw_date") != "")
+        "raw_date",
+        "posted_at",
+        "amount",
+        "memo",
+        "check_number",
+    )
 
 
 def ingest_csv(files: DataFrame, invert_sign: bool = False) -> DataFrame:

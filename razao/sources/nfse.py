@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from razao.functions.dates import nfse_date
 from razao.functions.money import parse_tolerant_amount, trimmed
+from razao.functions.staging import staged
 from razao.functions.text import is_tax_id, only_digits
 from razao.sources.decode import decode_invoice
 
@@ -71,10 +72,11 @@ def split_invoices(files: DataFrame) -> DataFrame:
         ],
         F.array("_body"),
     )
+    kept = [c for c in files.columns if c != "content"]
+    whole = staged(files, {"_body": body}).drop("content")
     return (
-        files.withColumn("_body", body)
-        .drop("content")
-        .select(*[c for c in files.columns if c != "content"], F.posexplode(parts).alias("_i", "xml"))
+        staged(whole, {"_parts": parts})
+        .select(*kept, F.posexplode("_parts").alias("_i", "xml"))
         .withColumn("line_no", F.col("_i") + 1)
         .drop("_i")
     )
@@ -91,55 +93,54 @@ def _parsed(files: DataFrame) -> DataFrame:
     """Invoice fields, null where absent; malformed XML has none."""
     xml = F.col("_xml")
     client = f"(//*[{_named(CLIENT_NAMES)}])[1]"
-    rows = split_invoices(files).withColumn("_xml", F.when(_well_formed(F.col("xml")), F.col("xml")))
-    rows = rows.withColumn(
-        "_has_client", F.coalesce(F.xpath_boolean(xml, F.lit(f"boolean({client})")), F.lit(False))
+    rows = staged(
+        split_invoices(files), {"_xml": F.when(_well_formed(F.col("xml")), F.col("xml"))}
     )
+    has_client = F.coalesce(F.xpath_boolean(xml, F.lit(f"boolean({client})")), F.lit(False))
+    rows = staged(rows, {"_has_client": has_client})
 
-    def field(meaning: str, scoped: bool = False) -> Column:
-        plain = _first(xml, NAMES[meaning])
-        if not scoped:
-            return plain
-        return F.when(F.col("_has_client"), _first(xml, NAMES[meaning], client)).otherwise(plain)
+    def scoped(meaning: str) -> Column:
+        inside = _first(xml, NAMES[meaning], client)
+        return F.when(F.col("_has_client"), inside).otherwise(_first(xml, NAMES[meaning]))
 
-    gross = parse_tolerant_amount(F.col("_amount"))
-    net = parse_tolerant_amount(F.col("_net"))
-    # Twelve lookups only where any withholding tag occurs at all.
-    zero = F.lit(0).cast("bigint")
+    # Twelve lookups only where a withholding tag occurs at all.
     any_tag = "|".join(WITHHELD)
-    # An unreadable withholding makes the invoice unreadable, so its null is kept in the sum.
-    withheld = sum(
-        (
-            F.when(value.isNull(), zero).otherwise(parse_tolerant_amount(value))
-            for value in (_first(xml, (name,)) for name in WITHHELD)
-        ),
-        zero,
+    taxed = F.col("xml").rlike(rf"(?i)<({any_tag})[\s>]")
+    found = staged(
+        rows,
+        {
+            "number": _first(xml, NAMES["number"]),
+            "series": _first(xml, NAMES["series"]),
+            "verification_code": _first(xml, NAMES["verification_code"]),
+            "_date": _first(xml, NAMES["date"]),
+            "_amount": _first(xml, NAMES["amount"]),
+            "_net": _first(xml, NAMES["net_amount"]),
+            "_name": scoped("name"),
+            "_client": scoped("tax_id"),
+            "_withheld": F.when(
+                taxed,
+                F.array_compact(F.array(*[_first(xml, (name,)) for name in WITHHELD])),
+            ),
+        },
     )
-    return (
-        rows.withColumn("_amount", field("amount"))
-        .withColumn("_net", field("net_amount"))
-        .select(
-            *[c for c in files.columns if c != "content"],
-            "line_no",
-            field("number").alias("number"),
-            field("series").alias("series"),
-            field("verification_code").alias("verification_code"),
-            field("date").alias("_date"),
-            "_amount",
-            "_net",
-            F.coalesce("_amount", "_net").alias("_any_amount"),
-            F.when(F.col("_amount").isNotNull(), gross).otherwise(net).alias("amount"),
-            F.when(
-                F.col("_amount").isNotNull() & F.col("xml").rlike(rf"(?i)<({any_tag})[\s>]"), withheld
-            )
-            .otherwise(zero)
-            .alias("withheld_amount"),
-            field("name", scoped=True).alias("_name"),
-            only_digits(field("tax_id", scoped=True)).alias("client_tax_id"),
-            "_has_client",
-            F.col("_xml").isNotNull().alias("_ok"),
-        )
-        .withColumn("issued_on", nfse_date(F.col("_date")))
+    any_amount = F.coalesce("_amount", "_net")
+    # An unreadable withholding makes the invoice unreadable: its null goes through the sum.
+    withheld = F.aggregate(
+        F.transform("_withheld", parse_tolerant_amount),
+        F.lit(0).cast("bigint"),
+        lambda total, value: total + value,
+    )
+    return staged(
+        found.withColumn("_ok", F.col("_xml").isNotNull()).drop("xml", "_xml"),
+        {
+            "issued_on": nfse_date(F.col("_date")),
+            "amount": parse_tolerant_amount(any_amount),
+            "withheld_amount": F.when(
+                F.col("_amount").isNotNull() & F.col("_withheld").isNotNull(), withheld
+            ).otherwise(F.lit(0).cast("bigint")),
+            "client_tax_id": only_digits(F.col("_client")),
+            "_any_amount": any_amount,
+        },
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from razao.functions.dates import format_date, ofx_date
 from razao.functions.money import parse_tolerant_amount, trimmed
+from razao.functions.staging import staged
 from razao.functions.text import extract_tax_id, memo_join, xml_entities
 from razao.operators.imports import with_dedup_key
 from razao.sources.decode import decode_statement
@@ -52,13 +53,10 @@ def _value(leaves: Column, tag: str) -> Column:
 
 
 def _bodies(files: DataFrame) -> DataFrame:
-    text = decode_statement(F.col("content"))
-    return files.withColumn("_text", text).select(
-        *[c for c in files.columns if c != "content"],
-        F.when(
-            F.col("_text").rlike("(?i)<OFX>"), F.regexp_extract(F.col("_text"), r"(?s)(<OFX>.*|.*)", 1)
-        ).alias("_body"),
-    )
+    """Files with their decoded text, null where the text is no OFX."""
+    text = staged(files, {"_text": decode_statement(F.col("content"))})
+    body = F.when(F.col("_text").rlike("(?i)<OFX>"), F.col("_text"))
+    return staged(text.drop("content"), {"_body": body}).drop("_text")
 
 
 def statement_header(files: DataFrame) -> DataFrame:
@@ -80,24 +78,20 @@ def statement_header(files: DataFrame) -> DataFrame:
     def value(section: str, tag: str) -> Column:
         return _value(F.col(section), tag)
 
-    raw = (
-        _bodies(files)
-        .select(
-            "file",
-            body.isNull().alias("_not_ofx"),
-            *[_leaves(text).alias(name) for name, text in sections.items()],
-        )
-        .select(
-            "file",
-            "_not_ofx",
-            value("_account", "BANKID").alias("bank_id"),
-            value("_account", "ACCTID").alias("account_id"),
-            ofx_date(value("_movement", "DTSTART")).alias("period_start"),
-            ofx_date(value("_movement", "DTEND")).alias("declared_end"),
-            parse_tolerant_amount(value("_ledger", "BALAMT")).alias("ledger_balance"),
-            ofx_date(value("_ledger", "DTASOF")).alias("_as_of"),
-            ofx_date(value("_sonrs", "DTSERVER")).alias("generated_on"),
-        )
+    found = staged(
+        _bodies(files), {name: _leaves(text) for name, text in sections.items()}
+    )
+    raw = staged(
+        found.select("file", body.isNull().alias("_not_ofx"), *sections),
+        {
+            "bank_id": value("_account", "BANKID"),
+            "account_id": value("_account", "ACCTID"),
+            "period_start": ofx_date(value("_movement", "DTSTART")),
+            "declared_end": ofx_date(value("_movement", "DTEND")),
+            "ledger_balance": parse_tolerant_amount(value("_ledger", "BALAMT")),
+            "_as_of": ofx_date(value("_ledger", "DTASOF")),
+            "generated_on": ofx_date(value("_sonrs", "DTSERVER")),
+        },
     )
     end = attested(F.col("declared_end"), F.col("generated_on"))
     return raw.select(
@@ -139,23 +133,19 @@ def _transactions(files: DataFrame) -> DataFrame:
         "fitid": "FITID",
         "check_number": "CHECKNUM",
     }
-    return (
-        _bodies(files)
-        .where(F.col("_body").isNotNull())
-        .select("file", F.posexplode(blocks).alias("_index", "_block"))
-        .withColumn("_leaves", _leaves(cleaned))
-        .select(
-            "file",
-            (F.col("_index") + 1).alias("line_no"),
-            *[_value(F.col("_leaves"), tag).alias(name) for name, tag in fields.items()],
-        )
-        .withColumns(
-            {
-                "posted_at": ofx_date(F.col("_posted")),
-                "amount": parse_tolerant_amount(F.col("_amount")),
-                "memo": memo_join(F.col("_name"), F.col("_memo")),
-            }
-        )
+    found = staged(_bodies(files).where(F.col("_body").isNotNull()), {"_blocks": blocks})
+    entries = found.select("file", F.posexplode("_blocks").alias("_index", "_block"))
+    leaves = staged(entries, {"_leaves": _leaves(cleaned)}).select(
+        "file", (F.col("_index") + 1).alias("line_no"), "_leaves"
+    )
+    values = staged(leaves, {name: _value(F.col("_leaves"), tag) for name, tag in fields.items()})
+    return staged(
+        values.drop("_leaves"),
+        {
+            "posted_at": ofx_date(F.col("_posted")),
+            "amount": parse_tolerant_amount(F.col("_amount")),
+            "memo": memo_join(F.col("_name"), F.col("_memo")),
+        },
     )
 
 
