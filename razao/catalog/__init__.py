@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from razao.catalog import ingest, ledger, matching, reports, scalars  # noqa: F401
+from razao.catalog import ingest, jobs, ledger, matching, receivables, reports, scalars  # noqa: F401
 from razao.catalog.base import ORACLE, QUERIES, runnable
 
 

@@ -32,7 +32,9 @@ def _monthly_date(k: Column) -> Column:
             lambda j: days_in_month(F.add_months(F.trunc(start, "MM"), (j * step).cast("int"))),
         )
     )
-    fixed = F.least(F.col("day_of_month"), days_in_month(month))
+    fixed = F.when(
+        F.col("day_of_month").isNotNull(), F.least(F.col("day_of_month"), days_in_month(month))
+    )
     sticky = F.least(F.dayofmonth(start), shortest)
     return F.when(k == 0, start).otherwise(F.date_add(month, F.coalesce(fixed, sticky) - 1))
 
