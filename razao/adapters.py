@@ -666,3 +666,36 @@ class Model:
             F.encode(national, "UTF-8").alias("content"),
         )
         return batches.unionByName(singles)
+
+    @cached_property
+    def contested_invoices(self) -> DataFrame:
+        """Open invoices with few distinct amounts, so that sums and withholdings occur."""
+        key, client = F.col("o_orderkey"), F.col("o_custkey")
+        return self.raw("orders").where(key % 2 == 0).select(
+            key.alias("id"),
+            (client % COMPANIES).alias("company_id"),
+            key.cast("string").alias("number"),
+            F.col("o_orderdate").cast("date").alias("issued_on"),
+            (100 * (1 + key % 97)).alias("outstanding"),
+            F.when(client % 13 != 0, F.lpad((client + 11).cast("string"), 14, F.lit("0"))).alias(
+                "client_tax_id"
+            ),
+        )
+
+    @cached_property
+    def contested_credits(self) -> DataFrame:
+        key, client = F.col("o_orderkey"), F.col("o_custkey")
+        amount = (
+            F.when(key % 3 == 0, 100 * (1 + key % 97))
+            .when(key % 3 == 1, 100 * (2 + key % 150))
+            .otherwise(90 * (1 + key % 97))
+        )
+        return self.raw("orders").where(key % 2 == 1).select(
+            key.alias("id"),
+            (client % COMPANIES).alias("company_id"),
+            F.date_add(F.col("o_orderdate").cast("date"), 20).alias("booking_date"),
+            amount.alias("amount"),
+            F.when(key % 5 != 0, F.lpad((client + 11).cast("string"), 14, F.lit("0"))).alias(
+                "payer_tax_id"
+            ),
+        )

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from razao.catalog import ingest, jobs, ledger, matching, receivables, reports, scalars  # noqa: F401
+from razao.catalog import (  # noqa: F401
+    ingest,
+    jobs,
+    ledger,
+    matching,
+    receivables,
+    reports,
+    scalars,
+    single,
+)
 from razao.catalog.base import ORACLE, QUERIES, runnable
 
 

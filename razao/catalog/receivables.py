@@ -12,10 +12,7 @@ from razao.plans import receive
 
 
 def _matches(m: Model):
-    credits, invoices = receive.receivable_inputs(
-        m.transactions, m.invoices, m.settlements, m.counterparties
-    )
-    return rcv.match_receivables(credits, invoices), invoices
+    return rcv.match_receivables(m.contested_credits, m.contested_invoices), m.contested_invoices
 
 
 @query("match_receivables")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from razao.operators.filters import with_period_lock
 from razao.operators.matching import match_statement, unmatched_lines
 from razao.operators.rules import top_rule
 
@@ -88,3 +89,23 @@ def review_queue(lines: DataFrame, transactions: DataFrame, rules: DataFrame, **
         F.col("rule_category_id").alias("category_id"),
     )
     return to_match.unionByName(to_sort).orderBy("posted_at", "line_id")
+
+
+def auto_apply_reconciliation(
+    lines: DataFrame, transactions: DataFrame, rules: DataFrame, closings: DataFrame, **options
+) -> DataFrame:
+    """What became of every line: reconciled, created, failed, suggested or uncategorized.
+
+    A creation fails where the month of the line is closed; the other lines go on.
+    """
+    decisions = plan_decisions(plan_auto_apply(lines, transactions, rules, **options))
+    days = lines.select(F.col("id").alias("line_id"), "posted_at")
+    judged = with_period_lock(decisions.join(days, "line_id"), closings, "posted_at", "locked")
+    action = F.col("action")
+    outcome = (
+        F.when(action == "reconcile", "reconciled")
+        .when((action == "create") & F.col("locked"), "failed")
+        .when(action == "create", "created")
+        .otherwise(action)
+    )
+    return judged.select("line_id", outcome.alias("outcome"))
