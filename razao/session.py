@@ -20,6 +20,7 @@ def build_session(app: str = "razao", cpus: int | str = 8, **conf: str) -> Spark
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update(conf)
