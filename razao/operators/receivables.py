@@ -218,9 +218,13 @@ def _play_clients(credits: DataFrame, invoices: DataFrame, uses: DataFrame, floo
         .unionByName(parts[1])
         .unionByName(parts[2])
         .withColumn("_later", F.col("phase") > 0)
-        .repartition(*key)
+        # Hashed as a column of its own: a shuffle on the plain key may be dropped where all
+        # parts already have that partitioning, and the union of parts coalesced at run time
+        # to different widths does not keep a client together.
+        .withColumn("_client", F.xxhash64(*key))
+        .repartition("_client")
         .sortWithinPartitions(*key, "_later", "day", "ref")
-        .drop("_later")
+        .drop("_later", "_client")
     )
     schema = (
         f"kind string, company_id {dict(credits.dtypes)['company_id']}, client_tax_id string, "
@@ -344,17 +348,27 @@ def match_receivables(
     uses = credits.sparkSession.createDataFrame(
         [], f"company_id {company}, client_tax_id string, day date, ref {kind}, invoice_id {kind}, amount bigint"
     )
+    key = ["company_id", "client_tax_id"]
+    played = cut_lineage(_play_clients(credits, invoices, uses, retention_floor))
     while True:
-        played = cut_lineage(_play_clients(credits, invoices, uses, retention_floor))
         spans = _intervals(played, credits, invoices, uses)
         decided = cut_lineage(_decide_by_amount(spans, credits, invoices, window_days))
         pair = ["ref", "invoice_id"]
-        changed = decided.join(uses, pair, "left_anti").select(*pair).union(
-            uses.join(decided, pair, "left_anti").select(*pair)
-        )
+        changed = decided.join(uses, pair, "left_anti").select(*key).union(
+            uses.join(decided, pair, "left_anti").select(*key)
+        ).distinct()
         if changed.isEmpty():
             break
         uses = decided
+        # Only clients whose outside uses changed are played again.
+        payers = changed.withColumnRenamed("client_tax_id", "payer_tax_id")
+        again = _play_clients(
+            credits.join(payers, ["company_id", "payer_tax_id"], "left_semi"),
+            invoices.join(changed, key, "left_semi"),
+            uses.join(changed, key, "left_semi"),
+            retention_floor,
+        )
+        played = cut_lineage(played.join(changed, key, "left_anti").unionByName(again))
     by_client = played.where("kind = 'match'").select(
         "company_id", F.col("credit_id").alias("transaction_id"), "rule", "position", "invoice_id", "amount"
     )
