@@ -246,16 +246,14 @@ def divergences(m: Model):
 @query(
     "divergence_order",
     _CONTESTED,
-    _DIVERGENCES + """SELECT kind, bank_account_id, date::VARCHAR AS date, amount, source_id,
-       row_number() OVER (PARTITION BY bank_account_id ORDER BY found.date, amount,
-           CASE kind WHEN 'missing_in_system' THEN 0 ELSE 1 END, source_id)::INTEGER AS place
-       FROM found""",
+    _DIVERGENCES + """SELECT kind, bank_account_id, date::VARCHAR AS date, amount, source_id FROM found
+       ORDER BY bank_account_id, found.date, amount, kind = 'missing_in_statement', source_id""",
 )
 def divergence_order(m: Model):
     from razao.operators.ordering import divergence_order as order
 
     return order(_divergences(m)).select(
-        "kind", "bank_account_id", "date", "amount", "source_id", "place"
+        "kind", "bank_account_id", "date", "amount", "source_id"
     )
 
 

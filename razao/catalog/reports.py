@@ -150,16 +150,13 @@ def same_company_fk(m: Model):
 @query(
     "ledger_order",
     "transactions",
-    """SELECT id, company_id, booking_date::VARCHAR AS booking_date, row_number() OVER (
-           PARTITION BY company_id, bank_account_id
-           ORDER BY transactions.booking_date DESC, created_at DESC, id DESC)::INTEGER AS place
-       FROM transactions""",
+    """SELECT id, company_id, booking_date::VARCHAR AS booking_date FROM transactions
+       ORDER BY company_id, transactions.booking_date DESC, created_at DESC, id DESC""",
 )
 def ledger_order(m: Model):
-    rows = ordering.ranked(
-        m.transactions, ["company_id", "bank_account_id"], ordering.ledger_order()
+    return m.transactions.orderBy("company_id", *ordering.ledger_order()).select(
+        "id", "company_id", "booking_date"
     )
-    return rows.select("id", "company_id", "booking_date", "place")
 
 
 @query(
@@ -194,15 +191,12 @@ def next_due(m: Model):
 @query(
     "natural_order",
     "invoices",
-    """SELECT id, company_id, number, row_number() OVER (PARTITION BY company_id
-           ORDER BY CAST(number AS BIGINT), coalesce(series, ''), id)::INTEGER AS place
-       FROM invoices""",
+    """SELECT id, company_id, number FROM invoices
+       ORDER BY company_id, CAST(number AS BIGINT), coalesce(series, ''), id""",
 )
 def natural_order(m: Model):
     order = [*ordering.natural_order("number"), F.coalesce("series", F.lit("")), F.col("id")]
-    return ordering.ranked(m.invoices, ["company_id"], order).select(
-        "id", "company_id", "number", "place"
-    )
+    return m.invoices.orderBy("company_id", *order).select("id", "company_id", "number")
 
 
 @query(
@@ -387,14 +381,11 @@ def attention_score(m: Model):
 @query(
     "portfolio_order",
     _CYCLE_TABLES + " companies",
-    _STATUS + """SELECT s.company_id, c.name, attention_score, row_number() OVER (
-           ORDER BY attention_score DESC, c.name, s.company_id)::INTEGER AS place
-       FROM scored s JOIN companies c USING (company_id)""",
+    _STATUS + """SELECT s.company_id, c.name, attention_score FROM scored s
+       JOIN companies c USING (company_id) ORDER BY attention_score DESC, c.name, s.company_id""",
 )
 def portfolio_order(m: Model):
     scored = cycle.with_attention_score(_status(m)).join(m.companies, "company_id")
-    # One row per company, so the single ordered list a person reads stays small.
-    rows = ordering.ranked(scored.withColumn("_all", F.lit(1)), ["_all"], ordering.portfolio_order())
-    return rows.select("company_id", "name", "attention_score", "place")
-
-
+    return scored.orderBy(*ordering.portfolio_order()).select(
+        "company_id", "name", "attention_score"
+    )

@@ -1,6 +1,6 @@
 """Orders and top-k per company.
 
-Top-k uses ``row_number() <= k``: Spark keeps only k rows per group in each task before the
+Full orders are range sorts over the whole result, never one window per company. Top-k uses ``row_number() <= k``: Spark keeps only k rows per group in each task before the
 shuffle, so a company with most of the rows still sends k rows per task.
 """
 
@@ -43,10 +43,10 @@ def next_due(planned: DataFrame, first, last, k: int = 10) -> DataFrame:
     return top_k(inside, ["company_id"], [F.asc("booking_date"), F.asc("id")], k)
 
 
-def divergence_order(found: DataFrame, key: str = "bank_account_id") -> DataFrame:
-    """Day, then amount, bank side first, numbered per account."""
+def divergence_order(found: DataFrame) -> DataFrame:
+    """By account, day, then amount, bank side first: a range sort, which splits any account."""
     side = F.when(F.col("kind") == "missing_in_system", 0).otherwise(1)
-    return ranked(found, [key], [F.asc("date"), F.asc("amount"), side.asc(), F.asc("source_id")])
+    return found.orderBy("bank_account_id", "date", "amount", side, "source_id")
 
 
 def natural_order(column: str) -> list[Column]:
