@@ -83,7 +83,7 @@ _FIRST = """row_number() OVER (PARTITION BY {0}, reason IS NULL ORDER BY decisio
 
 _RECONCILE = """, asked AS (SELECT id AS decision_id, id - id % 3 AS line_id,
         CASE WHEN id % 6 = 0 THEN id - id % 3 + 1 ELSE id - id % 3 END AS transaction_id
-        FROM statement_lines WHERE id % 2 = 0 AND id < 1000000000000),
+        FROM statement_lines),
     judged AS (SELECT a.*, CASE WHEN l.id IS NULL THEN 'line_not_found'
             WHEN l.status <> 'pendente' THEN 'line_already_handled'
             WHEN t.id IS NULL THEN 'transaction_not_found'
@@ -100,10 +100,9 @@ _RECONCILE = """, asked AS (SELECT id AS decision_id, id - id % 3 AS line_id,
 
 def _reconcile(m: Model):
     key = F.col("id")
-    rows = m.statement_lines.where((key % 2 == 0) & (key < 1_000_000_000_000))
     home = key - key % 3
     asked = _requests(
-        rows, "id", line_id=home, transaction_id=F.when(key % 6 == 0, home + 1).otherwise(home)
+        m.statement_lines, "id", line_id=home, transaction_id=F.when(key % 6 == 0, home + 1).otherwise(home)
     )
     return dec.reconcile(asked, m.statement_lines, m.transactions)
 
@@ -134,8 +133,7 @@ _LINE_LOCKED = _LOCKED.replace("t.company_id", "l.company_id").replace("t.bookin
 
 
 def _line_requests(m: Model):
-    rows = m.statement_lines.where(F.col("id") < 1_000_000_000_000)
-    return rows, F.col("id") - F.col("id") % 2
+    return m.statement_lines, F.col("id") - F.col("id") % 2
 
 
 @query(
@@ -145,7 +143,7 @@ def _line_requests(m: Model):
             AS transaction_id, CASE WHEN l.id IS NULL THEN 'line_not_found'
             WHEN l.status <> 'conciliada' THEN 'line_not_reconciled'
             WHEN {_LOCKED} THEN 'month_closed' END AS reason
-        FROM (SELECT id FROM statement_lines WHERE id < 1000000000000) a
+        FROM statement_lines a
         LEFT JOIN statement_lines l ON l.id = a.id - a.id % 2
         LEFT JOIN transactions t ON t.id = l.matched_transaction_id)
     SELECT decision_id, line_id, transaction_id, CASE WHEN reason IS NULL AND NOT {_FIRST.format('line_id')}
@@ -163,7 +161,7 @@ _CREATE = f""", judged AS (SELECT a.id AS decision_id, a.id - a.id % 2 AS line_i
             CASE WHEN l.id IS NULL THEN 'line_not_found'
             WHEN l.status <> 'pendente' THEN 'line_already_handled'
             WHEN {_LINE_LOCKED} THEN 'month_closed' END AS reason
-        FROM (SELECT id FROM statement_lines WHERE id < 1000000000000) a
+        FROM statement_lines a
         LEFT JOIN statement_lines l ON l.id = a.id - a.id % 2) """
 
 
@@ -213,7 +211,7 @@ def undo_from_line(m: Model):
     "ignore_line",
     "statement_lines",
     f""", judged AS (SELECT id AS decision_id, id - id % 2 AS line_id, CASE WHEN id % 7 = 1 THEN '' ELSE 'repetida' END
-            AS ignored_reason FROM statement_lines WHERE id < 1000000000000),
+            AS ignored_reason FROM statement_lines),
     reasons AS (SELECT j.*, CASE WHEN j.ignored_reason = '' THEN 'reason_required' WHEN l.id IS NULL
             THEN 'line_not_found' WHEN l.status <> 'pendente' THEN 'line_already_handled' END AS reason
         FROM (SELECT decision_id, line_id, ignored_reason FROM judged) j
@@ -368,9 +366,9 @@ def edit_transaction(m: Model):
 
 def _close_requests(m: Model):
     """Two users of every company ask to close the months that were reopened."""
-    users = m.memberships.where(F.col("user_id") < 50).select("company_id", "user_id")
-    months = m.closings.where("reopened_at IS NOT NULL").select("id", "company_id", "period")
-    rows = months.join(users, "company_id").withColumn("key", F.col("id") * 100 + F.col("user_id"))
+    users = F.explode(F.array(F.col("company_id"), F.col("company_id") + 18)).alias("user_id")
+    months = m.closings.where("reopened_at IS NOT NULL").select("id", "company_id", "period", users)
+    rows = months.withColumn("key", F.col("id") * 100 + F.col("user_id"))
     return _requests(
         rows, "key", company_id=F.col("company_id"), period=F.col("period"), user_id=F.col("user_id"),
         reason=F.when(F.col("user_id") % 2 == 0, "ajuste"), closing_id=F.col("id"),
@@ -379,8 +377,8 @@ def _close_requests(m: Model):
 
 _CLOSERS = """, asked AS (SELECT c.id * 100 + m.user_id AS decision_id, c.company_id, c.period, m.user_id,
         m.role IN ('contador', 'owner') AS may
-        FROM closings c JOIN memberships m USING (company_id)
-        WHERE c.reopened_at IS NOT NULL AND m.user_id < 50) """
+        FROM closings c JOIN memberships m ON m.company_id = c.company_id
+          AND m.user_id IN (c.company_id, c.company_id + 18) WHERE c.reopened_at IS NOT NULL) """
 
 
 @query(

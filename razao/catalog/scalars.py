@@ -397,8 +397,8 @@ def description_fallback(m: Model):
 @query(
     "json_rows",
     "transactions",
-    """SELECT id, id * 2 AS invoice_id, abs(amount) // 2 AS amount FROM transactions WHERE id % 4 = 0
-       UNION ALL SELECT id, id * 2 + 1, abs(amount) // 3 FROM transactions WHERE id % 4 = 0""",
+    """SELECT id, id * 2 AS invoice_id, abs(amount) // 2 AS amount FROM transactions
+       UNION ALL SELECT id, id * 2 + 1, abs(amount) // 3 FROM transactions""",
 )
 def json_rows(m: Model):
     from razao.operators.audit import json_rows as rows
@@ -411,5 +411,5 @@ def json_rows(m: Model):
         F.struct((F.col("id") * 2).alias("invoice_id"), half(2).alias("amount")),
         F.struct((F.col("id") * 2 + 1).alias("invoice_id"), half(3).alias("amount")),
     )
-    asked = m.transactions.where(F.col("id") % 4 == 0).select("id", F.to_json(item).alias("allocations"))
+    asked = m.transactions.select("id", F.to_json(item).alias("allocations"))
     return rows(asked, "allocations", "invoice_id bigint, amount bigint")
