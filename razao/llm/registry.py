@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from razao.llm import language_id, line_dedup, quality_classifier, quality_rules
+from razao.llm import html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, source_mix
 from razao.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,11 +34,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_language_id, op7_quality_classifier, op8_line_dedup)
+    f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_source_mix, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_html_extract)
 }
 
-ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op5_source_mix": source_mix.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
