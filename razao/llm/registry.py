@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from razao.llm import html_extract, language_id, line_dedup, packing, quality_classifier, quality_rules, source_mix
+from razao.llm import html_extract, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, source_mix
 from razao.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_source_mix, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_html_extract)
+    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_language_id, op5_source_mix, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_html_extract)
 }
 
 ORACLE: dict[str, str] = {"op5_source_mix": source_mix.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
