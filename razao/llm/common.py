@@ -6,7 +6,6 @@ task depends on the longest single text and not on the number of rows.
 
 from __future__ import annotations
 
-import functools
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from razao.session import checkpoint_dir
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,7 +54,7 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as bytes (null: empty), about 2 MB each."""
+    """Slices of the batches with their texts as bytes (null: empty), about 1 MB each."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         sizes = np.diff(np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]) if len(values) else np.zeros(0, np.int64)
@@ -79,15 +78,21 @@ BASE = 0x9E3779B97F4A7C15
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64."""
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        steps = np.full(n, np.uint64(base))
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+STEP = 4096
+
+
+def _steps(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+SMALL, SMALL_INVERSE = (_steps(b, STEP) for b in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def _large(base: int, n: int) -> np.ndarray:
+    """Powers of base ** STEP, enough for n positions."""
+    return _steps(pow(base, STEP, 1 << 64), n // STEP + 1)
 
 
 class Texts:
@@ -119,12 +124,14 @@ class Texts:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         """64-bit hashes of byte ranges; equal bytes give equal hashes in every task."""
-        size = 1 << max(16, int(len(self.bytes)).bit_length())
-        powers, inverse = _powers(size)
+        n = len(self.bytes)
         if self._sums is None:
-            self._sums = np.zeros(len(self.bytes) + 1, np.uint64)
-            np.cumsum(BYTE_VALUES[self.bytes] * powers[: len(self.bytes)], out=self._sums[1:])
-        value = (self._sums[ends] - self._sums[starts]) * inverse[starts]
+            powers = (_large(BASE, n)[:, None] * SMALL[None, :]).ravel()[:n]
+            powers *= BYTE_VALUES[self.bytes]
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(powers, out=self._sums[1:])
+        back = _large(pow(BASE, -1, 1 << 64), n)[starts // STEP] * SMALL_INVERSE[starts % STEP]
+        value = (self._sums[ends] - self._sums[starts]) * back
         return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(seed))
 
     def counts(self, wanted: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ from razao.llm.common import Texts, components, mix, run_starts, signed, stored,
 WORDS = 3
 PERCENT = 90
 SKETCH_BITS = 20
-FILTER_BITS = 22
+FILTER_BITS = 20
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, label: str) -> DataF
         # sent as one count per bit, so that sums of tasks stay exact
         return np.unpackbits(total.view(np.uint8), bitorder="little").astype(np.int64)
 
-    wanted = np.packbits(summed_vector(pairs.select("u", "v", "d1", "d2"), mark, slots, 256) > 0)
+    wanted = np.packbits(summed_vector(pairs.select("u", "v", "d1", "d2"), mark, slots) > 0)
 
     def emit(batches):
         for batch, texts in text_chunks(batches):
