@@ -126,23 +126,47 @@ def introductions(members: DataFrame, table: DataFrame, floors: DataFrame, thres
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [NO_PAIRS]
-        for _, part in pdf.groupby(pdf["unit"].map(len)):
-            left, right = part[part["block"] == key[1]], part[part["block"] == key[2]]
-            if left.empty or right.empty:
+    def meet(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = [rows.column(k).to_numpy() for k in ("g", "i", "j")]
+            starts = np.flatnonzero(np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])])) if len(rows) else np.zeros(0, int)
+            if len(starts) > 1:
+                yield from _met(rows.slice(0, int(starts[-1])), starts[:-1], threshold)
+            held = rows.slice(int(starts[-1])) if len(starts) else held
+        if held is not None and len(held):
+            yield from _met(held, np.array([0]), threshold)
+
+    rows = rows.select("g", "i", "j", "b", "unit", "block", "fresh", "floor")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return rows.mapInArrow(meet, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+
+
+def _met(rows: pa.Table, starts: np.ndarray, threshold: float):
+    """Pairs of each run of rows that begins at ``starts``."""
+    i, j, b, block, fresh, floor = (rows.column(k).to_numpy() for k in ("i", "j", "b", "block", "fresh", "floor"))
+    units = rows.column("unit").to_pylist()
+    out: list[tuple] = []
+    for s, e in zip(starts, [*starts[1:], len(rows)], strict=True):
+        by_size: dict[int, list[int]] = {}
+        for k in range(s, e):
+            by_size.setdefault(len(units[k]), []).append(k)
+        for found in by_size.values():
+            at = np.array(found)
+            left, right = at[block[at] == i[s]], at[block[at] == j[s]]
+            if not len(left) or not len(right):
                 continue
-            x, y = _matrix(left["unit"]), _matrix(right["unit"])
+            x = np.frombuffer(b"".join([units[k] for k in left])).reshape(len(left), -1)
+            y = x if i[s] == j[s] else np.frombuffer(b"".join([units[k] for k in right])).reshape(len(right), -1)
             cos = x @ y.T
-            a, b = left["b"].to_numpy(), right["b"].to_numpy()
-            floor = np.minimum(np.minimum(left["floor"].to_numpy()[:, None], right["floor"].to_numpy()[None, :]), threshold)
-            keep = (left["fresh"].to_numpy()[:, None] | right["fresh"].to_numpy()[None, :]) & (cos >= floor)
-            keep &= a[:, None] < b[None, :] if key[1] == key[2] else a[:, None] != b[None, :]
-            out.append(_pairs(a, b, cos, keep))
-        return pd.concat(out)
-
-    met = rows.select("g", "i", "j", "b", "unit", "block", "fresh", "floor").groupBy("g", "i", "j").applyInPandas(meet, "a long, b long, cos double")
-    return met.groupBy("a", "b").agg(F.max("cos").alias("cos"))
+            keep = (fresh[left][:, None] | fresh[right][None, :]) & (cos >= np.minimum(np.minimum(floor[left][:, None], floor[right][None, :]), threshold))
+            keep &= b[left][:, None] < b[right][None, :] if i[s] == j[s] else b[left][:, None] != b[right][None, :]
+            r, c = np.nonzero(keep)
+            p, q = b[left[r]], b[right[c]]
+            out.append((np.minimum(p, q), np.maximum(p, q), cos[r, c]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "cos"])
 
 
 NO_PAIRS = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"), "cos": pd.Series([], dtype=float)})
@@ -227,7 +251,7 @@ def near_duplicate_graph(table: DataFrame, threshold: float = THRESHOLD, start:
     for turn in range(max_rounds):
         full = lists.where(F.col("r") == width).select(F.col("a").alias("b"), F.col("cos").alias("floor"))
         met = introductions(gatherings(lists, fresh, width, threshold, turn), table, full, threshold)
-        known = lists.select("a", "b", "cos").where("a < b")
+        known = lists.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos")
         following = stored(best_lists(known.union(met).groupBy("a", "b").agg(F.max("cos").alias("cos")), width, threshold), "lists")
         gained = following.join(lists.select("a", "b"), ["a", "b"], "left_anti").withColumn("fresh", F.lit(True))
         gained = stored(gained.select("a", "b", "cos", "fresh"), "fresh")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from razao.llm import html_extract, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, source_mix
+from razao.llm import html_extract, jaccard_join, language_id, line_dedup, lm_scoring, nn_descent, packing, quality_classifier, quality_rules, source_mix
 from razao.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 
@@ -42,8 +46,12 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.html_extract(table(spark, sf_dir, "pages"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_language_id, op5_source_mix, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_html_extract)
+    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_language_id, op4_lm_scoring, op5_source_mix, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_html_extract, op10_nn_descent)
 }
 
 ORACLE: dict[str, str] = {"op5_source_mix": source_mix.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
