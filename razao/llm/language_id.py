@@ -253,8 +253,9 @@ def language_id(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents whose language is known and holds at least ``min_score`` of the text.
 
-    Every row is judged once, by its own text, in the pass that also carries its columns.
+    Rows with the same id go together: all stay if one of them does.
     """
     model = train(docs.where(~held_out(docs)))
     good = identify(docs.select("doc_id", "text"), model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+    good = good.select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_good")), "left_semi")
