@@ -254,13 +254,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of every component; rows of equal id stay as one.
+    """The document with the smallest id of every component. Rows of one id are one
+    document: all of them stay if one does.
 
     Documents without a word form no component and all stay.
     """
     member, _ = jaccard_join(docs, words, percent)
-    kept = member.where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = member.where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def jaccard_report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -156,16 +156,17 @@ def apply_bitmaps(marked: DataFrame) -> DataFrame:
     fields = [f for f in marked.schema.fields if f.name != "_drops"]
     at = [f.name for f in fields].index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    n = marked.columns.index("_drops")
+    columns = marked.columns
+    n, text_at = columns.index("_drops"), columns.index("text")
 
     def rebuild(batches):
         for batch, texts in text_chunks(batches):
             drops = batch.column(n).to_pylist()
-            null = batch.column(marked.columns.index("text")).is_null().to_pylist()
+            null = batch.column(text_at).is_null().to_pylist()
             out = [None if z else _kept(t, d)[0].decode() for t, d, z in zip(texts, drops, null, strict=True)]
-            columns = [batch.column(marked.columns.index(f.name)) for f in fields]
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            kept = [batch.column(i) for i in range(len(columns)) if i != n]
+            kept[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(kept, names=[c for c in columns if c != "_drops"])
 
     return marked.mapInArrow(rebuild, schema)
 
