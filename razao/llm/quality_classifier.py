@@ -139,12 +139,13 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED) -> Mode
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["doc_id", "slots", "grade"])
 
     rated = _rows(docs).join(F.broadcast(chosen), "doc_id")
-    got = rated.mapInArrow(hashed, "doc_id long, slots array<int>, grade int").toPandas()
-    if got.empty:
+    got = rated.mapInArrow(hashed, "doc_id long, slots array<int>, grade int").toArrow()
+    if not got.num_rows:
         return Model(np.zeros(SLOTS, np.float32), np.zeros(GRADES - 1))
-    got = got.sort_values(["doc_id", "grade"], kind="stable")
-    who = np.repeat(np.arange(len(got)), got["slots"].map(len))
-    return fit_ordinal(who, np.concatenate(got["slots"].to_list()).astype(np.int64), got["grade"].to_numpy().astype(np.int64))
+    got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
+    lists = got.column("slots").combine_chunks()
+    sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    return fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten()).astype(np.int64), np.asarray(got.column("grade")).astype(np.int64))
 
 
 def classify(docs: DataFrame, model: Model, tail: int = GRADES - 1, min_probability: float = 0.5) -> DataFrame:

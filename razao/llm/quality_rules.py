@@ -194,10 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = with_features(text_statistics(texts)).join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
-    if rows.empty:
+    rows = with_features(text_statistics(texts)).join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", *FEATURES).toArrow()
+    if not rows.num_rows:
         return []
-    return learn_rules(rows[list(FEATURES)].to_numpy(float), (rows["_label"] == 0).to_numpy())
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", *FEATURES)])
+    x = np.column_stack([rows.column(c).to_numpy().astype(float) for c in FEATURES])
+    return learn_rules(x, rows.column("_label").to_numpy() == 0)
 
 
 def judge(docs: DataFrame, rules: list[Rule], min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
