@@ -57,15 +57,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _decimal_text(text: Column) -> Column:
-    """``-12.345`` to cents; the third fraction digit decides the rounding."""
+    """``-12.345`` to cents; the third fraction digit decides the rounding.
+
+    Amounts beyond the range of the result are null.
+    """
 
     def digits_to_cents(plain: Column) -> Column:
         fraction = F.rpad(F.regexp_extract(plain, r"\.(\d*)$", 1), 3, "0")
-        whole = F.coalesce(F.regexp_extract(plain, r"^-?(\d+)", 1).try_cast("decimal(20,0)"), F.lit(0))
+        digits = F.regexp_extract(plain, r"^-?0*(\d*)", 1)
+        whole = F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("decimal(20,0)"))
         hundredths = F.substring(fraction, 1, 2).cast("int")
         up = (F.substring(fraction, 3, 1) >= "5").cast("int")
         sign = F.when(F.startswith(plain, F.lit("-")), -1).otherwise(1)
-        return F.when(F.length(plain) <= 40, sign * (whole * 100 + hundredths + up))
+        return sign * (whole * 100 + hundredths + up)
 
     number = F.when(text.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$"), text)
     return let(let(number, digits_to_cents), guarded).cast("bigint")

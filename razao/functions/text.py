@@ -193,13 +193,17 @@ def content_hash(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key that orders digit runs by value: 9 before 10."""
+    """Sort key that orders digit runs by value: 9 before 10. Each run follows its length."""
     runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(
         F.transform(
             runs,
             lambda run: F.when(
-                run.rlike("^[0-9]"), F.lpad(F.regexp_replace(run, "^0+(?=.)", ""), 20, "0")
+                run.rlike("^[0-9]"),
+                let(
+                    F.regexp_replace(run, "^0+(?=.)", ""),
+                    lambda value: F.concat(F.lpad(F.length(value).cast("string"), 10, "0"), value),
+                ),
             ).otherwise(run),
         ),
         "",

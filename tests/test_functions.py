@@ -125,3 +125,16 @@ def test_calendar(spark):
     assert rows["2025-12-25"].next_business_day == dt.date(2025, 12, 26)
     assert rows["2025-03-01"].next_business_day == dt.date(2025, 3, 5)
     assert rows["2025-03-09"].previous_business_day == dt.date(2025, 3, 7)
+
+
+def test_amounts_beyond_the_range_are_null(values):
+    texts = ["923456781234567890123.75", "0" * 30 + "17.25", "4." + "0" * 60, "-812345678901234567890123456789"]
+    for parse in (money.from_db, money.parse_tolerant_amount):
+        assert values(texts, parse) == [None, 1725, 400, None]
+    assert values(["923456781234567890123,75", "R$ " + "0" * 25 + "17,25"], money.parse_user_amount) == [None, 1725]
+
+
+def test_long_digit_runs_keep_their_order(spark):
+    texts = ["n9", "n10", f"n{10**22 + 7}", f"n{10**26}", f"n{10**26 + 1}", f"n000{10**26 + 2}"]
+    df = spark.createDataFrame([(t,) for t in reversed(texts)], "v string")
+    assert [r.v for r in df.orderBy(text.natural_key(F.col("v"))).collect()] == texts
