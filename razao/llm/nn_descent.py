@@ -194,13 +194,9 @@ def gatherings(lists: DataFrame, fresh: DataFrame, width: int, threshold: float,
     saturated = lists.where((F.col("r") == width) & (F.col("cos") >= threshold)).select("a")
     known = lists.where(F.col("cos") >= threshold).join(saturated, "a", "left_semi").select("a", "b")
     known = known.union(saturated.select("a", F.col("a").alias("b")))
-    picks = []
-    for k in range(HUBS):
-        by = F.xxhash64("b", F.lit(turn * HUBS + k))
-        picks.append(known.groupBy("a").agg(F.min(F.struct(by.alias("h"), "b")).alias("m")).select(F.xxhash64(F.lit(turn * HUBS + k), "m.b").alias("g"), F.col("a").alias("b")))
-    large = picks[0]
-    for more in picks[1:]:
-        large = large.union(more)
+    seeds = [turn * HUBS + k for k in range(HUBS)]
+    picks = known.groupBy("a").agg(*[F.min(F.struct(F.xxhash64("b", F.lit(s)).alias("h"), "b")).alias(f"m{s}") for s in seeds])
+    large = picks.select(F.explode(F.array(*[F.xxhash64(F.lit(s), f"m{s}.b") for s in seeds])).alias("g"), F.col("a").alias("b"))
     return small.union(large.withColumn("fresh", F.lit(True)))
 
 
