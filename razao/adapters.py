@@ -83,7 +83,7 @@ def transactions_from(orders: DataFrame) -> DataFrame:
 
 
 def statement_lines_from(orders: DataFrame) -> DataFrame:
-    """Bank lines: most orders once more, cleared later, plus fees nobody booked."""
+    """Bank lines: every order cleared later, a seventh three cents off, plus fees nobody booked."""
     key, account = F.col("o_orderkey"), F.col("o_custkey")
     booking = F.col("o_orderdate").cast("date")
     price = from_decimal(F.col("o_totalprice"))
@@ -101,10 +101,10 @@ def statement_lines_from(orders: DataFrame) -> DataFrame:
         account.alias("bank_account_id"),
         posted.alias("posted_at"),
     )
-    real = orders.where(key % 7 != 0).select(
+    real = orders.select(
         key.alias("id"),
         *shared,
-        F.when(key % 4 >= 2, -price).otherwise(price).alias("amount"),
+        (F.when(key % 4 >= 2, -price).otherwise(price) + F.when(key % 7 == 0, 3).otherwise(0)).alias("amount"),
         F.concat(
             pick(key, MEMO_WORDS),
             F.lit(" "),
@@ -304,14 +304,13 @@ class Model:
 
     @cached_property
     def closings(self) -> DataFrame:
-        """One closing per company and month with movement before December 1999."""
+        """One closing per company and month with movement; those from December 1999 on are reopened."""
         period = F.trunc(F.col("o_orderdate").cast("date"), "MM")
         months = F.col("company_id") * 1000 + F.year("period") * 12 + F.month("period") - 1 - 1995 * 12
-        locked = F.col("id") % 3 != 0
+        locked = (F.col("id") % 3 != 0) & (F.col("period") < F.lit("1999-12-01").cast("date"))
         at = F.col("period").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(40))
         return (
             self.raw("orders")
-            .where(F.col("o_orderdate") < F.lit("1999-12-01").cast("timestamp_ntz"))
             .select((F.col("o_custkey") % COMPANIES).alias("company_id"), period.alias("period"))
             .distinct()
             .withColumn("id", months)
@@ -353,7 +352,6 @@ class Model:
         key, line = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
         return (
             self.raw("lineitem")
-            .where(F.col("l_linenumber") <= 2)
             .groupBy(key.alias("invoice_id"), line.alias("n"))
             .agg(
                 F.sum(from_decimal(F.col("l_extendedprice"))).alias("amount"),
@@ -448,7 +446,6 @@ class Model:
         text = F.concat(pick(key, MEMO_WORDS), F.lit(" "), F.lower("o_orderpriority"))
         return (
             self.raw("orders")
-            .where(key % 7 != 0)
             .select(
                 key.alias("id"),
                 (pool % COMPANIES).alias("company_id"),
@@ -457,6 +454,7 @@ class Model:
                 (
                     F.when(key % 4 >= 2, -1000).otherwise(1000) * (1 + key % 3)
                     + F.when(key % 10 == 3, 7).otherwise(0)
+                    + F.when(key % 7 == 0, 11).otherwise(0)
                 )
                 .cast("bigint")
                 .alias("amount"),

@@ -75,7 +75,8 @@ MODEL = {
         SELECT o_orderkey AS id, o_custkey % 25 AS company_id,
                o_custkey * 1000 + {_MONTH.format("(" + _POSTED + ")")} AS import_id,
                o_custkey AS bank_account_id, {_POSTED} AS posted_at,
-               CASE WHEN o_orderkey % 4 >= 2 THEN -{_PRICE} ELSE {_PRICE} END AS amount,
+               CASE WHEN o_orderkey % 4 >= 2 THEN -{_PRICE} ELSE {_PRICE} END
+                   + CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 0 END AS amount,
                {_pick("o_orderkey", WORDS)} || ' ' || lower(o_orderpriority) || ' Cliente '
                    || o_custkey || ' doc ' || o_orderkey AS memo,
                CASE WHEN o_orderkey % 9 <> 0 THEN 'F' || o_orderkey END AS fitid,
@@ -85,7 +86,7 @@ MODEL = {
                CASE WHEN o_orderkey % 10 < 2 THEN o_orderkey END AS matched_transaction_id,
                CASE WHEN o_orderkey % 10 = 2 AND o_orderkey % 20 <> 2 THEN 'duplicada' END
                    AS ignored_reason
-        FROM orders WHERE o_orderkey % 7 <> 0
+        FROM orders
         UNION ALL
         SELECT o_orderkey + 1000000000000, o_custkey % 25,
                o_custkey * 1000 + {_MONTH.format("(" + _POSTED + ")")}, o_custkey, {_POSTED},
@@ -154,16 +155,16 @@ MODEL = {
         FROM supplier)""",
     "closings": f"""
         SELECT id, company_id, period,
-               CASE WHEN id % 3 <> 0 THEN stamp END AS locked_at,
-               CASE WHEN id % 3 <> 0 THEN company_id END AS locked_by,
-               CASE WHEN id % 3 = 0 THEN stamp END AS reopened_at,
-               CASE WHEN id % 3 = 0 THEN company_id + 1 END AS reopened_by,
-               CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'ajuste' END AS reopen_reason
-        FROM (SELECT DISTINCT o_custkey % 25 AS company_id,
+               CASE WHEN locked THEN stamp END AS locked_at,
+               CASE WHEN locked THEN company_id END AS locked_by,
+               CASE WHEN NOT locked THEN stamp END AS reopened_at,
+               CASE WHEN NOT locked THEN company_id + 1 END AS reopened_by,
+               CASE WHEN NOT locked AND id % 2 = 0 THEN 'ajuste' END AS reopen_reason
+        FROM (SELECT *, id % 3 <> 0 AND period < DATE '1999-12-01' AS locked FROM (SELECT DISTINCT o_custkey % 25 AS company_id,
                      CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
                      CAST(period AS TIMESTAMP) + INTERVAL 40 DAY AS stamp,
                      (o_custkey % 25) * 1000 + {_MONTH.format("period")} AS id
-              FROM orders WHERE o_orderdate < TIMESTAMP '1999-12-01')""",
+              FROM orders))""",
     "invoices": f"""
         SELECT o_orderkey AS id, o_custkey % 25 AS company_id,
                CAST(o_orderkey - o_orderkey % 2 AS VARCHAR) AS number,
@@ -181,7 +182,7 @@ MODEL = {
                l_orderkey + l_linenumber - 1 AS transaction_id,
                CAST(sum({_cents("l_extendedprice")}) AS BIGINT) AS amount,
                max(l_shipdate) AS created_at
-        FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber""",
+        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "audit_log": f"""
         SELECT event_id AS id, user_id % 25 AS company_id,
                {_pick("event_id", "transactions|bank_accounts|invoices|monthly_closings")}
@@ -220,10 +221,11 @@ MODEL = {
                o_custkey // 15 AS bank_account_id,
                CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) AS posted_at,
                CASE WHEN o_orderkey % 4 >= 2 THEN -1000 ELSE 1000 END * (1 + o_orderkey % 3)
-                   + CASE WHEN o_orderkey % 10 = 3 THEN 7 ELSE 0 END AS amount,
+                   + CASE WHEN o_orderkey % 10 = 3 THEN 7 ELSE 0 END
+                   + CASE WHEN o_orderkey % 7 = 0 THEN 11 ELSE 0 END AS amount,
                {_pick("o_orderkey", WORDS)} || ' ' || lower(o_orderpriority)
                    || CASE WHEN o_orderkey % 12 = 0 THEN ' nr ' || o_orderkey ELSE '' END AS memo
-        FROM orders WHERE o_orderkey % 7 <> 0""",
+        FROM orders""",
 }
 
 NORMAL = (
@@ -240,4 +242,4 @@ def with_model(tables: str, body: str) -> str:
     parts = ", ".join(f"{name} AS ({MODEL[name]})" for name in tables.split())
     body = body.strip()
     glue = "," if body.startswith(",") else ""
-    return f"WITH {parts}{glue} {body.lstrip(',')}"
+    return f"WITH RECURSIVE {parts}{glue} {body.lstrip(',')}"

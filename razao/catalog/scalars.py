@@ -309,9 +309,8 @@ _NEXT = f""", days AS (SELECT unnest(generate_series(DATE '1994-12-01', DATE '20
        FROM transactions JOIN near ON near.d = booking_date""",
 )
 def next_previous_business_day(m: Model):
-    table = dates.calendar(m.spark, "1995-01-01", "2002-01-31")
-    # A few thousand days whatever the ledger's size: bounded by the two dates above.
-    return m.transactions.join(F.broadcast(table), F.col("booking_date") == F.col("date")).select(
+    table = dates.calendar_of(m.transactions, "booking_date")
+    return m.transactions.join(table, F.col("booking_date") == F.col("date"), "left").select(
         "id",
         F.col("next_business_day").alias("next_day"),
         F.col("previous_business_day").alias("previous_day"),

@@ -11,7 +11,7 @@ from razao.catalog.base import query
 from razao.catalog.jobs import _STATE
 from razao.catalog.ledger import _state
 from razao.catalog.matching import _CONTESTED, _PLAN
-from razao.catalog.scalars import _ORDERS, _days, grouped
+from razao.catalog.scalars import _NEXT, _ORDERS, _days, grouped
 from razao.functions import dates, money
 from razao.operators import filters as flt
 from razao.operators import ordering
@@ -118,18 +118,9 @@ def compare(m: Model):
     return _days(m).select("id", place.alias("place"))
 
 
-_HOLIDAY_1999 = """('1999-01-01', '1999-02-15', '1999-02-16', '1999-04-02', '1999-04-21', '1999-05-01',
-    '1999-06-03', '1999-09-07', '1999-10-12', '1999-11-02', '1999-11-15', '1999-11-20', '1999-12-25',
-    '2000-01-01', '1998-12-25')"""
-_OPEN_1999 = f"""WITH days AS (SELECT unnest(generate_series(DATE '1998-12-20', DATE '2000-01-10',
-        INTERVAL 1 DAY))::DATE AS d),
-    open AS (SELECT d FROM days WHERE isodow(d) < 6 AND d::VARCHAR NOT IN {_HOLIDAY_1999}) """
-
-
 @query(
     "next_business_day",
-    sql=_OPEN_1999 + """SELECT o_orderkey AS id, (SELECT min(d) FROM open WHERE d >= CAST(o_orderdate AS DATE))
-       ::VARCHAR AS day FROM orders WHERE year(o_orderdate) = 1999""",
+    sql="WITH " + _NEXT.lstrip(", ") + f"""SELECT id, later::VARCHAR AS day FROM ({_ORDERS}) JOIN near USING (d)""",
 )
 def next_business_day(m: Model):
     return _business(m, "next_business_day")
@@ -137,20 +128,15 @@ def next_business_day(m: Model):
 
 @query(
     "previous_business_day",
-    sql=_OPEN_1999 + """SELECT o_orderkey AS id, (SELECT max(d) FROM open WHERE d <= CAST(o_orderdate AS DATE))
-       ::VARCHAR AS day FROM orders WHERE year(o_orderdate) = 1999""",
+    sql="WITH " + _NEXT.lstrip(", ") + f"""SELECT id, earlier::VARCHAR AS day FROM ({_ORDERS}) JOIN near USING (d)""",
 )
 def previous_business_day(m: Model):
     return _business(m, "previous_business_day")
 
 
 def _business(m: Model, column: str):
-    table = dates.calendar(m.spark, "1999-01-01", "1999-12-31")
-    rows = _days(m).where(F.year("d") == 1999)
-    # 365 rows by construction.
-    return rows.join(F.broadcast(table), rows["d"] == table["date"]).select(
-        "id", F.col(column).alias("day")
-    )
+    table = dates.calendar_of(_days(m), "d")
+    return _days(m).join(table, F.col("d") == F.col("date"), "left").select("id", F.col(column).alias("day"))
 
 
 @query(

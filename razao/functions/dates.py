@@ -128,27 +128,39 @@ def national_holidays(years: DataFrame, year: str = "year") -> DataFrame:
     )
 
 
+def calendar_of(rows: DataFrame, date: str) -> DataFrame:
+    """The calendar from the earliest to the latest ``date`` of ``rows``."""
+    return _calendar(rows.agg(F.min(date).alias("first"), F.max(date).alias("last")).where("first IS NOT NULL"))
+
+
 def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """One row per day: weekend, national holiday, business day, next and previous one.
 
     The table has as many rows as days between the bounds (some thousands for ten years), so
-    it is safe to broadcast whatever the size of the ledger. The bounded frames look 59 days
-    around; they are cut from a span widened by 60 days, so the edges are right.
+    it is safe to broadcast whatever the size of the ledger.
     """
-    days = spark.sql(
-        f"SELECT explode(sequence(date'{first}' - 60, date'{last}' + 60)) AS date"
-    ).select(
+    return _calendar(spark.sql(f"SELECT date'{first}' AS first, date'{last}' AS last"))
+
+
+def _calendar(bounds: DataFrame) -> DataFrame:
+    """``bounds`` is one row (first, last). The span is widened by 60 days for its edges."""
+    span = F.sequence(F.date_sub("first", 60), F.date_add("last", 60))
+    days = bounds.select("first", "last", F.explode(span).alias("date")).select(
+        "first",
+        "last",
         "date",
         is_weekend(F.col("date")).alias("is_weekend"),
         is_national_holiday(F.col("date")).alias("is_holiday"),
     )
     business = F.when(~F.col("is_weekend") & ~F.col("is_holiday"), F.col("date"))
-    order = W.partitionBy(F.lit(0)).orderBy("date")
+    earlier = W.partitionBy("first").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("first").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, 0)
     return (
         days.withColumn("is_business_day", business.isNotNull())
-        .withColumn("next_business_day", F.min(business).over(order.rowsBetween(0, 59)))
-        .withColumn("previous_business_day", F.max(business).over(order.rowsBetween(-59, 0)))
-        .where(F.col("date").between(day(first), day(last)))
+        .withColumn("next_business_day", F.min(business).over(later))
+        .withColumn("previous_business_day", F.max(business).over(earlier))
+        .where(F.col("date").between(F.col("first"), F.col("last")))
+        .drop("first", "last")
     )
 
 

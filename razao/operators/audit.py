@@ -64,16 +64,17 @@ def audit_capture(before: DataFrame, after: DataFrame, table: str, key: str = "i
 
 def audit_report(
     log: DataFrame, profiles: DataFrame, month_start: Column, month_end: Column,
-    table: str | None = None, cap: int = 500,
+    table: str | None = None, cap: int | None = None,
 ) -> DataFrame:
-    """Newest rows of a month per company, with actor and table names.
+    """Rows of a month with actor and table names; the newest ``cap`` per company if one is given.
 
-    ``profiles`` (user_id, full_name). The month is cut by instants, in UTC.
+    ``profiles`` (user_id, full_name). The month is cut by instants, in UTC. With a cap the rows
+    carry their ``place`` and whether the cap was reached.
     """
     rows = log.where((F.col("changed_at") >= month_start) & (F.col("changed_at") < month_end))
     if table is not None:
         rows = rows.where(F.col("table_name") == table)
-    newest = capped_list(rows, [F.desc("changed_at"), F.desc("id")], cap)
+    newest = rows if cap is None else capped_list(rows, [F.desc("changed_at"), F.desc("id")], cap)
     labels = F.create_map(*[F.lit(x) for pair in TABLE_LABELS.items() for x in pair])
     named = lookup(newest, profiles, "changed_by", "user_id", "full_name", "_name")
     actor = F.when(F.col("changed_by").isNull(), "Fora do app").otherwise(

@@ -34,6 +34,7 @@ from razao.schema import (
     REALIZED,
     RECONCILED,
 )
+from razao.session import cut_lineage
 
 
 def _first_wins(decisions: DataFrame, key: str, reason: str) -> DataFrame:
@@ -90,9 +91,34 @@ def reconcile(decisions: DataFrame, lines: DataFrame, transactions: DataFrame) -
             .when(F.col("txn_state") != NOT_RECONCILED, "transaction_not_open"),
         )
     )
-    judged = _first_wins(judged, "line_id", "line_taken_in_batch")
-    judged = _first_wins(judged, "transaction_id", "transaction_taken_in_batch")
-    return judged.select("decision_id", "line_id", "transaction_id", "reject_reason")
+    return _one_to_one(judged).select("decision_id", "line_id", "transaction_id", "reject_reason")
+
+
+def _one_to_one(judged: DataFrame) -> DataFrame:
+    """Reject valid decisions whose line or transaction an accepted earlier one has taken.
+
+    A decision that comes first for both its sides is accepted, and what it takes is closed to
+    the others; the rest is judged again until none is open, as one by one. A refused decision
+    takes nothing.
+    """
+    order = F.struct("requested_at", "decision_id")
+    waiting = cut_lineage(judged.where(F.col("reject_reason").isNull()).select("requested_at", "decision_id", "line_id", "transaction_id"))
+    taken: DataFrame | None = None
+    while not waiting.isEmpty():
+        marked = waiting
+        for key in ("line_id", "transaction_id"):
+            marked = marked.join(waiting.groupBy(key).agg(F.min(order).alias(f"_{key}")), key)
+        won = cut_lineage(marked.where((F.col("_line_id") == order) & (F.col("_transaction_id") == order)).select(*waiting.columns))
+        taken = won if taken is None else taken.unionByName(won)
+        waiting = cut_lineage(waiting.join(won.select("line_id"), "line_id", "left_anti").join(won.select("transaction_id"), "transaction_id", "left_anti"))
+    if taken is None:
+        return judged
+    by_line = taken.select("line_id", order.alias("_by_line"))
+    # Whoever is refused although no earlier decision took its line lost its transaction.
+    reason = F.when(F.col("_by_line") < order, "line_taken_in_batch").when(
+        ~F.coalesce(F.col("_by_line") == order, F.lit(False)), "transaction_taken_in_batch"
+    )
+    return judged.join(by_line, "line_id", "left").withColumn("reject_reason", F.coalesce("reject_reason", reason))
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -269,10 +295,9 @@ def settle_invoices(
 ) -> DataFrame:
     """Judge (decision_id, requested_at, transaction_id, invoice_id, amount).
 
-    All allocations of one decision hold together: one bad allocation rejects them all with
-    the decision's first reason. Outstanding amounts are used up in request order, counting
-    every well-formed earlier request of the batch, so two credits cannot both take the rest
-    of one invoice.
+    All allocations of one decision hold together: one bad allocation rejects them all.
+    Outstanding amounts are used up in request order by accepted decisions only, so two credits
+    cannot both take the rest of one invoice and a refused one takes nothing.
     """
     credit = _prefixed(
         with_period_lock(transactions, closings),
@@ -306,29 +331,51 @@ def settle_invoices(
         .when((F.col("_times") > 1) | F.col("_stored"), "invoice_repeated")
     )
     rows = rows.withColumn("_own", own)
-    rows = running_sums(
-        rows.withColumn("_hour", F.date_trunc("hour", "requested_at")),
-        ["invoice_id"],
-        ["requested_at", "decision_id"],
-        "_hour",
-        {"_wanted": F.when(F.col("_own").isNull(), F.col("amount"))},
-    )
-    over = F.col("_wanted") > F.col("outstanding_amount")
-    rows = rows.withColumn("_own", F.coalesce("_own", F.when(over, "over_outstanding")))
     whole = rows.groupBy("decision_id").agg(
         F.min("_own").alias("_any"),
         F.sum("amount").alias("_total"),
         F.max("txn_amount").alias("_credit"),
     )
-    reason = F.coalesce(
-        "_any", F.when(F.col("_total") > F.col("_credit"), "over_credit")
+    reason = F.coalesce("_any", F.when(F.col("_total") > F.col("_credit"), "over_credit"))
+    alone = cut_lineage(whole.select("decision_id", reason.alias("_alone")))
+    columns = ["decision_id", "requested_at", "invoice_id", "amount", "outstanding_amount"]
+    fit = _fitting(rows.join(alone.where(F.col("_alone").isNull()), "decision_id", "left_semi").select(columns))
+    verdict = alone.join(fit.withColumn("_fits", F.lit(True)), "decision_id", "left").select(
+        "decision_id",
+        F.coalesce("_alone", F.when(F.col("_fits").isNull(), "over_outstanding")).alias("reject_reason"),
     )
-    verdict = whole.select("decision_id", reason.alias("reject_reason"))
     return rows.join(verdict, "decision_id").select(
         "decision_id", "company_id", "transaction_id", "invoice_id", "amount", "reject_reason"
     )
 
 
+def _fitting(rows: DataFrame) -> DataFrame:
+    """The decisions whose amounts fit, judged in request order, as (decision_id).
+
+    Each round sums what earlier decisions take from an invoice twice: with the open ones and
+    without them. Who fits in either case is accepted, who fits in neither is refused; the first
+    open decision is always settled, and most are in the first rounds.
+    """
+    rows = cut_lineage(rows.withColumn("_hour", F.date_trunc("hour", "requested_at")).withColumn("_in", F.lit(None).cast("boolean")))
+    while not rows.where(F.col("_in").isNull()).isEmpty():
+        summed = running_sums(
+            rows,
+            ["invoice_id"],
+            ["requested_at", "decision_id"],
+            "_hour",
+            {"_most": F.col("amount"), "_least": F.when(F.col("_in"), F.col("amount"))},
+        )
+        fits = F.col("_most") <= F.col("outstanding_amount")
+        hopeless = F.col("_least") + F.col("amount") > F.col("outstanding_amount")
+        judged = summed.where(F.col("_in").isNull()).groupBy("decision_id").agg(
+            F.when(F.bool_or(hopeless), False).when(F.bool_and(fits), True).alias("_now")
+        )
+        rows = rows.join(judged, "decision_id", "left").withColumn("_in", F.coalesce("_in", "_now")).drop("_now")
+        # Refused amounts are given back.
+        rows = cut_lineage(rows.where(F.coalesce("_in", F.lit(True))))
+    return rows.select("decision_id").distinct()
+
+
 def invoice_status(invoices: DataFrame, settlements: DataFrame) -> DataFrame:
     """Status from the settlements; a cancelled invoice keeps its state."""
     paid, amount = F.col("received_amount"), F.col("amount")

@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from razao.functions.text import content_hash, normalize_text
 from razao.schema import IMPORTABLE_SOURCES
 
-# Lines a file may have, and memo characters in a composite key.
-MAX_LINES = 10_000
-KEY_MEMO = 80
-
 
 def composite_base(posted_at: Column, amount: Column, memo: Column) -> Column:
     """``c:<day>|<cents>|<memo>|``: what identifies a line that has no bank id."""
@@ -28,7 +24,7 @@ def composite_base(posted_at: Column, amount: Column, memo: Column) -> Column:
         F.lit("|"),
         amount.cast("string"),
         F.lit("|"),
-        F.substring(normalize_text(memo), 1, KEY_MEMO),
+        normalize_text(memo),
         F.lit("|"),
     )
 
@@ -36,12 +32,12 @@ def composite_base(posted_at: Column, amount: Column, memo: Column) -> Column:
 def with_dedup_key(lines: DataFrame) -> DataFrame:
     """Add ``dedup_key``: the bank's id, else day, cents, memo and occurrence number.
 
-    Equal lines are numbered inside their file, in file order; a file has at most
-    ``MAX_LINES`` lines, which bounds the window. One pass, so a file is parsed once.
+    Equal lines are numbered inside their file, in file order. One pass, so a file is parsed
+    once; lines with a bank id are spread by it, as their number is not used.
     """
     has_id = F.trim(F.coalesce("fitid", F.lit(""))) != ""
     base = composite_base(F.col("posted_at"), F.col("amount"), F.col("memo"))
-    order = W.partitionBy("file", "_base").orderBy("line_no")
+    order = W.partitionBy("file", F.coalesce("_base", "fitid")).orderBy("line_no")
     occurrence = (F.row_number().over(order) - 1).cast("string")
     return (
         lines.withColumn("_base", F.when(~has_id, base))
@@ -65,11 +61,13 @@ def line_is_valid() -> Column:
     )
 
 
-def payload_gate(files: DataFrame, lines: DataFrame) -> DataFrame:
+def payload_gate(files: DataFrame, lines: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Why each file is refused, or null: source, no lines, too many, malformed, only zeros.
 
-    ``files`` (file, source), ``lines`` with canonical columns.
+    ``files`` (file, source), ``lines`` with canonical columns. Files of any length pass unless
+    the caller states ``max_lines``.
     """
+    too_many = F.lit(False) if max_lines is None else F.coalesce("line_count", F.lit(0)) > max_lines
     counts = lines.groupBy("file").agg(
         F.count("*").alias("line_count"),
         F.sum((~line_is_valid()).cast("bigint")).alias("_bad"),
@@ -79,7 +77,7 @@ def payload_gate(files: DataFrame, lines: DataFrame) -> DataFrame:
     reason = (
         F.when(~F.coalesce(F.col("source").isin(*IMPORTABLE_SOURCES), F.lit(False)), "source")
         .when(total == 0, "no_lines")
-        .when(total > MAX_LINES, "too_many_lines")
+        .when(too_many, "too_many_lines")
         .when(F.col("_bad") > 0, "malformed_line")
         .when(F.coalesce("_moving", F.lit(0)) == 0, "only_zero_amounts")
     )

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from razao.functions.dates import day, days_in_month
 
-# Days of a weekly and a biweekly step, months of a monthly and a yearly one,
-# and the steps after which a template counts as corrupted.
+# Days of a weekly and a biweekly step, months of a monthly and a yearly one.
 DAY_STEPS = {"semanal": 7, "quinzenal": 14}
 MONTH_STEPS = {"mensal": 1, "anual": 12}
-MAX_STEPS = 5000
 # Months after which the shortest month has certainly been visited (a common February).
 VISITED = 48
 
@@ -55,7 +53,7 @@ def expand_recurrences(recurrences: DataFrame, first, last) -> DataFrame:
         whole = F.when(by_day, F.floor(F.datediff(date, start) / days)).otherwise(
             F.floor(F.months_between(F.trunc(date, "MM"), F.trunc(start, "MM")) / months)
         )
-        return F.least(F.greatest(whole + slack, F.lit(0)), F.lit(MAX_STEPS - 1)).cast("int")
+        return F.greatest(whole + slack, F.lit(0)).cast("int")
 
     low, high = steps(day(first), -1), steps(limit, 1)
     k = F.col("_k")

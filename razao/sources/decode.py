@@ -35,8 +35,9 @@ def _as_utf8(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")
 
 
-def _head(content: Column, size: int) -> Column:
-    return F.decode(F.substring(content, 1, size), "ISO-8859-1")
+def _header(content: Column) -> Column:
+    """Everything before the ``<OFX>`` element, one character per byte."""
+    return F.split(F.decode(content, "ISO-8859-1"), "(?i)<OFX>", 2)[0]
 
 
 def _declared(head: Column, pattern: str) -> Column:
@@ -48,7 +49,7 @@ XML_ENCODING = r"""(?i)<\?xml[^>]*encoding\s*=\s*["']([\w-]+)["']"""
 
 def statement_charset(content: Column) -> Column:
     """``windows-1252`` or ``utf-8``: XML prolog first, then CHARSET, then ENCODING."""
-    head = _head(content, 512)
+    head = _header(content)
     name = F.coalesce(
         _declared(head, XML_ENCODING),
         _declared(head, r"(?i)CHARSET\s*:\s*([\w-]+)"),
@@ -64,6 +65,6 @@ def decode_statement(content: Column) -> Column:
 
 def decode_invoice(content: Column) -> Column:
     """Only the XML prolog counts for an invoice."""
-    name = _declared(_head(content, 200), r"""(?i)encoding\s*=\s*["']([\w-]+)["']""")
+    name = _declared(F.decode(content, "ISO-8859-1"), XML_ENCODING)
     windows = F.coalesce(name.isin(*WINDOWS_NAMES), F.lit(False))
     return F.when(windows, _as_windows(content)).otherwise(_as_utf8(content))

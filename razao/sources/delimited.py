@@ -33,15 +33,14 @@ HINTS = {
     "credit": ("credito", "entrada", "entradas", "recebimento", "credit"),
     "document": ("documento", "doc", "numero documento", "num doc", "n documento"),
 }
-SAMPLE_LINES = 20
 
 # Unicode noncharacters: they cannot occur in text that is interchanged.
 RECORD_END, FIELD_END = "\ufdd0", "\ufdd1"
 
 
 def detect_separator(text: Column) -> Column:
-    """The separator with the most consistent column count over the first lines."""
-    lines = F.slice(F.filter(F.split(text, r"\r?\n"), lambda x: trimmed(x) != ""), 1, SAMPLE_LINES)
+    """The separator with the most consistent column count over all lines."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: trimmed(x) != "")
     bare = F.transform(lines, lambda x: F.regexp_replace(x, r'"(?:[^"]|"")*(?:"|$)', ""))
 
     def score(counts: Column) -> Column:

@@ -37,35 +37,34 @@ def movement(spark, *rows):
 DONE, PLANNED = "realizado", "previsto"
 
 
+OPENED, OPENING = "2024-02-10", 41235
+MOVES = [
+    (1, "2024-02-12", 1999, DONE), (1, "2024-02-28", -50001, DONE), (1, "2024-02-28", 733, DONE),
+    (1, "2024-03-01", 120, PLANNED), (1, "2024-03-01", 64, DONE), (1, "2024-03-19", 8800, DONE),
+]
+
+
+def plain_balance(date: str) -> int:
+    return OPENING + sum(cents for _, on, cents, status in MOVES if status == DONE and on <= date) if date >= OPENED else 0
+
+
 def test_balance_on(spark):
-    one = accounts(spark, (1, 1000000, "2025-01-01"))
-    moves = movement(
-        spark, (1, "2025-04-02", -70000, DONE), (1, "2025-03-05", 250000, DONE), (1, "2025-03-10", -180000, DONE)
-    )
-    expected = {
-        "2025-03-04": 1000000, "2025-03-05": 1250000, "2025-03-10": 1070000, "2025-03-31": 1070000,
-        "2025-04-30": 1000000, "2024-12-31": 0,
-    }
-    for date, cents in expected.items():
-        assert bal.balance_on(one, moves, date).first().balance == cents
+    one, moves = accounts(spark, (1, OPENING, OPENED)), movement(spark, *MOVES)
+    for date in ("2024-02-09", "2024-02-10", "2024-02-27", "2024-02-28", "2024-03-01", "2024-03-31"):
+        assert bal.balance_on(one, moves, date).first().balance == plain_balance(date)
 
 
 def test_daily_balances(spark):
-    one = accounts(spark, (1, 1000000, "2025-01-01"))
-    moves = movement(
-        spark, (1, "2025-03-05", 250000, DONE), (1, "2025-03-05", 30000, DONE), (1, "2025-03-07", -180000, DONE),
-        (1, "2025-03-06", 5, PLANNED),
-    )
+    one, moves = accounts(spark, (1, OPENING, OPENED)), movement(spark, *MOVES)
 
     def series(first, last):
-        rows = ser.daily_balances(one, moves, first, last).orderBy("date").collect()
-        return [row.balance for row in rows]
+        return {r.date.isoformat(): r.balance for r in ser.daily_balances(one, moves, first, last).collect()}
 
-    assert series("2025-03-04", "2025-03-08") == [1000000, 1280000, 1280000, 1100000, 1100000]
-    assert series("2025-03-10", "2025-03-11") == [1100000, 1100000]
-    assert series("2024-12-30", "2025-01-02") == [1000000, 1000000]
-    last = ser.daily_balances(one, moves, "2025-03-01", "2025-03-31").agg(F.max_by("balance", "date")).first()[0]
-    assert last == bal.balance_on(one, moves, "2025-03-31").first().balance
+    for first, last, days in (("2024-02-10", "2024-03-20", 40), ("2024-03-04", "2024-03-06", 3)):
+        found = series(first, last)
+        assert len(found) == days and found == {d: plain_balance(d) for d in found}
+    before = series("2024-02-08", "2024-02-11")
+    assert set(before.values()) == {OPENING}
 
 
 def project(spark, opening, first, last, *entries, minimum=None):
@@ -77,31 +76,32 @@ def project(spark, opening, first, last, *entries, minimum=None):
     return days.orderBy("date").collect(), ser.projection_summary(days).first()
 
 
+def plain_projection(opening, first, last, entries):
+    """(balance per day, what overdue plans bring to the first day)."""
+    overdue = sum(c for on, c, status in entries if status == PLANNED and on < first)
+    days = [day(first) + dt.timedelta(n) for n in range((day(last) - day(first)).days + 1)]
+    sums = [sum(c for on, c, _ in entries if first <= on <= d.isoformat()) for d in days]
+    return [opening + overdue + total for total in sums], overdue
+
+
 def test_projection(spark):
-    days, total = project(
-        spark, 1000000, "2025-03-03", "2025-03-06", ("2025-03-04", -300000, PLANNED), ("2025-03-05", 150000, PLANNED)
-    )
-    assert [d.balance for d in days] == [1000000, 700000, 850000, 850000]
-    assert [d.is_business_day for d in days] == [False, False, True, True]
-    assert total.final_balance == 850000
-    _, total = project(
-        spark, 500000, "2025-03-03", "2025-03-10",
-        ("2025-03-05", -200000, PLANNED), ("2025-03-07", -400000, PLANNED), ("2025-03-09", 300000, PLANNED),
-    )
-    assert (total.first_negative_date, total.lowest_balance, total.lowest_balance_date, total.final_balance) == (
-        day("2025-03-07"), -100000, day("2025-03-07"), 200000,
-    )
+    entries = [("2024-11-13", 2310, PLANNED), ("2024-11-14", -9125, PLANNED), ("2024-11-18", 6400, PLANNED)]
+    days, total = project(spark, 5050, "2024-11-13", "2024-11-19", *entries)
+    expected, _ = plain_projection(5050, "2024-11-13", "2024-11-19", entries)
+    assert [d.balance for d in days] == expected
+    # The 15th is a holiday, the 16th and 17th a weekend.
+    assert [d.is_business_day for d in days] == [True, True, False, False, False, True, True]
+    lowest = min(expected)
+    assert (total.lowest_balance, total.final_balance) == (lowest, expected[-1])
+    assert total.first_negative_date == total.lowest_balance_date == day("2024-11-14")
 
 
 def test_projection_brings_overdue_forward(spark):
-    days, total = project(
-        spark, 500000, "2025-03-10", "2025-03-12",
-        ("2025-03-01", -200000, PLANNED), ("2025-02-20", -100000, PLANNED), ("2025-03-11", -50000, PLANNED),
-        ("2025-03-02", 777, DONE),
-    )
-    assert (days[0].overdue_brought_forward, days[0].balance, total.final_balance) == (-300000, 200000, 150000)
-    _, total = project(spark, 1000000, "2025-03-03", "2025-03-08", ("2025-03-05", -700000, PLANNED), minimum=500000)
-    assert (total.first_below_minimum_date, total.first_negative_date) == (day("2025-03-05"), None)
+    entries = [("2024-10-30", -710, PLANNED), ("2024-11-02", -1290, PLANNED), ("2024-11-13", 45, PLANNED)]
+    days, total = project(spark, 9000, "2024-11-12", "2024-11-14", *entries, ("2024-11-03", 31, DONE), minimum=7040)
+    expected, overdue = plain_projection(9000, "2024-11-12", "2024-11-14", entries)
+    assert ([d.balance for d in days], days[0].overdue_brought_forward) == (expected, overdue)
+    assert (total.first_below_minimum_date, total.first_negative_date) == (day("2024-11-12"), None)
 
 
 def test_horizons(spark):
@@ -125,6 +125,8 @@ def test_recurrences(spark):
     assert expand("2025-03-03", "quinzenal", "2025-03-01", "2025-03-31") == ["03-03", "03-17", "03-31"]
     assert expand("2024-01-10", "mensal", "2025-02-01", "2025-03-31") == ["02-10", "03-10"]
     assert expand("2024-02-29", "anual", "2024-01-01", "2028-12-31") == ["02-29", "02-28", "02-28", "02-28", "02-28"]
+    assert len(expand("1900-01-01", "semanal", "1900-01-01", "2024-12-31")) == (day("2024-12-31") - day("1900-01-01")).days // 7 + 1
+    assert expand("1900-01-01", "semanal", "2024-12-01", "2024-12-31")[-1] == "12-30"
     assert expand("2024-02-29", "anual", "2028-01-01", "2028-12-31", 29) == ["02-29"]
 
 
