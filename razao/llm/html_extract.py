@@ -335,12 +335,15 @@ def _layout_counts(source: str) -> Counter:
 
 
 def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Potentials from at most ``max_labelled`` pages, chosen by a hash of the id.
+    """Potentials from at most ``max_labelled`` pages, chosen by a hash of the id; equal pages count once.
 
     Pages that mark up their article label themselves; each also lends its text to labelled
     layouts of other kinds.
     """
-    chosen = pages.where(F.col("html").isNotNull()).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(max_labelled)
+    usable = pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id", "html", F.xxhash64("html").alias("mark"))
+    # Ids are picked before any html moves, so that only the picked pages' html meets.
+    picked = usable.select("page_id", "mark").distinct().orderBy(F.xxhash64("page_id"), "page_id", "mark").limit(max_labelled)
+    chosen = usable.join(F.broadcast(picked), ["page_id", "mark"], "left_semi").dropDuplicates(["page_id", "mark"])
 
     def count(batches):
         total: Counter = Counter()
@@ -357,7 +360,7 @@ def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
             names=["kind", "name", "a", "b", "n"],
         )
 
-    spread = chosen.repartition(16, "page_id").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    spread = chosen.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     rows = spread.mapInArrow(count, "kind string, name string, a long, b long, n long").groupBy("kind", "name", "a", "b").agg(F.sum("n").alias("n")).collect()
     return model_of({(r.kind, r.name, r.a) if r.b < 0 else (r.kind, r.name, r.a, r.b): r.n for r in rows})
 
