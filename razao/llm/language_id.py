@@ -54,9 +54,11 @@ def _letters() -> np.ndarray:
 def _code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position and value of every code point of valid UTF-8."""
     at = np.flatnonzero((raw & 0xC0) != 0x80)
-    padded = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int64)
-    b0, b1, b2, b3 = (padded[at + k] for k in range(4))
-    value = np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, (b0 & 31) << 6 | (b1 & 63), np.where(b0 < 0xF0, (b0 & 15) << 12 | (b1 & 63) << 6 | (b2 & 63), (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | (b3 & 63))))
+    value = raw[at].astype(np.int64)
+    long = np.flatnonzero(value >= 0x80)
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+    b0, b1, b2, b3 = (padded[at[long] + k].astype(np.int64) for k in range(4))
+    value[long] = np.where(b0 < 0xE0, (b0 & 31) << 6 | (b1 & 63), np.where(b0 < 0xF0, (b0 & 15) << 12 | (b1 & 63) << 6 | (b2 & 63), (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | (b3 & 63)))
     return at, value
 
 
@@ -92,10 +94,10 @@ def measure(texts: list[bytes]) -> Measured:
     plain = np.concatenate([[32], np.where(WHITE[t.bytes], 32, t.bytes), [32]]).astype(np.uint64)
     solid = np.flatnonzero(~WHITE[t.bytes])
     grams = plain[solid] << np.uint64(16) | plain[solid + 1] << np.uint64(8) | plain[solid + 2]
-    slots = (mix(grams + np.uint64(1)) % np.uint64(SLOTS)).astype(np.int64)
+    slots = (mix(grams + np.uint64(1)) & np.uint64(SLOTS - 1)).astype(np.int64)
     sizes = ends - starts
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-    words = (t.hashes(starts, ends) % np.uint64(SLOTS)).astype(np.int64) + SLOTS
+    words = (t.hashes(starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64) + SLOTS
     return Measured(t, starts, ends, owner, script, slots, first, words)
 
 
@@ -105,6 +107,11 @@ class Model:
     weights: np.ndarray  # (2 * SLOTS, languages)
     allowed: np.ndarray  # (scripts, languages)
 
+    @functools.cached_property
+    def columns(self) -> np.ndarray:
+        """The weights of one language side by side."""
+        return np.ascontiguousarray(self.weights.T)
+
 
 def train(docs: DataFrame, lang: str = "lang") -> Model:
     """Counts of n-grams, words and scripts per language, over all rows with a language."""
@@ -145,8 +152,8 @@ def word_scores(m: Measured, model: Model) -> np.ndarray:
     out = np.zeros((len(m.starts), n))
     if not len(out):
         return out
-    for k in range(n):
-        out[:, k] = np.add.reduceat(model.weights[m.grams, k], m.first_gram) + model.weights[m.word_slot, k]
+    for k, weights in enumerate(model.columns):
+        out[:, k] = np.add.reduceat(weights.take(m.grams), m.first_gram) + weights.take(m.word_slot)
     out[m.script < 0] = 0
     has = np.flatnonzero(m.script >= 0)
     allowed = model.allowed[m.script[has]]
@@ -178,8 +185,10 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def paths(m: Measured, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best path of every text of the chunk.
 
-    Where no run of words gains half the penalty over the text's best single language, that
-    language is the whole path; only the other texts are walked word by word.
+    The text's best single language is the whole path unless a run of words gains more than
+    the penalty over it, or a run from the start and one to the end do together: a stretch of r
+    other languages costs r changes at least, or r - 1 where it is the whole text. Only texts
+    that may change are walked word by word.
     """
     out = np.zeros(len(scores), np.int64)
     if not len(scores):
@@ -189,7 +198,8 @@ def paths(m: Measured, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray
     best = np.repeat(np.add.reduceat(scores, first).argmax(1), sizes)
     out[:] = best
     text = np.repeat(np.arange(len(first)), sizes)
-    mixed = np.zeros(len(first), bool)
+    run, head, tail = (np.full(len(first), -np.inf) for _ in range(3))
+    last = first + sizes - 1
     base = scores[np.arange(len(scores)), best]
     for k in range(scores.shape[1]):
         gain = scores[:, k] - base
@@ -199,8 +209,10 @@ def paths(m: Measured, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray
         after, before = after - start, before - start
         far = 2 * (np.abs(after).max() + np.abs(before).max()) + 1
         low = np.minimum.accumulate(before - text * far) + text * far
-        mixed |= np.maximum.reduceat(after - low, first) > switch / 2
-    for i in np.flatnonzero(mixed):
+        run = np.maximum(run, np.maximum.reduceat(after - low, first))
+        head = np.maximum(head, np.maximum.reduceat(after, first))
+        tail = np.maximum(tail, after[last] - np.minimum.reduceat(before, first))
+    for i in np.flatnonzero((run > switch) | (head + tail > switch)):
         part = slice(first[i], first[i] + sizes[i])
         out[part] = viterbi(scores[part], switch)
     return out
