@@ -45,19 +45,17 @@ def account_balances(accounts: DataFrame, transactions: DataFrame, as_of) -> Dat
     Every movement counts, also movement before the opening date (see ``dq_before_opening``).
     """
     realized = F.col("status") == REALIZED
-    net = F.col("net")
-    per_account = (
-        _daily_net(transactions)
-        .groupBy("bank_account_id")
-        .agg(
-            F.sum(F.when(realized & (F.col("booking_date") <= day(as_of)), net)).alias("_current"),
-            F.sum(F.when(realized, net)).alias("_realized"),
-            F.sum(net).alias("_all"),
-            F.sum(
-                F.when((F.col("status") == PLANNED) & (F.col("booking_date") < day(as_of)), net)
-            ).alias("_overdue"),
-            F.sum(F.when(realized, F.col("unreconciled"))).alias("_unreconciled"),
-        )
+    net = F.col("amount")
+    waiting = (F.col("reconciliation") == NOT_RECONCILED).cast("bigint")
+    # No date differs by account here, so the map-side sums leave one row per account and task.
+    per_account = transactions.groupBy("bank_account_id").agg(
+        F.sum(F.when(realized & (F.col("booking_date") <= day(as_of)), net)).alias("_current"),
+        F.sum(F.when(realized, net)).alias("_realized"),
+        F.sum(net).alias("_all"),
+        F.sum(
+            F.when((F.col("status") == PLANNED) & (F.col("booking_date") < day(as_of)), net)
+        ).alias("_overdue"),
+        F.sum(F.when(realized, waiting)).alias("_unreconciled"),
     )
     zero = F.lit(0).cast("bigint")
     opening = F.col("opening_balance")
@@ -208,21 +206,28 @@ def closing_snapshot(accounts: DataFrame, transactions: DataFrame, periods: Data
         .groupBy("bank_account_id", month_start(F.col("booking_date")).alias("period"))
         .agg(F.sum("amount").alias("net"))
     )
-    wanted = accounts.select("bank_account_id", "company_id", "opening_balance").join(
-        periods.select("closing_id", "company_id", "period"), "company_id"
+    # Each wanted month end is a row without movement among its account's months, so the running
+    # sum reaches it where it stands and nothing is joined back.
+    marks = (
+        accounts.select("bank_account_id", "company_id", "opening_balance")
+        .join(periods.select("closing_id", "company_id", "period"), "company_id")
+        .select(
+            "bank_account_id", "period", F.lit(0).cast("bigint").alias("net"),
+            F.lit(True).alias("_wanted"), "closing_id", "opening_balance",
+        )
     )
-    marks = wanted.select("bank_account_id", "period").withColumn("net", F.lit(0).cast("bigint"))
-    order = W.partitionBy("bank_account_id").orderBy("period")
-    totals = (
-        monthly.unionByName(marks)
-        .groupBy("bank_account_id", "period")
-        .agg(F.sum("net").alias("net"))
-        .withColumn("moved", F.sum("net").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    through = W.partitionBy("bank_account_id").orderBy("period").rangeBetween(
+        W.unboundedPreceding, W.currentRow
     )
-    return wanted.join(totals, ["bank_account_id", "period"]).select(
-        "closing_id",
-        "bank_account_id",
-        (F.col("opening_balance") + F.col("moved")).alias("closing_balance"),
+    return (
+        monthly.unionByName(marks, allowMissingColumns=True)
+        .withColumn("moved", F.sum("net").over(through))
+        .where("_wanted")
+        .select(
+            "closing_id",
+            "bank_account_id",
+            (F.col("opening_balance") + F.col("moved")).alias("closing_balance"),
+        )
     )
 
 

@@ -8,87 +8,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from razao.operators.filters import with_period_lock
-from razao.operators.matching import match_statement, unmatched_lines
+from razao.operators.matching import match_statement
 from razao.operators.rules import top_rule
 
+RULE_COLUMNS = ["applied_rule_id", "rule_category_id", "rule_counterparty_id", "rule_cost_center_id"]
+
 
 @dataclass(frozen=True)
 class AutoApplyPlan:
-    """Four disjoint outputs; every input line is in exactly one of them."""
+    """Every input line once, with its match, its rule and what to do with it.
+
+    ``decided`` holds the lines' columns, ``match`` (a struct, or null), the rule columns and
+    ``action``. The four outputs are disjoint parts of it.
+    """
+
+    decided: DataFrame
+
+    def _matches(self, action: str) -> DataFrame:
+        return self.decided.where(F.col("action") == action).select("match.*")
+
+    def _rest(self, action: str) -> DataFrame:
+        return self.decided.where(F.col("action") == action).drop("match", "action")
+
+    @property
+    def reconcile(self) -> DataFrame:
+        return self._matches("reconcile")
+
+    @property
+    def suggested(self) -> DataFrame:
+        return self._matches("suggested")
+
+    @property
+    def create(self) -> DataFrame:
+        return self._rest("create")
 
-    reconcile: DataFrame
-    create: DataFrame
-    suggested: DataFrame
-    uncategorized: DataFrame
+    @property
+    def uncategorized(self) -> DataFrame:
+        return self._rest("uncategorized")
 
 
 def plan_auto_apply(
     lines: DataFrame, transactions: DataFrame, rules: DataFrame, **options
 ) -> AutoApplyPlan:
-    """Exact matches reconcile; unmatched lines with a categorising rule create a transaction."""
+    """Exact matches reconcile; unmatched lines with a categorising rule create a transaction.
+
+    Matching and rules each run once: rules look at distinct memos, so asking them for matched
+    lines too costs less than a second pass of the matching.
+    """
     matches = match_statement(lines, transactions, **options)
-    exact = F.col("confidence") == "exact"
-    rest = top_rule(unmatched_lines(lines, matches), rules)
-    categorised = F.col("rule_category_id").isNotNull()
-    return AutoApplyPlan(
-        reconcile=matches.where(exact),
-        create=rest.where(categorised),
-        suggested=matches.where(~exact),
-        uncategorized=rest.where(~categorised),
+    found = matches.select(F.col("line_id").alias("id"), F.struct(*matches.columns).alias("match"))
+    matched = F.col("match").isNotNull()
+    action = (
+        F.when(F.col("match.confidence") == "exact", "reconcile")
+        .when(matched, "suggested")
+        .when(F.col("rule_category_id").isNotNull(), "create")
+        .otherwise("uncategorized")
     )
+    labelled = top_rule(lines, rules).join(found, "id", "left")
+    unmatched_only = {c: F.when(~matched, F.col(c)) for c in RULE_COLUMNS}
+    return AutoApplyPlan(labelled.withColumns(unmatched_only).withColumn("action", action))
 
 
 def plan_decisions(plan: AutoApplyPlan) -> DataFrame:
     """The plan as one table: line, action, and what the action refers to."""
-    none = F.lit(None).cast("bigint")
-    columns = ["company_id", "bank_account_id", "line_id", "action", "transaction_id", "category_id", "rule_id"]
-
-    def shape(df: DataFrame, action: str, line, transaction, category, rule) -> DataFrame:
-        return df.select(
-            "company_id",
-            "bank_account_id",
-            line.alias("line_id"),
-            F.lit(action).alias("action"),
-            transaction.alias("transaction_id"),
-            category.alias("category_id"),
-            rule.alias("rule_id"),
-        ).select(*columns)
-
-    line, txn = F.col("line_id"), F.col("transaction_id")
-    return (
-        shape(plan.reconcile, "reconcile", line, txn, none, none)
-        .unionByName(shape(plan.suggested, "suggested", line, txn, none, none))
-        .unionByName(
-            shape(
-                plan.create, "create", F.col("id"), none, F.col("rule_category_id"), F.col("applied_rule_id")
-            )
-        )
-        .unionByName(shape(plan.uncategorized, "uncategorized", F.col("id"), none, none, none))
+    creates = F.col("action") == "create"
+    return plan.decided.select(
+        "company_id",
+        "bank_account_id",
+        F.col("id").alias("line_id"),
+        "action",
+        F.col("match.transaction_id").alias("transaction_id"),
+        F.when(creates, F.col("rule_category_id")).alias("category_id"),
+        F.when(creates, F.col("applied_rule_id")).alias("rule_id"),
     )
 
 
 def review_queue(lines: DataFrame, transactions: DataFrame, rules: DataFrame, **options) -> DataFrame:
     """Matches to confirm and lines to categorise in one queue by day."""
-    matches = match_statement(lines, transactions, **options)
-    rest = top_rule(unmatched_lines(lines, matches), rules)
-    none = F.lit(None).cast("bigint")
-    to_match = matches.select(
-        F.lit("match").alias("kind"),
-        "company_id",
-        "posted_at",
-        "line_id",
-        "transaction_id",
-        none.alias("category_id"),
-    )
-    to_sort = rest.select(
-        F.lit("categorize").alias("kind"),
+    decided = plan_auto_apply(lines, transactions, rules, **options).decided
+    return decided.select(
+        F.when(F.col("match").isNotNull(), "match").otherwise("categorize").alias("kind"),
         "company_id",
         "posted_at",
         F.col("id").alias("line_id"),
-        none.alias("transaction_id"),
+        F.col("match.transaction_id").alias("transaction_id"),
         F.col("rule_category_id").alias("category_id"),
-    )
-    return to_match.unionByName(to_sort).orderBy("posted_at", "line_id")
+    ).orderBy("posted_at", "line_id")
 
 
 def auto_apply_reconciliation(
@@ -98,9 +103,8 @@ def auto_apply_reconciliation(
 
     A creation fails where the month of the line is closed; the other lines go on.
     """
-    decisions = plan_decisions(plan_auto_apply(lines, transactions, rules, **options))
-    days = lines.select(F.col("id").alias("line_id"), "posted_at")
-    judged = with_period_lock(decisions.join(days, "line_id"), closings, "posted_at", "locked")
+    decided = plan_auto_apply(lines, transactions, rules, **options).decided
+    judged = with_period_lock(decided, closings, "posted_at", "locked")
     action = F.col("action")
     outcome = (
         F.when(action == "reconcile", "reconciled")
@@ -108,4 +112,4 @@ def auto_apply_reconciliation(
         .when(action == "create", "created")
         .otherwise(action)
     )
-    return judged.select("line_id", outcome.alias("outcome"))
+    return judged.select(F.col("id").alias("line_id"), outcome.alias("outcome"))
