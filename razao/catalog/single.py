@@ -152,23 +152,58 @@ def chronological(m: Model):
     return ordering.chronological(lines).select("id", "file", "posted_at", "place")
 
 
+# Every tenth transaction was reconciled by somebody else after the plan was made.
+_APPLIED = _PLAN + """, done AS (
+        SELECT company_id, line_id, NULL::BIGINT AS rule_id, CASE WHEN day_gap > 3 THEN 'suggested'
+               WHEN transaction_id % 10 = 1 THEN 'failed' ELSE 'reconciled' END AS outcome,
+               CASE WHEN day_gap <= 3 AND transaction_id % 10 = 1 THEN 'transaction_already_reconciled' END AS reason
+        FROM matches
+        UNION ALL
+        SELECT company_id, id, CASE WHEN category_id IS NOT NULL THEN rule_id END,
+               CASE WHEN category_id IS NULL THEN 'uncategorized' WHEN locked THEN 'failed' ELSE 'created' END,
+               CASE WHEN category_id IS NOT NULL AND locked THEN 'month_closed' END
+        FROM (SELECT item.company_id, item.id, top.rule_id, top.category_id, EXISTS (
+                  SELECT 1 FROM closings c WHERE c.company_id = item.company_id
+                  AND c.locked_at IS NOT NULL AND c.period = date_trunc('month', item.posted_at)) AS locked
+              FROM item LEFT JOIN top ON top.line_id = item.id)) """
+
+
+def _applied(m: Model):
+    from razao.plans.reconcile import auto_apply_reconciliation as run
+
+    lines = m.contested_lines.withColumns(
+        {"status": F.lit("pendente"), "matched_transaction_id": F.lit(None).cast("bigint")}
+    )
+    state = F.when(F.col("id") % 10 == 1, "conciliado").otherwise("nao_conciliado")
+    return run(lines, m.contested_transactions.withColumn("reconciliation", state), m.rules, m.closings)
+
+
 @query(
     "auto_apply_reconciliation",
     _CONTESTED + " rules closings",
-    _PLAN + """, done AS (
-        SELECT line_id, CASE WHEN day_gap <= 3 THEN 'reconciled' ELSE 'suggested' END AS outcome FROM matches
-        UNION ALL
-        SELECT item.id, CASE WHEN category_id IS NULL THEN 'uncategorized'
-               WHEN EXISTS (SELECT 1 FROM closings c WHERE c.company_id = item.company_id
-                    AND c.locked_at IS NOT NULL AND c.period = date_trunc('month', item.posted_at))
-               THEN 'failed' ELSE 'created' END
-        FROM item LEFT JOIN top ON top.line_id = item.id)
-    SELECT line_id, outcome FROM done""",
+    _APPLIED + "SELECT line_id, outcome, reason FROM done",
 )
 def auto_apply_reconciliation(m: Model):
-    from razao.plans.reconcile import auto_apply_reconciliation as run
+    return _applied(m).outcomes.select("line_id", "outcome", "reason")
 
-    return run(m.contested_lines, m.contested_transactions, m.rules, m.closings)
+
+@query(
+    "auto_apply_counts",
+    _CONTESTED + " rules closings",
+    _APPLIED + "SELECT company_id, outcome, reason, count(*) AS lines FROM done GROUP BY company_id, outcome, reason",
+)
+def auto_apply_counts(m: Model):
+    return _applied(m).counts()
+
+
+@query(
+    "auto_apply_hits",
+    _CONTESTED + " rules closings",
+    _APPLIED + """SELECT rules.id, hit_count + (SELECT count(*) FROM done WHERE outcome = 'created'
+           AND rule_id = rules.id) AS hit_count FROM rules""",
+)
+def auto_apply_hits(m: Model):
+    return _applied(m).rules.select("id", "hit_count")
 
 
 def _folders(m: Model) -> tuple[str, str]:

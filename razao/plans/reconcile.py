@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from razao.operators.filters import with_period_lock
+from razao.operators.decisions import create_from_line, reconcile
 from razao.operators.matching import match_statement
-from razao.operators.rules import top_rule
+from razao.operators.rules import rule_hits, top_rule
+from razao.session import cut_lineage
 
 RULE_COLUMNS = ["applied_rule_id", "rule_category_id", "rule_counterparty_id", "rule_cost_center_id"]
 
@@ -96,20 +97,56 @@ def review_queue(lines: DataFrame, transactions: DataFrame, rules: DataFrame, **
     ).orderBy("posted_at", "line_id")
 
 
+@dataclass(frozen=True)
+class AutoApplyResult:
+    """What became of every line, and the rules with the hits of this run."""
+
+    outcomes: DataFrame  # company_id, line_id, transaction_id, rule_id, outcome, reason
+    rules: DataFrame
+
+    def counts(self) -> DataFrame:
+        """Lines per company and outcome, failures by reason."""
+        return self.outcomes.groupBy("company_id", "outcome", "reason").agg(F.count("*").alias("lines"))
+
+
 def auto_apply_reconciliation(
     lines: DataFrame, transactions: DataFrame, rules: DataFrame, closings: DataFrame, **options
-) -> DataFrame:
-    """What became of every line: reconciled, created, failed, suggested or uncategorized.
+) -> AutoApplyResult:
+    """Send the plan through the guarded decisions; one refused item never stops the others.
 
-    A creation fails where the month of the line is closed; the other lines go on.
+    A line ends as reconciled, created, failed (with the reason of the refusal), suggested or
+    uncategorized. Only creations that went through count as hits of their rule.
     """
-    decided = plan_auto_apply(lines, transactions, rules, **options).decided
-    judged = with_period_lock(decided, closings, "posted_at", "locked")
-    action = F.col("action")
+    # The plan feeds two kinds of decisions and the report, so it is written once.
+    decided = cut_lineage(plan_decisions(plan_auto_apply(lines, transactions, rules, **options)))
+    asked = decided.select(
+        F.col("line_id").alias("decision_id"), F.lit(0).alias("requested_at"), "*", F.lit("").alias("description")
+    )
+    reconciled = reconcile(
+        asked.where("action = 'reconcile'").select("decision_id", "requested_at", "line_id", "transaction_id"),
+        lines,
+        transactions,
+    )
+    created = create_from_line(
+        asked.where("action = 'create'").select(
+            "decision_id", "requested_at", "line_id", "category_id", "description", "rule_id"
+        ),
+        lines,
+        closings,
+    )
+    refused = (
+        reconciled.select("line_id", "reject_reason")
+        .unionByName(created.select("line_id", "reject_reason"))
+        .where(F.col("reject_reason").isNotNull())
+    )
+    action, reason = F.col("action"), F.col("reject_reason")
     outcome = (
-        F.when(action == "reconcile", "reconciled")
-        .when((action == "create") & F.col("locked"), "failed")
+        F.when(reason.isNotNull(), "failed")
+        .when(action == "reconcile", "reconciled")
         .when(action == "create", "created")
         .otherwise(action)
     )
-    return judged.select(F.col("id").alias("line_id"), outcome.alias("outcome"))
+    outcomes = decided.join(refused, "line_id", "left").select(
+        "company_id", "line_id", "transaction_id", "rule_id", outcome.alias("outcome"), reason.alias("reason")
+    )
+    return AutoApplyResult(outcomes, rule_hits(rules, outcomes.where("outcome = 'created'")))
