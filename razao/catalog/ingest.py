@@ -6,6 +6,8 @@ the oracle states the expected rows from the orders directly, without any text i
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from razao.adapters import Model
@@ -14,7 +16,7 @@ from razao.catalog.matching import _norm
 from razao.catalog.model_sql import _PRICE, WORDS, _pick
 from razao.operators import imports
 from razao.operators import series as ser
-from razao.session import cut_lineage
+from razao.session import checkpoint_dir, cut_lineage
 from razao.sources import canonical, delimited, nfse, ofx
 
 # Lines of the rendered files: `no` numbers the file, `pos` the line in it.
@@ -150,6 +152,38 @@ def ingest_csv(m: Model):
     )
 
 
+@query(
+    "ingest_csv_mapped",
+    sql=_CSV + f"""SELECT 'c' || no AS file, pos AS line_no, day::VARCHAR AS posted_at,
+       CASE WHEN no % 3 = 2 THEN -cents ELSE cents END AS amount, {_CSV_MEMO} AS memo,
+       CASE WHEN no % 3 = 2 THEN lpad(key::VARCHAR, 6, '0') END AS check_number FROM entries""",
+)
+def ingest_csv_mapped(m: Model):
+    """Titles for files with one kind of table, places without a header for the others."""
+    kind = F.substring("file", 2, 20).cast("bigint") % 3
+    text = lambda value: F.when(kind != 2, value)
+    split, whole, places = kind == 1, kind == 0, kind == 2
+    mapping = m.csv_files.select(
+        "file",
+        F.when(split, ",").alias("separator"),
+        F.when(places, 3).when(whole, 2).alias("skip_rows"),
+        F.when(places, False).alias("has_header"),
+        places.alias("invert_sign"),
+        text(F.lit("DATA")).alias("date_title"),
+        F.when(split, "lancamento").when(whole, "histórico").alias("description_title"),
+        F.when(whole, "Valor").alias("amount_title"),
+        F.when(split, "Debito").alias("debit_title"),
+        F.when(split, "CRÉDITO").alias("credit_title"),
+        F.when(places, 0).alias("date_position"),
+        F.when(places, 1).alias("description_position"),
+        F.when(places, 3).alias("amount_position"),
+        F.when(places, 2).alias("document_position"),
+    )
+    return delimited.ingest_csv(m.csv_files, mapping=mapping).select(
+        "file", "line_no", "posted_at", "amount", "memo", "check_number"
+    )
+
+
 @query(
     "canonical_lines",
     sql=_OFX + _CSV.replace(f"WITH {_file_rows(50)}", "", 1) + """, every AS (
@@ -505,6 +539,10 @@ def declared_totals_check(m: Model):
     return canonical.declared_totals_check(lines, declared)
 
 
+_SHOWN = """CASE WHEN # < 0 THEN '-' ELSE '' END || replace(format('{:,}', abs(#) // 100), ',', '.')
+           || ',' || lpad((abs(#) % 100)::VARCHAR, 2, '0')"""
+
+
 @query(
     "export_cash_flow",
     "transactions accounts",
@@ -513,20 +551,28 @@ def declared_totals_check(m: Model):
             WHERE t.company_id = a.company_id AND status = 'realizado'
               AND booking_date < DATE '1999-02-01'), 0) AS opening
         FROM accounts a GROUP BY company_id),
-    moved AS (SELECT company_id, booking_date AS date, sum(amount) AS net FROM transactions
+    moved AS (SELECT company_id, booking_date AS date, sum(amount) FILTER (amount > 0) AS inflow,
+                     sum(amount) FILTER (amount < 0) AS outflow, sum(amount) AS net FROM transactions
               WHERE status = 'realizado' GROUP BY ALL),
-    days AS (SELECT o.company_id, d::DATE AS date, coalesce(net, 0)::BIGINT AS net,
+    days AS (SELECT o.company_id, d::DATE AS date, coalesce(inflow, 0)::BIGINT AS inflow,
+           coalesce(outflow, 0)::BIGINT AS outflow, coalesce(net, 0)::BIGINT AS net,
            (opening + sum(coalesce(net, 0)) OVER (PARTITION BY o.company_id ORDER BY d))::BIGINT AS balance
         FROM openings o CROSS JOIN unnest(generate_series(DATE '1999-02-01', DATE '1999-02-28',
             INTERVAL 1 DAY)) u(d)
         LEFT JOIN moved m ON m.company_id = o.company_id AND m.date = d::DATE)
-    SELECT company_id, strftime(date, '%d/%m/%Y') AS "Data", {0} AS "Liquido", {1} AS "Saldo" FROM days"""
-    .replace("{0}", "CASE WHEN net < 0 THEN '-' ELSE '' END || replace(format('{:,}', abs(net) // 100), ',', '.') || ',' || lpad((abs(net) % 100)::VARCHAR, 2, '0')")
-    .replace("{1}", "CASE WHEN balance < 0 THEN '-' ELSE '' END || replace(format('{:,}', abs(balance) // 100), ',', '.') || ',' || lpad((abs(balance) % 100)::VARCHAR, 2, '0')"),
+    SELECT company_id, strftime(date, '%d/%m/%Y') AS "Data", {inflow} AS "Entradas", {outflow} AS "Saidas",
+           {net} AS "Liquido", {balance} AS "Saldo" FROM days"""
+    .format(**{c: _SHOWN.replace("#", c) for c in ("inflow", "outflow", "net", "balance")}),
 )
 def export_cash_flow(m: Model):
-    """The text of the exported report; the sink writes these columns."""
-    from razao.sources.export import cash_flow_text
+    """The exported files, read back: written to a fresh shared folder by the sink."""
+    from razao.sources.export import export_cash_flow as write
 
     days = ser.cash_flow_report(m.accounts, m.transactions, "1999-02-01", "1999-02-28")
-    return cash_flow_text(days).select("company_id", "Data", "Liquido", "Saldo")
+    folder = f"{checkpoint_dir(m.spark)}/cash-flow-{uuid.uuid4().hex}"
+    write(days, folder)
+    titles = ("Data", "Entradas", "Saidas", "Liquido", "Saldo")
+    schema = ", ".join(f"{title} string" for title in titles) + ", company_id bigint"
+    return m.spark.read.schema(schema).csv(folder, sep=";", header=True).select(
+        "company_id", *titles
+    )

@@ -5,29 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from razao.functions.money import let
 
-def _windows_table() -> tuple[str, str]:
-    """Bytes 0x80-0x9F where windows-1252 differs from ISO-8859-1, taken from the codec."""
+
+def _table(codec: str) -> tuple[str, str]:
+    """Bytes 0x80-0xFF where a one-byte charset differs from ISO-8859-1, taken from the codec."""
     source, target = "", ""
-    for code in range(0x80, 0xA0):
+    for code in range(0x80, 0x100):
         try:
-            char = bytes([code]).decode("cp1252")
+            char = bytes([code]).decode(codec)
         except UnicodeDecodeError:
-            continue  # undefined there: the control character stays
-        source, target = source + chr(code), target + char
+            if code < 0xA0:
+                continue  # undefined there: the control character stays
+            char = "\ufffd"
+        if char != chr(code):
+            source, target = source + chr(code), target + char
     return source, target
 
 
-LATIN_CONTROLS, WINDOWS_CHARS = _windows_table()
-
 # Declared names that all mean windows-1252 in practice.
 WINDOWS_NAMES = (
     "1252", "CP1252", "WINDOWS-1252", "8859-1", "ISO-8859-1", "LATIN1", "USASCII", "US-ASCII",
 )
 
+WINDOWS = "windows-1252"
+
+
+def _one_byte_charsets() -> dict[str, tuple[str, tuple[str, ...]]]:
+    """Charset -> (codec, declared names). 9 and 11 are read as their Windows supersets."""
+    supersets = {9: "cp1254", 11: "cp874"}
+    out = {WINDOWS: ("cp1252", WINDOWS_NAMES)}
+    for part in (*range(2, 12), *range(13, 17)):
+        names = tuple(f"{stem}{part}" for stem in ("ISO-8859-", "ISO8859-", "ISO_8859-", "ISO8859", "8859-"))
+        out[f"iso-8859-{part}"] = (supersets.get(part, f"iso8859_{part}"), names)
+    for page in (1250, 1251, 1253, 1254, 1255, 1256, 1257, 1258):
+        out[f"windows-{page}"] = (f"cp{page}", (f"WINDOWS-{page}", f"CP{page}", f"X-CP{page}", f"{page}"))
+    out["koi8-r"] = ("koi8_r", ("KOI8-R", "KOI8", "KOI"))
+    out["ibm866"] = ("cp866", ("IBM866", "CP866", "866"))
+    return out
+
+
+ONE_BYTE = _one_byte_charsets()
+
+
+def _lookup(table: dict[str, Column], key: Column) -> Column:
+    """A value of a constant map; null for keys it has not."""
+    return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), key)
+
+
+def _charset(name: Column) -> Column:
+    """The charset a declared name means; what is unknown is read as UTF-8."""
+    meant = {name: F.lit(charset) for charset, (_, names) in ONE_BYTE.items() for name in names}
+    return F.coalesce(_lookup(meant, name), F.lit("utf-8"))
+
+
+def _as_text(content: Column, charset: Column) -> Column:
+    tables = {
+        name: F.array(*[F.lit(chars) for chars in _table(codec)]) for name, (codec, _) in ONE_BYTE.items()
+    }
+
+    def read(pair: Column) -> Column:
+        bytes_as_chars = F.decode(content, "ISO-8859-1")
+        return F.when(pair.isNull(), _as_utf8(content)).otherwise(
+            F.call_function("translate", bytes_as_chars, pair[0], pair[1])
+        )
 
-def _as_windows(content: Column) -> Column:
-    return F.translate(F.decode(content, "ISO-8859-1"), LATIN_CONTROLS, WINDOWS_CHARS)
+    return let(_lookup(tables, charset), read)
 
 
 def _as_utf8(content: Column) -> Column:
@@ -48,23 +91,21 @@ XML_ENCODING = r"""(?i)<\?xml[^>]*encoding\s*=\s*["']([\w-]+)["']"""
 
 
 def statement_charset(content: Column) -> Column:
-    """``windows-1252`` or ``utf-8``: XML prolog first, then CHARSET, then ENCODING."""
+    """The charset by name: XML prolog first, then CHARSET, then ENCODING; else ``utf-8``."""
     head = _header(content)
     name = F.coalesce(
         _declared(head, XML_ENCODING),
         _declared(head, r"(?i)CHARSET\s*:\s*([\w-]+)"),
         _declared(head, r"(?i)ENCODING\s*:\s*([\w-]+)"),
     )
-    return F.when(name.isin(*WINDOWS_NAMES), "windows-1252").otherwise("utf-8")
+    return _charset(name)
 
 
 def decode_statement(content: Column) -> Column:
-    windows = statement_charset(content) == "windows-1252"
-    return F.when(windows, _as_windows(content)).otherwise(_as_utf8(content))
+    return _as_text(content, statement_charset(content))
 
 
 def decode_invoice(content: Column) -> Column:
     """Only the XML prolog counts for an invoice."""
     name = _declared(F.decode(content, "ISO-8859-1"), XML_ENCODING)
-    windows = F.coalesce(name.isin(*WINDOWS_NAMES), F.lit(False))
-    return F.when(windows, _as_windows(content)).otherwise(_as_utf8(content))
+    return _as_text(content, _charset(name))

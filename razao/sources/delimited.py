@@ -1,7 +1,6 @@
 """CSV statements: separator and column mapping from the file itself, then canonical lines.
 
-A file is one row until its records are exploded (the import gate bounds a file to 10,000
-lines), so separator, header and mapping are expressions on that row and need no shuffle.
+A file is one row until its records are exploded, so separator, header and mapping are expressions on that row and need no shuffle.
 Quotes are handled by cutting the text at each quote: pieces alternate between outside and
 inside, and an empty outside piece between two quotes is a doubled quote.
 """
@@ -124,14 +123,21 @@ def _looks_like_header(row: Column) -> Column:
     return (F.size(row) >= 3) & let(F.transform(row, normalize_text), named)
 
 
-def csv_layout(files: DataFrame) -> DataFrame:
-    """(file, separator, rows, header row, column places, problem); one row per file."""
+def _parsed(files: DataFrame, separator: Column | None = None) -> DataFrame:
+    """Content as ``rows`` (records of fields), cut at the stated separator or the detected one."""
     text = F.regexp_replace(decode_statement(F.col("content")), "^\ufeff", "")
     decoded = staged(files, {"_text": text}).drop("content")
-    separated = staged(decoded, {"separator": detect_separator(F.col("_text"))})
+    found = detect_separator(F.col("_text"))
+    found = found if separator is None else F.coalesce(separator, found)
+    separated = staged(decoded, {"separator": found})
     cut = staged(separated, {"_records": records(F.col("_text"))}).drop("_text")
     rows = F.transform("_records", lambda record: fields(record, F.col("separator")))
-    parsed = staged(cut, {"rows": rows}).drop("_records")
+    return staged(cut, {"rows": rows}).drop("_records")
+
+
+def csv_layout(files: DataFrame) -> DataFrame:
+    """(file, separator, rows, header row, column places, problem); one row per file."""
+    parsed = _parsed(files)
     place = F.array_position(F.transform("rows", _looks_like_header), True).cast("int")
     placed = staged(parsed, {"header_row": place})
     header = F.when(F.col("header_row") > 0, F.element_at("rows", F.col("header_row")))
@@ -167,12 +173,63 @@ def csv_mapping(files: DataFrame) -> DataFrame:
     )
 
 
-def _rows(files: DataFrame, invert_sign: bool) -> DataFrame:
-    layout = csv_layout(files).where(F.col("problem").isNull())
+# A place no record has: what is stated but not found is read as an empty cell.
+NOWHERE = 2_147_483_647
+
+
+def stated_layout(files: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The layout a person confirmed, one row of ``mapping`` per file.
+
+    ``mapping`` has ``file`` and any of ``separator`` (null: detected), ``skip_rows`` (records
+    before the table, 0), ``has_header`` (true), ``invert_sign`` (false) and, per meaning,
+    ``date_title`` or ``date_position`` (from 0) and so on. A file without mapping is not read.
+    """
+
+    def given(name: str, kind: str) -> Column:
+        return (F.col(name) if name in mapping.columns else F.lit(None)).cast(kind)
+
+    stated = mapping.select(
+        "file",
+        given("separator", "string").alias("_separator"),
+        F.coalesce(given("skip_rows", "int"), F.lit(0)).alias("_skip"),
+        F.coalesce(given("has_header", "boolean"), F.lit(True)).alias("_has_header"),
+        F.coalesce(given("invert_sign", "boolean"), F.lit(False)).alias("invert_sign"),
+        *[normalize_text(given(f"{meaning}_title", "string")).alias(f"_{meaning}_title") for meaning in HINTS],
+        *[(given(f"{meaning}_position", "int") + 1).alias(f"_{meaning}_position") for meaning in HINTS],
+        *[given(f"{meaning}_title", "string").isNotNull().alias(f"_{meaning}_titled") for meaning in HINTS],
+    )
+    parsed = _parsed(files.select("file", "content").join(stated, "file"), F.col("_separator"))
+    header = F.when(F.col("_has_header"), F.try_element_at("rows", F.col("_skip") + 1))
+    titled = staged(parsed, {"_titles": F.transform(header, normalize_text)})
+
+    def place(meaning: str) -> Column:
+        found = F.nullif(F.array_position("_titles", F.col(f"_{meaning}_title")).cast("int"), F.lit(0))
+        by_title = F.when(F.col(f"_{meaning}_titled"), F.coalesce(found, F.lit(NOWHERE)))
+        return F.coalesce(F.col(f"_{meaning}_position"), by_title)
+
+    header_row = F.col("_skip") + F.col("_has_header").cast("int")
+    return titled.select(
+        "file",
+        "separator",
+        "rows",
+        header_row.alias("header_row"),
+        "invert_sign",
+        *[place(meaning).alias(f"{meaning}_column") for meaning in HINTS],
+        F.when(F.size("rows") <= header_row, "no_lines").alias("problem"),
+    )
+
+
+def _rows(files: DataFrame, invert_sign: bool, mapping: DataFrame | None = None) -> DataFrame:
+    if mapping is None:
+        layout = csv_layout(files).withColumn("invert_sign", F.lit(invert_sign))
+    else:
+        layout = stated_layout(files, mapping)
+    layout = layout.where(F.col("problem").isNull())
     data = F.slice("rows", F.col("header_row") + 1, F.size("rows"))
     exploded = staged(layout, {"_data": data}).select(
         "file",
         "header_row",
+        "invert_sign",
         *[f"{meaning}_column" for meaning in HINTS],
         F.posexplode("_data").alias("_index", "_row"),
     )
@@ -200,7 +257,7 @@ def _rows(files: DataFrame, invert_sign: bool) -> DataFrame:
     ).where(F.col("raw_date") != "")
     both = (F.col("_debit") != 0) & (F.col("_credit") != 0)
     split = F.when(~both, F.col("_credit") - F.col("_debit"))
-    single = -F.col("_single") if invert_sign else F.col("_single")
+    single = F.when(F.col("invert_sign"), -F.col("_single")).otherwise(F.col("_single"))
     return staged(
         cells,
         {
@@ -220,10 +277,15 @@ def _rows(files: DataFrame, invert_sign: bool) -> DataFrame:
     )
 
 
-def ingest_csv(files: DataFrame, invert_sign: bool = False) -> DataFrame:
-    """Canonical lines of (file, content); rows without date or with amount zero are dropped."""
+def ingest_csv(
+    files: DataFrame, invert_sign: bool = False, mapping: DataFrame | None = None
+) -> DataFrame:
+    """Canonical lines of (file, content); rows without date or with amount zero are dropped.
+
+    The layout is proposed from the file, or stated by ``mapping`` (see ``stated_layout``).
+    """
     none = F.lit(None).cast("string")
-    rows = _rows(files, invert_sign).where(F.col("posted_at").isNotNull() & (F.col("amount") != 0))
+    rows = _rows(files, invert_sign, mapping).where(F.col("posted_at").isNotNull() & (F.col("amount") != 0))
     return with_dedup_key(
         rows.select(
             "file",
@@ -240,9 +302,11 @@ def ingest_csv(files: DataFrame, invert_sign: bool = False) -> DataFrame:
     )
 
 
-def csv_warnings(files: DataFrame, invert_sign: bool = False) -> DataFrame:
+def csv_warnings(
+    files: DataFrame, invert_sign: bool = False, mapping: DataFrame | None = None
+) -> DataFrame:
     """Rows with a date cell that could not be read."""
-    rows = _rows(files, invert_sign)
+    rows = _rows(files, invert_sign, mapping)
     bad_amount, bad_date = F.col("amount").isNull(), F.col("posted_at").isNull()
     reason = F.when(bad_amount, "valor").when(bad_date & (F.col("amount") != 0), "data")
     return rows.select("file", "line_no", reason.alias("warning")).where("warning IS NOT NULL")

@@ -153,3 +153,54 @@ def test_export(spark, tmp_path):
     assert part.read_bytes().decode() == (
         "﻿Data;Entradas;Saidas;Liquido;Saldo\r\n19/07/2024;1.234,56;-0,01;1.234,55;0,05\r\n"
     )
+
+
+def test_declared_charsets(spark):
+    """Each one-byte charset a header may name, against the same text in UTF-8."""
+    from razao.sources.decode import decode_statement, statement_charset
+
+    cases = [
+        ("ISO-8859-15", "iso8859_15", "iso-8859-15", "preço 12 €"), ("1250", "cp1250", "windows-1250", "żółć"),
+        ("WINDOWS-1251", "cp1251", "windows-1251", "платёж"), ("ISO-8859-9", "cp1254", "iso-8859-9", "ışık"),
+        ("1252", "cp1252", "windows-1252", "tarifa “mês” €"), ("KOI8-R", "koi8_r", "koi8-r", "счёт"),
+        ("NENHUM", "utf-8", "utf-8", "ação"),
+    ]
+    data = [
+        (i, bytearray(f"OFXHEADER:100\nCHARSET:{name}\n\n<OFX>{text}".encode(codec)))
+        for i, (name, codec, _, text) in enumerate(cases)
+    ]
+    df = spark.createDataFrame(data, "file int, content binary")
+    rows = df.select("file", statement_charset(F.col("content")), decode_statement(F.col("content"))).collect()
+    for file, charset, text in rows:
+        assert charset == cases[file][2]
+        assert text.split("<OFX>")[1] == cases[file][3]
+
+
+def test_csv_with_a_stated_layout(spark):
+    """Titles no hint knows, places without a header, a title that is not there."""
+    files = [
+        ("a", "Relatorio\nQuando|Que foi|Quanto\n03/02/2024|cafe|-4,50\n04/02/2024|venda|10,00\nTotal|x|1,00"),
+        ("b", "05/02/2024;aluguel;300,00\n06/02/2024;zero;0,00"),
+        ("c", "Dia;Texto;Valor\n07/02/2024;x;1,00"),
+        ("d", "Dia;Texto;Valor"),
+    ]
+    data = spark.createDataFrame([(f, bytearray(t.encode())) for f, t in files], "file string, content binary")
+    mapping = spark.createDataFrame(
+        [
+            ("a", "|", 1, None, None, "quando", "QUE FOI", "Quanto", None, None, None),
+            ("b", None, None, False, True, None, None, None, 0, 1, 2),
+            ("c", None, None, None, None, "Dia", "Texto", "Montante", None, None, None),
+            ("d", None, None, None, None, "Dia", "Texto", "Valor", None, None, None),
+        ],
+        "file string, separator string, skip_rows int, has_header boolean, invert_sign boolean, date_title string,"
+        " description_title string, amount_title string, date_position int, description_position int,"
+        " amount_position int",
+    )
+    lines = delimited.ingest_csv(data, mapping=mapping).orderBy("file", "line_no").collect()
+    assert [(r.file, str(r.posted_at), r.amount, r.memo) for r in lines] == [
+        ("a", "2024-02-03", -450, "cafe"), ("a", "2024-02-04", 1000, "venda"), ("b", "2024-02-05", -30000, "aluguel"),
+    ]
+    warned = {(r.file, r.warning) for r in delimited.csv_warnings(data, mapping=mapping).collect()}
+    assert warned == {("a", "data"), ("c", "valor")}
+    problems = {r.file: r.problem for r in delimited.stated_layout(data, mapping).collect()}
+    assert problems == {"a": None, "b": None, "c": None, "d": "no_lines"}
