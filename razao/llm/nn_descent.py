@@ -209,13 +209,14 @@ def best_lists(edges: DataFrame, width: int, threshold: float) -> DataFrame:
     return both_ways(edges).withColumn("r", rank).where((F.col("r") <= width) | (F.col("cos") >= threshold))
 
 
-def audit(table: DataFrame, links: DataFrame, threshold: float, share: int = AUDIT_SHARE) -> tuple[DataFrame, float]:
+def audit(table: DataFrame, links: DataFrame, threshold: float, given: DataFrame, turn: int, share: int = AUDIT_SHARE) -> tuple[DataFrame, float]:
     """(missed pairs, recall): the links of a hashed sample of nodes against all of their label.
 
-    The nodes of a label are dealt to blocks and its sample to parts, both of bounded size;
+    Every turn draws a sample of its own, and pairs that earlier audits have ``given`` to the
+    lists do not count, neither as found nor as lost. The nodes of a label are dealt to blocks and its sample to parts, both of bounded size;
     every part meets every block once.
     """
-    sampled = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(share)) == 0
+    sampled = F.pmod(F.xxhash64("node", F.lit(11), F.lit(turn)), F.lit(share)) == 0
     sized = table.select("node", "label", "unit", F.length("unit").alias("dim"))
     counts = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumn("parts", F.ceil(F.col("blocks") / share).cast("int"))
     sized = sized.join(counts, ["label", "dim"])
@@ -233,7 +234,8 @@ def audit(table: DataFrame, links: DataFrame, threshold: float, share: int = AUD
         return _pairs(a, b, cos, (cos >= threshold) & (a[:, None] != b[None, :]))
 
     truth = probes.union(others).groupBy("label", "dim", "block", "part").applyInPandas(compare, "a long, b long, cos double")
-    truth = stored(truth.groupBy("a", "b").agg(F.max("cos").alias("cos")), "audit")
+    truth = truth.groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    truth = stored(truth.join(given.select("a", "b"), ["a", "b"], "left_anti"), "audit")
     missed = stored(truth.join(links.select("a", "b"), ["a", "b"], "left_anti"), "missed")
     total, lost = truth.count(), missed.count()
     return missed, 1.0 if not total else 1 - lost / total
@@ -244,6 +246,7 @@ def near_duplicate_graph(table: DataFrame, threshold: float = THRESHOLD, start:
     width, recall = start, 0.0
     lists = stored(best_lists(scored(projected(table, per=start), table), width, threshold), "lists")
     fresh = lists.select("a", "b", F.lit(True).alias("fresh"))
+    given = lists.select("a", "b").where("false")
     for turn in range(max_rounds):
         full = lists.where(F.col("r") == width).select(F.col("a").alias("b"), F.col("cos").alias("floor"))
         met = introductions(gatherings(lists, fresh, width, threshold, turn), table, full, threshold)
@@ -255,10 +258,11 @@ def near_duplicate_graph(table: DataFrame, threshold: float = THRESHOLD, start:
         links = lists.where((F.col("cos") >= threshold) & (F.col("a") < F.col("b")))
         grown = gained.agg(F.count_if(F.col("cos") >= threshold).alias("n")).first().n
         if not grown or turn == max_rounds - 1:
-            missed, recall = audit(table, links, threshold)
+            missed, recall = audit(table, links, threshold, given, turn)
             if recall >= target:
                 break
             # missed links enter the graph as new neighbours, and lists get longer
+            given = given.union(missed.select("a", "b"))
             width *= 2
             lists = stored(best_lists(known.union(met).union(missed).groupBy("a", "b").agg(F.max("cos").alias("cos")), width, threshold), "lists")
             fresh = lists.select("a", "b", F.lit(True).alias("fresh"))

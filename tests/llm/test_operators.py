@@ -476,6 +476,32 @@ def test_nn_descent(store):
     assert nn_descent.near_duplicates(none).collect() == []
 
 
+def isolated_pairs(store, n=600, label=1, dim=32, first=0):
+    """(nodes, rows): pairs of vectors at cosine 0.97, far from all others."""
+    rng = np.random.default_rng(dim + first)
+    rows = []
+    for i in range(n):
+        x, y = rng.normal(size=(2, dim))
+        x /= np.linalg.norm(x)
+        y -= x * (x @ y)
+        rows += [(first + 2 * i, x.tolist(), label), (first + 2 * i + 1, (0.97 * x + math.sqrt(1 - 0.97**2) * y / np.linalg.norm(y)).tolist(), label)]
+    return nn_descent.nodes(store.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))[0], rows
+
+
+def test_audits_do_not_certify_themselves(store, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDITED", 20, raising=False)
+    table, _ = isolated_pairs(store)
+    none = store.createDataFrame([], "a long, b long, cos double")
+    given, seen = none, set()
+    for turn in range(2):
+        # the descent has found nothing: what an audit inserted must not make the next one pass
+        missed, _ = nn_descent.audit(table, given, 0.93, given, turn)
+        found = {(r.a, r.b) for r in missed.collect()}
+        assert found and not found & seen
+        seen |= found
+        given = given.union(missed)
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
