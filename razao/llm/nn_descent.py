@@ -4,8 +4,9 @@ Equal vectors of a label are one node. A neighbour graph starts from a few rando
 (each node's neighbours in projected order) and is refined: every node introduces its
 best neighbours to each other, and a node keeps its best. A node whose list is full of links
 is saturated: its list grows without limit, and it meets the rest of its group at common hubs.
-A recall audit compares the lists of a hashed sample of nodes with all nodes of their label, in
-blocks; refinement goes on until the audit is passed. Edges at or above the threshold stay.
+A recall audit compares the lists of a fresh hashed sample of nodes with all nodes of their label,
+in blocks, and asks in each degree class how many nodes' lists are whole; refinement goes on until
+the audit is passed. Edges at or above the threshold stay.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
 vectors without a label, have no link and are their own component; vectors of different length
@@ -19,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from razao.llm.common import components, stored
@@ -29,7 +30,8 @@ START = 12  # neighbours of a node at first
 PROJECTIONS = 8
 MAX_ROUNDS = 12
 HUBS = 3
-AUDIT_SHARE = 64  # one node in so many is audited
+AUDIT_SHARE = 64  # one node in so many is audited,
+AUDITED = 400  # and so many of a degree class at least
 TARGET = 0.995
 BLOCK = 1024
 
@@ -209,17 +211,29 @@ def best_lists(edges: DataFrame, width: int, threshold: float) -> DataFrame:
     return both_ways(edges).withColumn("r", rank).where((F.col("r") <= width) | (F.col("cos") >= threshold))
 
 
-def audit(table: DataFrame, links: DataFrame, threshold: float, given: DataFrame, turn: int, share: int = AUDIT_SHARE) -> tuple[DataFrame, float]:
-    """(missed pairs, recall): the links of a hashed sample of nodes against all of their label.
+def audit(table: DataFrame, links: DataFrame, threshold: float, given: DataFrame, turn: int, least: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(missed pairs, (label, dim, recall)): a hashed sample of nodes against all of their label.
 
     Every turn draws a sample of its own, and pairs that earlier audits have ``given`` to the
-    lists do not count, neither as found nor as lost. The nodes of a label are dealt to blocks and its sample to parts, both of bounded size;
+    lists do not count, neither as found nor as lost. In each label, nodes are drawn by degree
+    class (powers of two of the links found so far), ``least`` of a class at least, or all of
+    it. Recall is the share of nodes whose whole list was found, in the worst class of true
+    degree, each node weighted by what it stands for; a label none of whose drawn nodes has a
+    link was not audited, and its recall is null, unless all of its nodes were drawn.
+
+    The nodes of a label are dealt to blocks and its sample to parts, both of bounded size;
     every part meets every block once.
     """
-    sampled = F.pmod(F.xxhash64("node", F.lit(11), F.lit(turn)), F.lit(share)) == 0
-    sized = table.select("node", "label", "unit", F.length("unit").alias("dim"))
-    counts = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumn("parts", F.ceil(F.col("blocks") / share).cast("int"))
-    sized = sized.join(counts, ["label", "dim"])
+    least = AUDITED if least is None else least
+    degree = both_ways(links).groupBy("a").agg(F.count("*").alias("degree")).withColumnRenamed("a", "node")
+    sized = table.select("node", "label", "unit", F.length("unit").alias("dim")).join(degree, "node", "left")
+    sized = sized.withColumn("class", _class(F.coalesce("degree", F.lit(0)))).drop("degree")
+    share = F.least(F.greatest(F.floor(F.count("*") / least), F.lit(1)), F.lit(AUDIT_SHARE))
+    classes = sized.groupBy("label", "dim", "class").agg(F.count("*").alias("n"), share.cast("int").alias("share"))
+    labels = classes.groupBy("label", "dim").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("share")).alias("drawn"), F.max("share").alias("most"))
+    labels = labels.select("label", "dim", "most", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("drawn") / BLOCK).cast("int").alias("parts"))
+    sized = sized.join(classes.drop("n"), ["label", "dim", "class"]).join(labels, ["label", "dim"])
+    sampled = F.pmod(F.xxhash64("node", F.lit(11), F.lit(turn)), F.col("share")) == 0
     block, part = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
     columns = ["label", "dim", "block", "part", "probe", "node", "unit"]
     probes = sized.where(sampled).withColumn("probe", F.lit(True)).withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns)
@@ -237,8 +251,16 @@ def audit(table: DataFrame, links: DataFrame, threshold: float, given: DataFrame
     truth = truth.groupBy("a", "b").agg(F.max("cos").alias("cos"))
     truth = stored(truth.join(given.select("a", "b"), ["a", "b"], "left_anti"), "audit")
     missed = stored(truth.join(links.select("a", "b"), ["a", "b"], "left_anti"), "missed")
-    total, lost = truth.count(), missed.count()
-    return missed, 1.0 if not total else 1 - lost / total
+    ends = both_ways(truth.join(missed.select("a", "b", F.lit(True).alias("lost")), ["a", "b"], "left").withColumn("cos", F.coalesce("lost", F.lit(False))))
+    judged = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.max("cos").cast("int").alias("lost"))
+    judged = judged.join(sized.where(sampled).select("node", "label", "dim", "share"), "node").groupBy("label", "dim", _class(F.col("degree")).alias("class"))
+    recall = judged.agg((1 - F.sum(F.col("lost") * F.col("share")) / F.sum("share")).alias("recall")).groupBy("label", "dim").agg(F.min("recall").alias("recall"))
+    recall = labels.join(recall, ["label", "dim"], "left").select("label", "dim", F.when(F.col("most") == 1, F.coalesce("recall", F.lit(1.0))).otherwise(F.col("recall")).alias("recall"))
+    return missed, stored(recall, "recall")
+
+
+def _class(degree: Column) -> Column:
+    return F.ceil(F.log2(degree + 1)).cast("int")
 
 
 def near_duplicate_graph(table: DataFrame, threshold: float = THRESHOLD, start: int = START, max_rounds: int = MAX_ROUNDS, target: float = TARGET) -> tuple[DataFrame, float]:
@@ -258,7 +280,8 @@ def near_duplicate_graph(table: DataFrame, threshold: float = THRESHOLD, start:
         links = lists.where((F.col("cos") >= threshold) & (F.col("a") < F.col("b")))
         grown = gained.agg(F.count_if(F.col("cos") >= threshold).alias("n")).first().n
         if not grown or turn == max_rounds - 1:
-            missed, recall = audit(table, links, threshold, given, turn)
+            missed, judged = audit(table, links, threshold, given, turn)
+            recall = judged.agg(F.coalesce(F.min(F.coalesce("recall", F.lit(0.0))), F.lit(1.0)).alias("r")).first().r
             if recall >= target:
                 break
             # missed links enter the graph as new neighbours, and lists get longer

@@ -502,6 +502,28 @@ def test_audits_do_not_certify_themselves(store, monkeypatch):
         given = given.union(missed)
 
 
+def test_audit_judges_each_degree_class(store, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDITED", 60)
+    _, rows = isolated_pairs(store, 300)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=32)
+    rows += [(5000 + i, (centre + rng.normal(0, 0.1, 32)).tolist(), 1) for i in range(200)]
+    rows += isolated_pairs(store, 150, 2, first=10_000)[1][::2]
+    table, _ = nn_descent.nodes(store.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    unit = {r.node: (r.least, np.frombuffer(r.unit)) for r in table.collect()}
+    named = sorted(unit)
+    x = np.array([unit[n][1] for n in named])
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    links = [(named[i], named[j], float(x[i] @ x[j])) for i, j in zip(a, b, strict=True)]
+    # all links of the dense group, and four of five pairs: nearly all pairs, not nearly all nodes
+    kept = [p for k, p in enumerate(links) if unit[p[0]][0] >= 5000 or k % 5]
+    assert len(kept) > 0.99 * len(links)
+    none = store.createDataFrame([], "a long, b long, cos double")
+    whole, most = ({r.label: r.recall for r in nn_descent.audit(table, store.createDataFrame(p, none.schema), 0.93, none, 1)[1].collect()} for p in (links, kept))
+    assert whole["1"] == 1.0 and 0.6 < most["1"] < 0.95
+    assert whole["2"] is None  # not one link in the sample: not audited
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
