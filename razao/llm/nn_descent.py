@@ -6,7 +6,8 @@ best neighbours to each other, and a node keeps its best. A node whose list is f
 is saturated: its list grows without limit, and it meets the rest of its group at common hubs.
 A recall audit compares the lists of a fresh hashed sample of nodes with all nodes of their label,
 in blocks, and asks in each degree class how many nodes' lists are whole; refinement goes on until
-the audit is passed. Edges at or above the threshold stay.
+the audit is passed. Labels whose audit draws every node, and those still open when the rounds run
+out, are compared as a whole. Edges at or above the threshold stay.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
 vectors without a label, have no link and are their own component; vectors of different length
@@ -17,6 +18,8 @@ read.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from razao.llm.common import components, stored
 
+LOG = logging.getLogger(__name__)
 THRESHOLD = 0.93
 START = 12  # neighbours of a node at first
 PROJECTIONS = 8
@@ -212,14 +216,15 @@ def best_lists(edges: DataFrame, width: int, threshold: float) -> DataFrame:
 
 
 def audit(table: DataFrame, links: DataFrame, threshold: float, given: DataFrame, turn: int, least: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(missed pairs, (label, dim, recall)): a hashed sample of nodes against all of their label.
+    """(missed pairs, (label, dim, recall, whole)): a hashed sample of nodes against all of their label.
 
     Every turn draws a sample of its own, and pairs that earlier audits have ``given`` to the
     lists do not count, neither as found nor as lost. In each label, nodes are drawn by degree
     class (powers of two of the links found so far), ``least`` of a class at least, or all of
     it. Recall is the share of nodes whose whole list was found, in the worst class of true
     degree, each node weighted by what it stands for; a label none of whose drawn nodes has a
-    link was not audited, and its recall is null, unless all of its nodes were drawn.
+    link was not audited, and its recall is null. ``whole`` says that all nodes were drawn, so that
+    the missed pairs are all that the label lacked.
 
     The nodes of a label are dealt to blocks and its sample to parts, both of bounded size;
     every part meets every block once.
@@ -255,7 +260,7 @@ def audit(table: DataFrame, links: DataFrame, threshold: float, given: DataFrame
     judged = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.max("cos").cast("int").alias("lost"))
     judged = judged.join(sized.where(sampled).select("node", "label", "dim", "share"), "node").groupBy("label", "dim", _class(F.col("degree")).alias("class"))
     recall = judged.agg((1 - F.sum(F.col("lost") * F.col("share")) / F.sum("share")).alias("recall")).groupBy("label", "dim").agg(F.min("recall").alias("recall"))
-    recall = labels.join(recall, ["label", "dim"], "left").select("label", "dim", F.when(F.col("most") == 1, F.coalesce("recall", F.lit(1.0))).otherwise(F.col("recall")).alias("recall"))
+    recall = labels.join(recall, ["label", "dim"], "left").select("label", "dim", "recall", (F.col("most") == 1).alias("whole"))
     return missed, stored(recall, "recall")
 
 
@@ -263,12 +268,23 @@ def _class(degree: Column) -> Column:
     return F.ceil(F.log2(degree + 1)).cast("int")
 
 
+def all_links(table: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cos): every link of the labels in ``table``, by comparing all blocks of each."""
+    members = table.select(F.xxhash64("label", F.length("unit")).alias("g"), F.col("node").alias("b"), F.lit(True).alias("fresh"))
+    links_only = table.select(F.col("node").alias("b"), F.lit(2.0).alias("floor"))
+    return introductions(members, table, links_only, threshold)
+
+
 def near_duplicate_graph(table: DataFrame, threshold: float = THRESHOLD, start: int = START, max_rounds: int = MAX_ROUNDS, target: float = TARGET) -> tuple[DataFrame, float]:
-    """(links (a, b, cos) at or over the threshold, audited recall)."""
-    width, recall = start, 0.0
+    """(links (a, b, cos) at or over the threshold, recall of the label with the lowest).
+
+    A label is settled by an audit of some of its nodes that reaches ``target``, or one of all of
+    them. Labels that are open when the rounds run out are compared exactly.
+    """
+    width, recall = start, 1.0
     lists = stored(best_lists(scored(projected(table, per=start), table), width, threshold), "lists")
     fresh = lists.select("a", "b", F.lit(True).alias("fresh"))
-    given = lists.select("a", "b").where("false")
+    settled = given = lists.select("a", "b", "cos").where("false")
     for turn in range(max_rounds):
         full = lists.where(F.col("r") == width).select(F.col("a").alias("b"), F.col("cos").alias("floor"))
         met = introductions(gatherings(lists, fresh, width, threshold, turn), table, full, threshold)
@@ -277,25 +293,37 @@ def near_duplicate_graph(table: DataFrame, threshold: float = THRESHOLD, start:
         gained = following.join(lists.select("a", "b"), ["a", "b"], "left_anti").withColumn("fresh", F.lit(True))
         gained = stored(gained.select("a", "b", "cos", "fresh"), "fresh")
         lists, fresh = following, gained.select("a", "b", "fresh")
-        links = lists.where((F.col("cos") >= threshold) & (F.col("a") < F.col("b")))
+        links = lists.where((F.col("cos") >= threshold) & (F.col("a") < F.col("b"))).select("a", "b", "cos")
         grown = gained.agg(F.count_if(F.col("cos") >= threshold).alias("n")).first().n
         if not grown or turn == max_rounds - 1:
             missed, judged = audit(table, links, threshold, given, turn)
-            recall = judged.agg(F.coalesce(F.min(F.coalesce("recall", F.lit(0.0))), F.lit(1.0)).alias("r")).first().r
-            if recall >= target:
-                break
+            passed = F.col("whole") | (F.coalesce("recall", F.lit(0.0)) >= target)
+            reached = judged.where(passed & ~F.col("whole")).agg(F.min("recall").alias("r")).first().r
+            recall = min(recall, 1.0 if reached is None else reached)
+            left = judged.where(~passed)
+            named = table.withColumn("dim", F.length("unit"))
+            remaining = stored(named.join(left, ["label", "dim"], "left_semi").select(table.columns), "nodes")
+            done = named.join(judged.where(passed), ["label", "dim"], "left_semi").select(F.col("node").alias("a"))
+            settled = settled.union(links.union(missed).join(done, "a", "left_semi").select("a", "b", "cos"))
+            table = remaining
+            if left.isEmpty():
+                return settled, recall
             # missed links enter the graph as new neighbours, and lists get longer
-            given = given.union(missed.select("a", "b"))
+            given = given.union(missed)
             width *= 2
-            lists = stored(best_lists(known.union(met).union(missed).groupBy("a", "b").agg(F.max("cos").alias("cos")), width, threshold), "lists")
-            fresh = lists.select("a", "b", F.lit(True).alias("fresh"))
-    return lists.where((F.col("cos") >= threshold) & (F.col("a") < F.col("b"))).select("a", "b", "cos"), recall
+            open_nodes = table.select(F.col("node").alias("a"))
+            edges = known.union(met).union(missed).groupBy("a", "b").agg(F.max("cos").alias("cos")).join(open_nodes, "a", "left_semi")
+            if turn < max_rounds - 1:
+                lists = stored(best_lists(edges, width, threshold), "lists")
+                fresh = lists.select("a", "b", F.lit(True).alias("fresh"))
+    return settled.union(stored(all_links(table, threshold), "exact")), recall
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept, for every vector."""
     table, rows = nodes(vectors)
-    links, _ = near_duplicate_graph(table, threshold)
+    links, recall = near_duplicate_graph(table, threshold)
+    LOG.info("lowest recall of a label's audit: %.4f", recall)
     copies = table.select("node", "copies")
     degree = both_ways(links).select(F.col("a").alias("node"), F.col("b").alias("other")).join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

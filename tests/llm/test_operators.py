@@ -524,6 +524,19 @@ def test_audit_judges_each_degree_class(store, monkeypatch):
     assert whole["2"] is None  # not one link in the sample: not audited
 
 
+@pytest.mark.parametrize("audited", [20, 400])
+def test_nn_descent_is_whole_when_rounds_run_out(store, monkeypatch, audited):
+    monkeypatch.setattr(nn_descent, "AUDITED", audited)
+    table, rows = isolated_pairs(store, 300)
+    met = nn_descent.projected
+    # a start that knows no neighbours: the rounds find nothing
+    monkeypatch.setattr(nn_descent, "projected", lambda t, per: met(t, 1, per).where("false"))
+    links, recall = nn_descent.near_duplicate_graph(table, max_rounds=2)
+    least = {r.node: r.least for r in table.collect()}
+    got = sorted(tuple(sorted((least[r.a], least[r.b]))) for r in links.collect())
+    assert got == [(2 * i, 2 * i + 1) for i in range(300)] and recall >= nn_descent.TARGET
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
