@@ -27,11 +27,13 @@ MAX_LABELLED = 2_000
 SMOOTHING = 0.5
 
 # Elements of HTML by how they take part in the page's text.
-SILENT = frozenset("script style template noscript head svg math iframe object select textarea canvas audio video title".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+SILENT = frozenset("script style template head select textarea title".split())
+RAW = frozenset("script style textarea title template".split())
+EMBEDDED = frozenset("svg noscript iframe object canvas audio video".split())  # their text is a run of the block they stand in
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " math semantics annotation mrow mi mn mo ms mtext mspace mstyle mfrac msup msub msubsup msqrt mroot munder mover munderover mpadded mphantom menclose merror mfenced".split()
 )
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -63,7 +65,7 @@ def parse(source: str) -> Page:
     nodes, runs = [Node("#page", -1)], []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with their block node
     run: Node | None = None
-    links = silent = 0
+    links = silent = drawn = 0
     at, n = 0, len(source)
 
     def say(text: str) -> None:
@@ -79,10 +81,12 @@ def parse(source: str) -> Page:
         run.text.append((text, links > 0))
 
     def close(position: int) -> None:
-        nonlocal run, links, silent
+        nonlocal run, links, silent, drawn
         for tag, _ in stack[position:]:
             if tag == "a":
                 links -= 1
+            if tag == "svg":
+                drawn -= 1
             if tag in SILENT:
                 silent -= 1
             if tag not in INLINE:
@@ -119,7 +123,15 @@ def parse(source: str) -> Page:
             if tag == "hr":
                 run = None
             continue
-        ended = CLOSES.get(tag) or ({"p"} if tag not in INLINE else ())
+        if tag not in SILENT and (drawn or tag in EMBEDDED):
+            if tag not in INLINE:
+                run = None
+            if not m[3].endswith("/"):
+                stack.append((tag, stack[-1][1]))
+                drawn += tag == "svg"
+                links += tag == "a"
+            continue
+        ended = CLOSES.get(tag) or ({"p"} if tag not in INLINE and not drawn else ())
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in ended:
                 close(i)

@@ -419,6 +419,19 @@ def test_extraction(store):
     assert html_extract.html_extract(pages.where("false")).collect() == []
 
 
+def test_all_text_but_the_listed_parts_reaches_the_model():
+    def runs(source):
+        page = html_extract.parse(source)
+        return [(html_extract.run_text(page.nodes[i]), page.nodes[page.nodes[i].parent].tag) for i in page.runs]
+
+    assert runs("<p>so <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p>") == [("so a=2 holds", "p")]
+    assert runs("<p>a <svg><style>x{}</style><g><path d=1 /><text>axis</text></g></svg> b</p><p>c") == [("a", "p"), ("axis", "p"), ("b", "p"), ("c", "p")]
+    for tag in ("object", "noscript", "iframe", "canvas", "audio", "video"):
+        assert runs(f"<p>a <{tag} x=1>in place <b>of</b> it</{tag}> b</p>") == [("a", "p"), ("in place of it", "p"), ("b", "p")]
+    for tag in ("script", "style", "template", "head", "title", "select", "textarea"):
+        assert runs(f"<div>a<{tag}>gone</{tag}>b</div>") == [("a", "div"), ("b", "div")]
+
+
 def test_marginals_against_enumeration():
     page = html_extract.parse("<div><p>a</p><ul><li>b<li>c</ul></div><p>d")
     rng = np.random.default_rng(4)
