@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are cells of (source, language, topic). Token weights of the cells are raked in turn
-to target marginals of each of the three, a fixed number of rounds. Documents are then drawn with
+to target marginals of each of the three, a fixed number of rounds; the sums of a round are added
+up on the map side and joined to the cells. Documents are then drawn with
 probability min(1, c * raked weight / tokens) of their cell, where c is solved so that the
 expected tokens equal the budget. Drawing compares a hash of the id with the probability, so
 it needs no state and gives the same sample on every run. DataFrame functions only.
@@ -16,7 +17,7 @@ empty table gives no rows; columns whose names clash with those added here are r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from razao.llm.common import stored
@@ -65,8 +66,10 @@ def raked_cells(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int
         out = out.join(share.select(m, (F.col("t") / F.lit(total)).alias(f"target_{m}")), m)
     for _ in range(rounds):
         for m in MARGINS:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"target_{m}") / F.sum("weight").over(Window.partitionBy(m)))
-    return stored(out.select(*MARGINS, "tokens", "weight"), "raked")
+            sums = out.groupBy(m).agg(F.sum("weight").alias("sum"))
+            out = out.join(sums, m).withColumn("weight", F.col("weight") * F.col(f"target_{m}") / F.col("sum")).drop("sum")
+        out = stored(out, "raked")
+    return out.select(*MARGINS, "tokens", "weight")
 
 
 def drawing_rates(cells: DataFrame, budget: float = BUDGET) -> DataFrame:

@@ -310,6 +310,19 @@ def test_raked_weights_meet_the_targets(documents, odd, empty):
     assert source_mix.mix_report(empty).collect() == []
 
 
+def test_no_margin_meets_in_one_task(store, documents, monkeypatch):
+    plans = []
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, label)
+
+    keep = source_mix.stored
+    monkeypatch.setattr(source_mix, "stored", watched)
+    source_mix.raked_cells(documents)
+    assert plans and not any("Window" in p for p in plans)
+
+
 def test_packing(odd, documents, empty):
     for df in (odd, documents):
         rows = packing.best_fit(df, capacity=300, per_source=2, shard_pieces=64).collect()
