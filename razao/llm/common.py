@@ -40,6 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_2``, ``name_3``, ... that no column of ``df`` has."""
+    taken, out, n = {c.lower() for c in df.columns}, name, 1
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
 def folded(text: Column) -> Column:
     """A-Z in lower case, every other letter as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -53,15 +62,15 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
 # ---------------------------------------------------------------- texts in numpy
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as bytes (null: empty), about 1 MB each."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts as bytes (null: empty), about ``limit`` bytes each."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         sizes = np.diff(np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]) if len(values) else np.zeros(0, np.int64)
         start, held = 0, 0
         for i, size in enumerate(sizes):
             held += int(size)
-            if held >= CHUNK_BYTES or i + 1 == len(sizes):
+            if held >= limit or i + 1 == len(sizes):
                 part = values.slice(start, i + 1 - start)
                 yield batch.slice(start, i + 1 - start), [v if v is not None else b"" for v in part.to_pylist()]
                 start, held = i + 1, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from razao.llm import html_extract, jaccard_join, language_id, line_dedup, lm_scoring, nn_descent, packing, quality_classifier, quality_rules, source_mix
+from razao.llm import filter_audit, html_extract, jaccard_join, language_id, line_dedup, lm_scoring, nn_descent, packing, quality_classifier, quality_rules, sharding, source_audit, source_mix
 from razao.llm.common import table
 
 
@@ -51,15 +51,27 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_language_id, op4_lm_scoring, op5_source_mix, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_html_extract, op10_nn_descent, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_language_id, op4_lm_scoring, op5_source_mix, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_html_extract, op10_nn_descent, op11_sharding, op12_source_divergence, op13_filter_audit, pipeline)
 }
 
-ORACLE: dict[str, str] = {"op5_source_mix": source_mix.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op5_source_mix": source_mix.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_sharding": sharding.ORACLE, "op12_source_divergence": source_audit.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
