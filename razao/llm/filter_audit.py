@@ -16,7 +16,7 @@ back to its copies.
 
 Defined results: null and empty texts are texts without words and equal each other; a null
 language and the empty one are the same part; a null id is neither smaller than another nor
-does another precede it; rows that share an id do not precede each other; an id with several
+does another precede it, and it has no label; rows that share an id do not precede each other; an id with several
 label rows is good (toxic) if one of them says so, without one it is neither; an empty table
 has no parts; other columns take no part.
 """

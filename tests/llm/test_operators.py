@@ -569,7 +569,8 @@ def test_nn_descent_is_whole_when_rounds_run_out(store, monkeypatch, audited):
 @pytest.mark.parametrize("name", list(registry.ORACLE))
 def test_query_against_sql(store, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = registry.QUERIES[name](store, SF)
     same_rows(df, con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLE[name].strip()})").fetchall())
 
