@@ -38,7 +38,7 @@ SCALE_STEPS = 3  # a share is floored at 1000 ** 3
 TERMS_A_SLICE = 512
 SOURCES_A_BLOCK = 128
 CHARACTER = 8
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 # mask of the first k of eight bytes, k = 0 to 8
 LEADING = np.array([0, *(0xFFFFFFFFFFFFFFFF << 8 * k & 0xFFFFFFFFFFFFFFFF for k in range(CHARACTER - 1, -1, -1))], np.uint64)
 IN_TERM = np.zeros(256, bool)
@@ -109,9 +109,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             cell = run_starts(term * (len(lang) + 1) + own)
             ends = np.append(cell[1:], len(key))[: len(cell)]
             seen = np.concatenate([[0], np.cumsum(new_doc)])
-            first = order[fresh]
-            buffer = t.bytes.tobytes()
-            words = pa.array([buffer[s : s + k] for s, k in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)], pa.binary()).cast(pa.string())
+            words = _strings(t.bytes, starts[order[fresh]], lengths[order[fresh]])
             own = pa.array(own[cell])
             yield pa.RecordBatch.from_arrays(
                 [lang.take(own), source.take(own), words.take(pa.array(term[cell])), pa.array(ends - cell, pa.int64()), pa.array(seen[ends] - seen[cell], pa.int64())],
@@ -122,6 +120,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+def _strings(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The bytes that the pointers point to, as an Arrow array."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    data = buffer[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
 def _groups(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """A number for each row's (lang, source), and both values by number."""
     pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
