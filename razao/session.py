@@ -1,13 +1,16 @@
-"""Session settings and reliable lineage cuts."""
+"""Session settings and written tables between steps."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def build_session(app: str = "razao", cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -43,13 +46,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+    """``df`` written once as a Parquet table in the shared folder, then read back.
 
-    Loops use it between rounds: the plan stays short, each round's input is computed
-    once, and a lost executor costs a re-read of that folder instead of all rounds.
+    Loops use it between rounds: the plan stays short, each round's input is computed once, the
+    size of what comes next is known to the planner, and a lost executor costs a re-read of that
+    folder instead of all rounds. The table goes when it is forgotten or the application ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/razao-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``cut_lineage`` made and nothing reads any more."""
+    for frame in frames:
+        path = _WRITTEN.pop(frame, None)
+        if path:
+            spark = frame.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

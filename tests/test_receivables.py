@@ -14,8 +14,6 @@ INVOICES = "company_id bigint, id bigint, issued_on date, outstanding bigint, cl
 
 
 def plain_subset(amounts, target):
-    if len(amounts) > 24:
-        return None
     for mask in range(1, 1 << len(amounts)):
         chosen = [i for i in range(len(amounts)) if mask >> i & 1]
         if sum(amounts[i] for i in chosen) == target:
@@ -52,9 +50,9 @@ def one_by_one(credits, invoices):
     return out
 
 
-def run(spark, credits, invoices):
+def run(spark, credits, invoices, **options):
     rows = rcv.match_receivables(
-        spark.createDataFrame(credits, CREDITS), spark.createDataFrame(invoices, INVOICES)
+        spark.createDataFrame(credits, CREDITS), spark.createDataFrame(invoices, INVOICES), **options
     ).collect()
     return {(r.transaction_id, r.rule, r.invoice_id) for r in rows}
 
@@ -104,7 +102,7 @@ D = dt.date
         (
             [(1, 1, D(2025, 5, 1), 20000, "T")],
             [(1, 10 + i, D(2025, 4, 1), 10000, "T") for i in range(25)],
-            {(1, 0, None)},
+            {(1, 2, 10), (1, 2, 11)},
         ),
         ([(1, 1, D(2025, 4, 20), 100000, None)], [(1, 9, D(2025, 4, 1), 100000, "T")], {(1, 4, 9)}),
         ([(1, 1, D(2025, 8, 1), 100000, None)], [(1, 9, D(2025, 4, 1), 100000, "T")], {(1, 0, None)}),
@@ -118,3 +116,51 @@ D = dt.date
 )
 def test_known_cases(spark, credits, invoices, expected):
     assert run(spark, credits, invoices) == expected
+
+
+def test_a_ceiling_for_groups_can_be_set(spark):
+    credits = [(1, 1, D(2025, 5, 1), 20000, "T")]
+    invoices = [(1, 10 + i, D(2025, 4, 1), 10000, "T") for i in range(25)]
+    assert run(spark, credits, invoices, group_ceiling=24) == {(1, 0, None)}
+    assert run(spark, credits, invoices[:24], group_ceiling=24) == {(1, 2, 10), (1, 2, 11)}
+
+
+@pytest.mark.parametrize("n", [25, 60])
+def test_groups_of_many_open_invoices(n):
+    rng = random.Random(n)
+    amounts = [rng.randrange(10_000, 90_000_000) for _ in range(n)]
+    wanted = sorted(rng.sample(range(n // 2), 5))
+    target = sum(amounts[i] for i in wanted)
+    got = rcv.subset_with_sum(amounts, target)
+    assert sum(amounts[i] for i in got) == target and max(got) <= max(wanted)
+    assert rcv.subset_with_sum([2 * a for a in amounts], 2 * target + 1) is None
+    small = [rng.randrange(1, 400) * 25 for _ in range(n)]
+    got = rcv.subset_with_sum(small, 25 * 3000)
+    assert sum(small[i] for i in got) == 25 * 3000
+    # no mask below: the sum cannot be reached before the last part, and so on downwards
+    for place in range(len(got) - 1, -1, -1):
+        rest = sum(small[i] for i in got[: place + 1])
+        assert rcv.first_reach(small[: got[place]], rest) is None
+
+
+def test_sparse_and_dense_sums_agree(monkeypatch):
+    rng = random.Random(3)
+    cases = [([rng.randrange(1, 300) for _ in range(rng.randrange(1, 12))], rng.randrange(1, 900)) for _ in range(150)]
+    dense = [rcv.subset_with_sum(a, t) for a, t in cases]
+    monkeypatch.setattr(rcv, "BITS_A_SUM", 0)
+    assert [rcv.subset_with_sum(a, t) for a, t in cases] == dense == [plain_subset(a, t) for a, t in cases]
+
+
+def test_exact_clients_skip_the_stream(spark, monkeypatch):
+    rng = random.Random(11)
+    invoices = [(i % 3, 1000 + i, D(2025, 1, 1) + dt.timedelta(days=rng.randrange(90)), 100 * rng.randrange(1, 4), "A") for i in range(300)]
+    credits = [(c, 5000 + i, day + dt.timedelta(days=rng.randrange(60)), a, t) for i, (c, _, day, a, t) in enumerate(rng.sample(invoices, 200))]
+    expected = one_by_one(credits, invoices)
+    rows = (spark.createDataFrame(credits, CREDITS), spark.createDataFrame(invoices, INVOICES))
+    assert rcv.short_clients(rows[0].withColumnRenamed("payer_tax_id", "client_tax_id"), rows[1]).isEmpty()
+    assert run(spark, credits, invoices) == expected and {r for _, r, _ in expected} == {1}
+    # a credit without tax id that takes one of their invoices sends its client through the stream
+    odd = [(0, 9000, D(2025, 2, 1), 777, "A")]
+    blind = [(0, 9001, D(2025, 2, 2), 777, None), (1, 9002, D(2025, 2, 2), 100, None)]
+    invoices += [(r[0], r[1] + 100, r[2], r[3], "B") for r in odd]
+    assert run(spark, credits + blind, invoices) == one_by_one(credits + blind, invoices)
