@@ -207,6 +207,20 @@ MODEL = {
                        (c_custkey % 25) * 10 + (c_custkey // 25 + 1) % 4]) AS profile_id,
                c_custkey AS bank_account_id
         FROM customer""",
+    "contested_invoices": """
+        SELECT o_orderkey AS id, o_custkey % 25 AS company_id, CAST(o_orderkey AS VARCHAR) AS number,
+               CAST(o_orderdate AS DATE) AS issued_on, 100 * (1 + o_orderkey % 97) AS outstanding,
+               CASE WHEN o_custkey % 13 <> 0 THEN lpad(CAST(o_custkey + 11 AS VARCHAR), 14, '0') END
+                   AS client_tax_id
+        FROM orders""",
+    "contested_credits": """
+        SELECT o_orderkey AS id, o_custkey % 25 AS company_id,
+               CAST(o_orderdate AS DATE) + 20 AS booking_date,
+               CASE o_orderkey % 3 WHEN 0 THEN 100 * (1 + o_orderkey % 97)
+                   WHEN 1 THEN 100 * (2 + o_orderkey % 150) ELSE 90 * (1 + o_orderkey % 97) END AS amount,
+               CASE WHEN o_orderkey % 5 <> 0 THEN lpad(CAST(o_custkey + 11 AS VARCHAR), 14, '0') END
+                   AS payer_tax_id
+        FROM orders""",
     "contested_transactions": f"""
         SELECT o_orderkey AS id, (o_custkey // 15) % 25 AS company_id,
                o_custkey // 15 AS bank_account_id, CAST(o_orderdate AS DATE) AS booking_date,

@@ -401,9 +401,10 @@ def match_receivables(
     (company_id, id, issued_on, outstanding, client_tax_id or null). With ``group_ceiling``, rule 2
     only looks at clients with at most so many open invoices.
     """
-    credits = credits.select("company_id", "id", "booking_date", "amount", "payer_tax_id")
-    invoices = invoices.select("company_id", "id", "issued_on", "outstanding", "client_tax_id").where(
-        F.col("outstanding") > 0
+    # Both sides are read in every round: their few columns are written once.
+    credits = cut_lineage(credits.select("company_id", "id", "booking_date", "amount", "payer_tax_id"))
+    invoices = cut_lineage(
+        invoices.select("company_id", "id", "issued_on", "outstanding", "client_tax_id").where(F.col("outstanding") > 0)
     )
     kind = dict(invoices.dtypes)["id"]
     blind = credits.where(F.col("payer_tax_id").isNull()).drop("payer_tax_id")
