@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from razao.session import cut_lineage
+from razao.session import cut_lineage, forget
 
 # Rows of one group that one sort may hold. Larger groups are cut into slices of the id.
 SLICE_BITS = 17
@@ -182,3 +182,38 @@ def greedy_in_group(pairs: DataFrame, keys: list[str], order: list[str]) -> Data
             F.col("_m.transactions").alias("transaction_id"),
         )
     )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable over the edges (u, v).
+
+    Alternating large-star and small-star rounds, a logarithmic number of them even for a chain.
+    Minima are taken with map-side sums and joined back, so a hub's neighbours need not meet in one
+    task. Nodes without an edge to another node are not listed.
+    """
+    current = cut_lineage(
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    )
+    mark = _mark(current)
+    while mark[0]:
+        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(small_least.select("u", F.col("m").alias("v")))
+            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        )
+        after = cut_lineage(small)
+        forget(current)
+        before, current, mark = mark, after, _mark(after)
+        if mark == before:
+            break
+    stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _mark(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+    return row.n, row.x

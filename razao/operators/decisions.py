@@ -12,12 +12,13 @@ nothing extra.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from razao.functions.money import direction_of
 from razao.functions.text import description_fallback
-from razao.operators.assign import running_sums
+from razao.operators.assign import components, running_sums
 from razao.operators.balances import invoice_balances
 from razao.operators.filters import EDITABLE_FIELDS, lock_reasons, role_rank, with_period_lock
 from razao.schema import (
@@ -34,7 +35,7 @@ from razao.schema import (
     REALIZED,
     RECONCILED,
 )
-from razao.session import cut_lineage
+from razao.session import cut_lineage, forget
 
 
 def _first_wins(decisions: DataFrame, key: str, reason: str) -> DataFrame:
@@ -94,23 +95,43 @@ def reconcile(decisions: DataFrame, lines: DataFrame, transactions: DataFrame) -
     return _one_to_one(judged).select("decision_id", "line_id", "transaction_id", "reject_reason")
 
 
+# Rounds that judge what conflicts in parallel before the rest is folded component by component,
+# and the rows up to which one component is folded in one task. Larger ones go on in rounds.
+ROUNDS = 2
+FOLDED_ROWS = 100_000
+
+
 def _one_to_one(judged: DataFrame) -> DataFrame:
     """Reject valid decisions whose line or transaction an accepted earlier one has taken.
 
     A decision that comes first for both its sides is accepted, and what it takes is closed to
-    the others; the rest is judged again until none is open, as one by one. A refused decision
-    takes nothing.
+    the others. Two such rounds settle most; of the rest, every connected component of lines and
+    transactions is folded in request order. A refused decision takes nothing.
     """
     order = F.struct("requested_at", "decision_id")
-    waiting = cut_lineage(judged.where(F.col("reject_reason").isNull()).select("requested_at", "decision_id", "line_id", "transaction_id"))
+    columns = ["requested_at", "decision_id", "line_id", "transaction_id"]
+    waiting = cut_lineage(judged.where(F.col("reject_reason").isNull()).select(*columns))
     taken: DataFrame | None = None
+    done = 0
     while not waiting.isEmpty():
+        if done >= ROUNDS:
+            sides = waiting.select(
+                F.concat(F.lit("l"), F.col("line_id").cast("string")).alias("u"),
+                F.concat(F.lit("t"), F.col("transaction_id").cast("string")).alias("v"),
+            )
+            named = waiting.withColumn("node", F.concat(F.lit("l"), F.col("line_id").cast("string")))
+            grouped, waiting = _small_components(named, components(sides))
+            won = cut_lineage(grouped.groupBy("component").applyInPandas(_first_come, waiting.select(*columns).schema))
+            taken = won if taken is None else taken.unionByName(won)
+            waiting = cut_lineage(waiting.select(*columns))
         marked = waiting
         for key in ("line_id", "transaction_id"):
             marked = marked.join(waiting.groupBy(key).agg(F.min(order).alias(f"_{key}")), key)
-        won = cut_lineage(marked.where((F.col("_line_id") == order) & (F.col("_transaction_id") == order)).select(*waiting.columns))
+        won = cut_lineage(marked.where((F.col("_line_id") == order) & (F.col("_transaction_id") == order)).select(*columns))
         taken = won if taken is None else taken.unionByName(won)
-        waiting = cut_lineage(waiting.join(won.select("line_id"), "line_id", "left_anti").join(won.select("transaction_id"), "transaction_id", "left_anti"))
+        after = cut_lineage(waiting.join(won.select("line_id"), "line_id", "left_anti").join(won.select("transaction_id"), "transaction_id", "left_anti"))
+        forget(waiting)
+        waiting, done = after, done + 1
     if taken is None:
         return judged
     by_line = taken.select("line_id", order.alias("_by_line"))
@@ -121,6 +142,26 @@ def _one_to_one(judged: DataFrame) -> DataFrame:
     return judged.join(by_line, "line_id", "left").withColumn("reject_reason", F.coalesce("reject_reason", reason))
 
 
+def _small_components(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (with ``node``) of components that one task may fold, and the rows of the others."""
+    named = cut_lineage(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"))
+    large = named.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > FOLDED_ROWS).select("component")
+    return named.join(large, "component", "left_anti"), named.join(large, "component", "left_semi").drop("component")
+
+
+def _first_come(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one component, the decisions that find both sides free, in request order."""
+    pdf = pdf.sort_values(["requested_at", "decision_id"])
+    lines, transactions, kept = set(), set(), []
+    for line, transaction in zip(pdf["line_id"], pdf["transaction_id"], strict=True):
+        free = line not in lines and transaction not in transactions
+        kept.append(free)
+        if free:
+            lines.add(line)
+            transactions.add(transaction)
+    return pdf.loc[kept, ["requested_at", "decision_id", "line_id", "transaction_id"]]
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("reject_reason").isNull())
 
@@ -330,34 +371,47 @@ def settle_invoices(
         .when(F.col("invoice_status") == INVOICE_CANCELLED, "invoice_cancelled")
         .when((F.col("_times") > 1) | F.col("_stored"), "invoice_repeated")
     )
-    rows = rows.withColumn("_own", own)
+    rows = cut_lineage(
+        rows.withColumn("_own", own).select(
+            "decision_id", "requested_at", "company_id", "transaction_id", "invoice_id", "amount", "txn_amount",
+            "outstanding_amount", "_own",
+        )
+    )
     whole = rows.groupBy("decision_id").agg(
         F.min("_own").alias("_any"),
         F.sum("amount").alias("_total"),
         F.max("txn_amount").alias("_credit"),
     )
     reason = F.coalesce("_any", F.when(F.col("_total") > F.col("_credit"), "over_credit"))
-    alone = cut_lineage(whole.select("decision_id", reason.alias("_alone")))
+    alone = whole.select("decision_id", reason.alias("_alone"))
     columns = ["decision_id", "requested_at", "invoice_id", "amount", "outstanding_amount"]
-    fit = _fitting(rows.join(alone.where(F.col("_alone").isNull()), "decision_id", "left_semi").select(columns))
-    verdict = alone.join(fit.withColumn("_fits", F.lit(True)), "decision_id", "left").select(
-        "decision_id",
-        F.coalesce("_alone", F.when(F.col("_fits").isNull(), "over_outstanding")).alias("reject_reason"),
+    refused = _over_asked(rows.join(alone.where(F.col("_alone").isNull()), "decision_id", "left_semi").select(columns))
+    verdict = alone.join(refused.withColumn("_over", F.lit("over_outstanding")), "decision_id", "left").select(
+        "decision_id", F.coalesce("_alone", "_over").alias("reject_reason")
     )
     return rows.join(verdict, "decision_id").select(
         "decision_id", "company_id", "transaction_id", "invoice_id", "amount", "reject_reason"
     )
 
 
-def _fitting(rows: DataFrame) -> DataFrame:
-    """The decisions whose amounts fit, judged in request order, as (decision_id).
+def _over_asked(rows: DataFrame) -> DataFrame:
+    """The decisions whose amounts do not fit, judged in request order, as (decision_id).
 
-    Each round sums what earlier decisions take from an invoice twice: with the open ones and
-    without them. Who fits in either case is accepted, who fits in neither is refused; the first
-    open decision is always settled, and most are in the first rounds.
+    An invoice that can bear all that is asked of it refuses nobody, so only the rows of the
+    others are judged. Each round sums what earlier decisions take from an invoice twice: with the
+    open ones and without them. Who fits in either case is accepted, who fits in neither is
+    refused. Two rounds settle most; of the rest, every connected component of decisions and
+    invoices is folded in request order.
     """
-    rows = cut_lineage(rows.withColumn("_hour", F.date_trunc("hour", "requested_at")).withColumn("_in", F.lit(None).cast("boolean")))
+    asked = rows.groupBy("invoice_id").agg(F.sum("amount").alias("_asked"))
+    contested = rows.join(asked, "invoice_id").where(F.col("_asked") > F.col("outstanding_amount")).drop("_asked")
+    rows = cut_lineage(contested.withColumn("_hour", F.date_trunc("hour", "requested_at")).withColumn("_in", F.lit(None).cast("boolean")))
+    everyone, done = rows, 0
     while not rows.where(F.col("_in").isNull()).isEmpty():
+        if done >= ROUNDS:
+            rows = _fold_rest(rows)
+            if rows.where(F.col("_in").isNull()).isEmpty():
+                break
         summed = running_sums(
             rows,
             ["invoice_id"],
@@ -370,10 +424,44 @@ def _fitting(rows: DataFrame) -> DataFrame:
         judged = summed.where(F.col("_in").isNull()).groupBy("decision_id").agg(
             F.when(F.bool_or(hopeless), False).when(F.bool_and(fits), True).alias("_now")
         )
-        rows = rows.join(judged, "decision_id", "left").withColumn("_in", F.coalesce("_in", "_now")).drop("_now")
+        after = rows.join(judged, "decision_id", "left").withColumn("_in", F.coalesce("_in", "_now")).drop("_now")
         # Refused amounts are given back.
-        rows = cut_lineage(rows.where(F.coalesce("_in", F.lit(True))))
-    return rows.select("decision_id").distinct()
+        rows, done = cut_lineage(after.where(F.coalesce("_in", F.lit(True)))), done + 1
+    return everyone.select("decision_id").distinct().join(rows.select("decision_id").distinct(), "decision_id", "left_anti")
+
+
+def _fold_rest(rows: DataFrame) -> DataFrame:
+    """Open decisions folded by component; accepted rows stay, what a large component leaves open too.
+
+    Only open rows meet in a task: what the accepted ones took before an open one is summed first.
+    """
+    decision = F.concat(F.lit("d"), F.col("decision_id").cast("string"))
+    summed = running_sums(rows, ["invoice_id"], ["requested_at", "decision_id"], "_hour", {"_before": F.when(F.col("_in"), F.col("amount"))})
+    opened = summed.where(F.col("_in").isNull()).withColumn("node", decision)
+    sides = opened.select(decision.alias("u"), F.concat(F.lit("i"), F.col("invoice_id").cast("string")).alias("v"))
+    grouped, _ = _small_components(opened, components(sides))
+    judged = cut_lineage(
+        grouped.groupBy("component").applyInPandas(_fitting_in_order, opened.select("decision_id", F.lit(True).alias("_now")).schema)
+    )
+    after = rows.join(judged, "decision_id", "left").withColumn("_in", F.coalesce("_in", "_now")).drop("_now")
+    return cut_lineage(after.where(F.coalesce("_in", F.lit(True))))
+
+
+def _fitting_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one component, whether each decision fits what the accepted ones before it leave."""
+    pdf = pdf.sort_values(["requested_at", "decision_id"], kind="stable")
+    taken: dict = {}
+    out = []
+    for (_, decision), rows in pdf.groupby(["requested_at", "decision_id"], sort=False):
+        fits = all(
+            taken.get(i, 0) + before + amount <= left
+            for i, before, amount, left in zip(rows["invoice_id"], rows["_before"].fillna(0), rows["amount"], rows["outstanding_amount"], strict=True)
+        )
+        out.append((decision, fits))
+        if fits:
+            for i, amount in zip(rows["invoice_id"], rows["amount"], strict=True):
+                taken[i] = taken.get(i, 0) + amount
+    return pd.DataFrame(out, columns=["decision_id", "_now"])
 
 
 def invoice_status(invoices: DataFrame, settlements: DataFrame) -> DataFrame:

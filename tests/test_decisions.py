@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+
+from razao.operators import assign
 from razao.operators import decisions as dec
 
 DAY = dt.date(2024, 6, 3)
@@ -60,3 +63,59 @@ def test_settle_as_one_by_one(spark):
             left[i] -= amount
     assert got == expected
     assert (got[0], got[1]) == ("over_outstanding", None)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Counts the tables that a job writes between its steps."""
+    count = []
+    for module in (dec, assign):
+        plain = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, plain=plain: (count.append(1), plain(df))[1])
+    return count
+
+
+def test_a_chain_of_reconciliations_takes_few_steps(spark, written):
+    n = 1000
+    # decision k wants line k // 2 and transaction (k + 1) // 2: each one hangs on the one before
+    pairs = [(k // 2, (k + 1) // 2) for k in range(n)]
+    ids = list(range(n))
+    lines = spark.createDataFrame(
+        [(i, 1, 1, DAY, 5, "m", "pendente", None) for i in ids],
+        "id bigint, company_id bigint, bank_account_id bigint, posted_at date, amount bigint, memo string, status string, matched_transaction_id bigint",
+    )
+    transactions = spark.createDataFrame([(i, 1, "nao_conciliado") for i in ids], "id bigint, bank_account_id bigint, reconciliation string")
+    judged = dec.reconcile(requests(spark, pairs, "line_id bigint, transaction_id bigint"), lines, transactions)
+    accepted = {r.decision_id for r in judged.collect() if r.reject_reason is None}
+    lines_used, transactions_used, expected = set(), set(), set()
+    for k, (line, transaction) in enumerate(pairs):
+        if line not in lines_used and transaction not in transactions_used:
+            lines_used.add(line)
+            transactions_used.add(transaction)
+            expected.add(k)
+    assert accepted == expected and len(written) < 40
+
+
+def chained(spark, n):
+    """Decision k asks 60 of invoice k and of invoice k + 1, which hold 100."""
+    invoices = spark.createDataFrame(
+        [(i, 100, 0, DAY, 1, None, "aberta") for i in range(n + 1)],
+        "id bigint, amount bigint, withheld_amount bigint, issued_on date, company_id bigint, client_tax_id string, status string",
+    )
+    transactions = spark.createDataFrame(
+        [(k, 1, "realizado", 2000, DAY) for k in range(n)], "id bigint, company_id bigint, status string, amount bigint, booking_date date"
+    )
+    settlements = spark.createDataFrame([], "id bigint, invoice_id bigint, transaction_id bigint, amount bigint, created_at timestamp")
+    closings = spark.createDataFrame([], "company_id bigint, period date, locked_at timestamp")
+    rows = [(k, AT + dt.timedelta(minutes=k), k, i, 60) for k in range(n) for i in (k, k + 1)]
+    table = spark.createDataFrame(rows, "decision_id bigint, requested_at timestamp, transaction_id bigint, invoice_id bigint, amount bigint")
+    return table, transactions, invoices, settlements, closings
+
+
+@pytest.mark.parametrize("folded_rows", [100_000, 0])
+def test_a_chain_of_settlements(spark, written, monkeypatch, folded_rows):
+    n = 1000 if folded_rows else 8
+    monkeypatch.setattr(dec, "FOLDED_ROWS", folded_rows)
+    got = {r.decision_id: r.reject_reason for r in dec.settle_invoices(*chained(spark, n)).collect()}
+    assert got == {k: "over_outstanding" if k % 2 else None for k in range(n)}
+    assert not folded_rows or len(written) < 40
