@@ -49,6 +49,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return out
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns in one struct ``row``, so that a stage's own columns meet no name of the table.
+
+    ``select("row.*")`` gives them back.
+    """
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def folded(text: Column) -> Column:
     """A-Z in lower case, every other letter as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from razao.llm.common import Texts, components, mix, run_starts, signed, stored, summed_vector, text_chunks
+from razao.llm.common import Texts, components, mix, run_starts, signed, stored, summed_vector, text_chunks, whole
 
 WORDS = 3
 PERCENT = 90
@@ -261,7 +261,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """
     member, _ = jaccard_join(docs, words, percent)
     kept = member.where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("row.*")
 
 
 def jaccard_report(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

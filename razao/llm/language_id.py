@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from razao.llm.common import WHITE, Texts, bucket_of, mix, summed_vector, text_chunks
+from razao.llm.common import WHITE, Texts, bucket_of, mix, summed_vector, text_chunks, whole
 
 SLOTS = 1 << 16
 SWITCH = 12.0
@@ -270,4 +270,5 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     model = train(docs.where(~held_out(docs)))
     good = identify(docs.select("doc_id", "text"), model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     good = good.select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_good")), "left_semi")
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(good, F.col("_id").eqNullSafe(F.col("_good")), "left_semi").select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from razao.llm.common import WHITE, Texts, signed, stored, text_chunks
+from razao.llm.common import WHITE, Texts, free_name, signed, stored, text_chunks, whole
 
 MIN_CHARS = 10
 CONTINUED = np.zeros(256, np.int64)
@@ -60,47 +60,51 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _stream(batches):
-    """Rows sorted by (hash, doc_id): drops, and what lies at the partition's ends.
+    """Rows sorted by (hash, check, doc_id): drops, and what lies at the partition's ends.
 
     ``kind`` 0: drop this line. ``kind`` 1: a line of the first document that the partition
     holds for its first hash; ``kind`` 2: the first document of its last hash.
     """
-    held, first_hash, last = None, None, None
+    held, first = None, None
     for batch in batches:
-        h, d, t, p = (np.asarray(batch.column(i)) for i in range(4))
+        h, c, d, t, p = (np.asarray(batch.column(i)) for i in range(5))
         if not len(h):
             continue
-        fresh = np.concatenate([[True], h[1:] != h[:-1]])
-        if held is not None and h[0] == held[0]:
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        if held is not None and (h[0], c[0]) == held[:2]:
             fresh[0] = False
-        if first_hash is None:
-            first_hash = h[0]
-        run = np.cumsum(fresh)
-        heads = np.concatenate([[held[1] if held is not None else 0], d[fresh]])
-        least = heads[run]
+        if first is None:
+            first = (h[0], c[0])
+        heads = np.concatenate([[held[2] if held is not None else 0], d[fresh]])
+        least = heads[np.cumsum(fresh)]
         drop = d != least
-        edge = ~drop & (h == first_hash)
-        keep = drop | edge
-        last = (int(h[-1]), int(least[-1]))
-        held = last
+        keep = drop | (h == first[0]) & (c == first[1])
+        held = (int(h[-1]), int(c[-1]), int(least[-1]))
         if keep.any():
-            yield _marks(np.where(drop[keep], 0, 1), h[keep], d[keep], t[keep], p[keep])
-    if last is not None:
-        yield _marks(np.array([2]), np.array([last[0]]), np.array([last[1]]), np.array([0]), np.array([-1]))
+            yield _marks(np.where(drop[keep], 0, 1), h[keep], c[keep], d[keep], t[keep], p[keep])
+    if held is not None:
+        yield _marks(*(np.array([x]) for x in (2, *held, 0, -1)))
 
 
-def _marks(kind, h, d, t, p) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(p, pa.int64())], names=["kind", "hash", "doc_id", "text_id", "pos"])
+MARK = "kind int, hash long, check long, doc_id long, text_id long, pos long"
+
+
+def _marks(kind, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *[pa.array(x, pa.int64()) for x in columns]], names=[f.split()[0] for f in MARK.split(", ")])
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text_id, pos) of the lines that a smaller doc_id holds as well."""
-    hashes = line_hashes(docs, min_chars).select(F.xxhash64("hash", "check").alias("hash"), "doc_id", "text_id", "pos")
-    ordered = hashes.repartitionByRange("hash", "doc_id", "pos").sortWithinPartitions("hash", "doc_id", "pos")
-    marks = stored(ordered.mapInArrow(_stream, "kind int, hash long, doc_id long, text_id long, pos long"), "lines")
+    """(doc_id, text_id, pos) of the lines that a smaller doc_id holds as well.
+
+    Lines are equal where 96 bits of their hashes are.
+    """
+    key = ["hash", "check"]
+    hashes = line_hashes(docs, min_chars).select(*key, "doc_id", "text_id", "pos")
+    ordered = hashes.repartitionByRange(*key, "doc_id", "pos").sortWithinPartitions(*key, "doc_id", "pos")
+    marks = stored(ordered.mapInArrow(_stream, MARK), "lines")
     ends = marks.where("kind > 0")
-    least = ends.groupBy("hash").agg(F.min("doc_id").alias("least"))
-    late = ends.where("kind = 1").join(least, "hash").where("doc_id > least").select("doc_id", "text_id", "pos")
+    least = ends.groupBy(*key).agg(F.min("doc_id").alias("least"))
+    late = ends.where("kind = 1").join(least, key).where("doc_id > least").select("doc_id", "text_id", "pos")
     return marks.where("kind = 0").select("doc_id", "text_id", "pos").union(late)
 
 
@@ -137,10 +141,15 @@ def drop_positions(drops, slice_lines: int = 1 << 16) -> np.ndarray:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the column ``_drops``: the document's bitmap, null where all lines stay."""
-    bitmaps = keep_bitmaps(dropped_lines(docs, min_chars)).select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), F.col("drops").alias("_drops"))
-    own = docs.withColumn("_own", text_id())
-    return own.join(bitmaps, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_own") == F.col("_text_id")), "left").drop("_id", "_text_id", "_own")
+    """``docs`` and, as the last column, each document's bitmap, null where all lines stay.
+
+    The column is ``_drops``, or the next free name.
+    """
+    bitmaps = keep_bitmaps(dropped_lines(docs.select("doc_id", "text"), min_chars))
+    bitmaps = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), F.col("drops").alias("_drops"))
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("_at"), text_id().alias("_own"))
+    joined = rows.join(bitmaps, (F.col("_at") == F.col("_id")) & (F.col("_own") == F.col("_text_id")), "left")
+    return joined.select("row.*", F.col("_drops").alias(free_name(docs, "_drops")))
 
 
 def _kept(text: bytes, drops) -> tuple[bytes, int, int]:
@@ -152,23 +161,23 @@ def _kept(text: bytes, drops) -> tuple[bytes, int, int]:
 
 
 def apply_bitmaps(marked: DataFrame) -> DataFrame:
-    """The kept text in place of ``text``, for tables that ``line_dedup`` marked."""
-    fields = [f for f in marked.schema.fields if f.name != "_drops"]
+    """The kept text in place of ``text``, for tables that ``line_dedup`` marked in their last column."""
+    fields = marked.schema.fields[:-1]
     at = [f.name for f in fields].index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    columns = marked.columns
-    n, text_at = columns.index("_drops"), columns.index("text")
+    # numbered names inside, since a name may hold a dot
+    names = [f"c{i}" for i in range(len(fields))]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True))
 
     def rebuild(batches):
-        for batch, texts in text_chunks(batches):
-            drops = batch.column(n).to_pylist()
-            null = batch.column(text_at).is_null().to_pylist()
+        for batch, texts in text_chunks(batches, names[at]):
+            drops = batch.column(len(names)).to_pylist()
+            null = batch.column(at).is_null().to_pylist()
             out = [None if z else _kept(t, d)[0].decode() for t, d, z in zip(texts, drops, null, strict=True)]
-            kept = [batch.column(i) for i in range(len(columns)) if i != n]
+            kept = [batch.column(i) for i in range(len(names))]
             kept[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(kept, names=[c for c in columns if c != "_drops"])
+            yield pa.RecordBatch.from_arrays(kept, names=names)
 
-    return marked.mapInArrow(rebuild, schema)
+    return marked.toDF(*names, "drops").mapInArrow(rebuild, schema).toDF(*[f.name for f in fields])
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

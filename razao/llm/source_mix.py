@@ -12,7 +12,7 @@ Targets are tempered shares of the table's own tokens: share ** power, scaled to
 Defined results: null source or language is the group ``unknown``; null and empty texts have no
 token and belong to their cell like any other; cells without tokens are drawn with
 probability 0; rows with the same id are drawn alike; a null id hashes as the empty text; an
-empty table gives no rows; columns whose names clash with those added here are replaced.
+empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from razao.llm.common import stored
+from razao.llm.common import stored, whole
 
 MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -53,7 +53,7 @@ def with_cell(docs: DataFrame) -> DataFrame:
 def raked_cells(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """(source, lang, topic, tokens, weight): weights sum to 1 and follow the targets."""
     cells = (
-        with_cell(docs).groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS])
+        with_cell(docs.select("text", "source", "lang")).groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS])
         .agg(F.sum(token_count(F.col("text").cast("string"))).alias("tokens")).where("tokens > 0")
     )
     cells = stored(cells, "cells")
@@ -99,7 +99,7 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def with_rates(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``_source``, ``_lang``, ``_topic`` and ``_rate``."""
+    """``docs`` with ``_source``, ``_lang``, ``_topic`` and ``_rate``, names that it may not hold itself."""
     rates = drawing_rates(raked_cells(docs, powers, rounds), budget)
     rates = rates.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("rate").alias("_rate"))
     joined = with_cell(docs).join(rates, [f"_{m}" for m in MARGINS], "left")
@@ -108,7 +108,8 @@ def with_rates(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float]
 
 def mix_sources(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The drawn documents, with the columns of ``docs``."""
-    return with_rates(docs, budget).where(uniform(F.col("doc_id")) < F.col("_rate")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = with_rates(docs.select(whole(docs), "doc_id", "text", "source", "lang"), budget)
+    return rows.where(uniform(F.col("doc_id")) < F.col("_rate")).select("row.*")
 
 
 def mix_report(docs: DataFrame, budget: float = BUDGET) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from razao.llm import filter_audit, sharding, source_audit
 from razao.llm.common import Texts
 
@@ -226,3 +227,32 @@ def test_masks_of_a_table_with_a_hot_text(store):
     cells, letters = filter_audit.mask_cells(docs, store.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert letters == "ABCDE"
     assert {(r["mask"], r["rows"]) for r in cells.collect()} == {(1, 2001), (17, 999)}
+
+
+# ---------------------------------------------------------------- names
+
+
+CLASHING = (
+    "_source", "_lang", "_topic", "_rate", "_drops", "_id", "_own", "_at", "_text_id", "_good", "_kept", "row", "rate", "sum", "weight", "tokens", "target_source",
+    "hash", "check", "class", "pos", "cluster", "piece", "bin_id", "shard", "component", "component_id", "node", "u", "v", "words", "score", "lang_pred", "salt", "a.b",
+)
+
+
+@pytest.fixture(scope="module")
+def clashing(store):
+    docs = store.read.parquet(f"{SF}/documents.parquet")
+    return docs.select("*", *[F.concat(F.lit(f"{name}:"), F.col("doc_id")).alias(name) for name in CLASHING]).cache()
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(store, clashing, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    plain = store.read.parquet(f"{SF}/documents.parquet")
+    out, want = run(store, clashing, SF), run(store, plain, SF)
+    if stage == "best_fit_packing":
+        assert out.count() == want.count()
+        return
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in rows))) == sorted(map(str, map(tuple, want.collect())))
+    assert all(tuple(r)[5:] == tuple(f"{name}:{r.doc_id}" for name in CLASHING) for r in rows)
