@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -432,6 +433,61 @@ def test_extraction(store):
     assert html_extract.html_extract(pages.where("false")).collect() == []
 
 
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="ad">Buy this now.</div>'
+FOOT = "<section class='comments'><div class='comment'><p>What a reader said about it, at some length.</p></div></section><footer>&copy; site.example.com &middot; All rights</footer>"
+SAID = "An ordinary paragraph that says a few things about the matter at hand, in two clauses."
+
+
+@pytest.fixture(scope="module")
+def page_model(store):
+    return html_extract.fit(store.read.parquet(f"{SF}/pages.parquet"))
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<article><h1>Cake</h1><ul><li>Mix</li><li>Bake</li><li>Cool</li></ul></article>", "Cake|Mix|Bake|Cool"),
+        (f"<article><h1>News</h1><p>{SAID}</p><p><a href='/x'>{SAID} linked</a></p></article>", f"News|{SAID}|{SAID} linked"),
+        ("<article><h1>Poem</h1><p>Rain</p><p>falls</p><p>again</p></article>", "Poem|Rain|falls|again"),
+        ("<article><h1>Prices</h1><table><tr><th>Item</th><th>Price</th></tr><tr><td>Tea</td><td>2</td></tr></table></article>", "Prices|Item|Price|Tea|2"),
+        ("<article><h1>Words</h1><ol>" + "".join(f"<li>w{i}</li>" for i in range(40)) + "</ol></article>", "Words|" + "|".join(f"w{i}" for i in range(40))),
+        (f"<article><h1>Sources</h1><p>{SAID}</p><ul>" + "".join(f"<li><a href='/{i}'>Source number {i}</a></li>" for i in range(8)) + "</ul></article>", f"Sources|{SAID}|" + "|".join(f"Source number {i}" for i in range(8))),
+        (f"<main><h1>T</h1><p>{SAID}</p><ul><li>one</li><li>two</li></ul></main>", f"T|{SAID}|one|two"),
+        (f"<div class='content'><h1>T</h1><p>{SAID}</p><p>{SAID}</p></div><div class='sidebar'><p>Short note.</p><ul><li><a href='/s'>x</a></li></ul></div>", f"T|{SAID}|{SAID}"),
+        (f"<div class='cookie-notice'><p>We use cookies on this site.</p></div><article><p>{SAID}</p></article><form><label>Mail</label><input></form>", SAID),
+        (f"<article><h1>T</h1><p>{SAID}</p><aside><p>Related: read this other text as well.</p></aside><p>{SAID} end.</p></article>", f"T|{SAID}|{SAID} end."),
+        ("<article><dl><dt>a</dt><dd>first</dd></dl><pre>x = 1</pre><blockquote>q</blockquote></article>", "a|first|x = 1|q"),
+    ],
+)
+def test_articles_of_other_layouts_come_out_whole(page_model, body, text):
+    assert html_extract.extract_text(f"<html><body>{NAV}{body}{FOOT}</body></html>", page_model).split("\n") == text.split("|")
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a b=\"c' " * 110_000, "<p class='x\" >" * 70_000, "<div><span></p></b>" * 55_000, "<p><div>" + "<span>" * 100_000 + "</p>" * 100_000, "<" * 1_000_000, "<!--" * 250_000, "</div>" * 170_000, "<script>" * 125_000, "<table><tr><td>" * 66_000],
+)
+def test_a_megabyte_of_broken_markup_is_read_in_time(page_model, source):
+    start = time.process_time()
+    html_extract.extract_text(source, page_model)
+    took = time.process_time() - start
+    start = time.process_time()
+    html_extract.extract_text(source[: len(source) // 4], page_model)
+    # in proportion to the length, with room for a busy machine
+    assert took < 12 * (time.process_time() - start) + 2
+
+
+def test_quotes_without_a_partner_are_plain():
+    def runs(source):
+        page = html_extract.parse(source)
+        return [(html_extract.run_text(page.nodes[i]), page.nodes[page.nodes[i].parent].marks) for i in page.runs]
+
+    assert [t for t, _ in runs("<p class=a\"b>x</p>")] == ["x"]
+    assert [t for t, _ in runs("<p title='it is>x</p><p>y</p>")] == ["x", "y"]
+    assert runs('<p title="a > b" class="c">x</p>') == [("x", ("c",))]
+    assert [t for t, _ in runs("1 < 2 and <b>3</b> > 2")] == ["1 < 2 and 3 > 2"]
+
+
 def test_all_text_but_the_listed_parts_reaches_the_model():
     def runs(source):
         page = html_extract.parse(source)
