@@ -847,6 +847,6 @@ def cash_flow_report(m: Model):
     LEFT JOIN flows f ON f.company_id = o.company_id AND f.month = m.month""",
 )
 def monthly_evolution(m: Model):
-    return ser.monthly_evolution(m.accounts, m.transactions, "1999-12-20")
+    return ser.monthly_evolution(m.accounts, m.transactions, "1999-12-20", 12)
 
 

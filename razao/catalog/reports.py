@@ -184,7 +184,7 @@ def capped_list(m: Model):
        QUALIFY place <= 10""",
 )
 def next_due(m: Model):
-    rows = ordering.next_due(m.transactions, AS_OF, F.date_add(dates.day(AS_OF), 30))
+    rows = ordering.next_due(m.transactions, AS_OF, F.date_add(dates.day(AS_OF), 30), 10)
     return rows.select("id", "company_id", "booking_date", "place")
 
 
@@ -210,7 +210,7 @@ def natural_order(m: Model):
     FROM spine s LEFT JOIN closings c USING (company_id, period)""",
 )
 def closing_calendar(m: Model):
-    return ordering.closing_calendar(m.companies, m.closings, AS_OF).select(
+    return ordering.closing_calendar(m.companies, m.closings, AS_OF, 12).select(
         "company_id", "period", "reopen_reason", "state"
     )
 

@@ -13,6 +13,7 @@ from razao.catalog.ledger import _state
 from razao.catalog.matching import _CONTESTED, _PLAN
 from razao.catalog.scalars import _NEXT, _ORDERS, _days, grouped
 from razao.functions import dates, money
+from razao.functions.money import from_decimal
 from razao.operators import filters as flt
 from razao.operators import ordering
 from razao.session import checkpoint_dir
@@ -231,10 +232,35 @@ def stream_import(m: Model):
     lines = statement_lines_from(_stream(m, "orders")).select(
         "id", "bank_account_id", F.concat(F.lit("day:"), F.col("posted_at").cast("string")).alias("dedup_key")
     )
-    batch = m.statement_lines
-    loads.prepare_table(lines.schema, batch, table)
+    loads.prepare_table(m.spark, lines.schema, table)
     loads.stream_import(lines, table, progress).awaitTermination()
-    return loads.read_table(batch, lines.schema, table).drop("batch")
+    return loads.read_table(m.spark, lines.schema, table).drop("bucket", "batch")
+
+
+@query(
+    "stream_balances",
+    sql="""SELECT o_custkey AS bank_account_id, declared_balance, declared_date::VARCHAR AS declared_date
+       FROM (SELECT o_custkey, (o_totalprice * 100)::BIGINT AS declared_balance, CAST(o_orderdate AS DATE) AS declared_date
+             FROM orders WHERE o_orderkey % 5 <> 0
+             QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) = 1)""",
+)
+def stream_balances(m: Model):
+    """Each order stands for an import that declares its total on its day; one in five declares none."""
+    from razao.streaming import loads
+
+    table, progress = _folders(m)
+    key = F.col("o_orderkey")
+    imports = _stream(m, "orders").select(
+        key.alias("id"),
+        F.col("o_custkey").alias("bank_account_id"),
+        F.when(key % 5 != 0, from_decimal(F.col("o_totalprice"))).alias("statement_balance"),
+        F.col("o_orderdate").cast("date").alias("statement_balance_date"),
+        F.lit("2000-01-01").cast("timestamp_ntz").alias("created_at"),
+    )
+    schema = loads.newest_declarations(imports).schema
+    loads.prepare_table(m.spark, schema, table)
+    loads.stream_balances(imports, table, progress).awaitTermination()
+    return loads.read_balances(m.spark, schema, table)
 
 
 @query(

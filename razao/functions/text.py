@@ -57,12 +57,14 @@ def text_similarity(left: Column, right: Column) -> Column:
 
 # Words of bank-statement jargon and month names that a rule text leaves out.
 RULE_NOISE = (
-    "pix ted doc transferencia transf pagamento pgto recebimento receb enviado enviada "
-    "recebido recebida pago paga credito debito cred deb conta cc cp ag agencia banco boleto "
-    "titulo cobranca tarifa liquidacao compensacao de da do para em ref referente nr num numero "
-    "id aut autenticacao janeiro fevereiro marco abril maio junho julho agosto setembro outubro "
-    "novembro dezembro jan fev mar abr mai jun jul ago set out nov dez"
-).split()
+    "pix", "ted", "doc", "transferencia", "transf", "pagamento", "pgto", "recebimento", "receb",
+    "enviado", "enviada", "recebido", "recebida", "pago", "paga", "credito", "debito", "cred",
+    "deb", "conta", "cc", "cp", "ag", "agencia", "banco", "boleto", "titulo", "cobranca", "tarifa",
+    "liquidacao", "compensacao", "de", "da", "do", "para", "em", "ref", "referente", "nr", "num",
+    "numero", "id", "aut", "autenticacao", "janeiro", "fevereiro", "marco", "abril", "maio",
+    "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro", "jan", "fev", "mar",
+    "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez",
+)
 
 
 def suggest_rule_text(memo: Column) -> Column:

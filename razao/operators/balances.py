@@ -129,26 +129,28 @@ def consolidate(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     )
 
 
-def latest_declared_balance(imports: DataFrame) -> DataFrame:
-    """Per account the balance with the latest date, then the latest import.
-
-    A late upload of an old statement does not replace a newer declaration.
-    """
+def newest_declarations(imports: DataFrame) -> DataFrame:
+    """Per account the import whose declared balance has the latest date, then the latest import."""
+    fields = ("statement_balance_date", "created_at", "id", "statement_balance")
     return (
         imports.where(
             F.col("statement_balance").isNotNull() & F.col("statement_balance_date").isNotNull()
         )
         .groupBy("bank_account_id")
-        .agg(
-            F.max(
-                F.struct("statement_balance_date", "created_at", "id", "statement_balance")
-            ).alias("d")
-        )
-        .select(
-            "bank_account_id",
-            F.col("d.statement_balance").alias("declared_balance"),
-            F.col("d.statement_balance_date").alias("declared_date"),
-        )
+        .agg(F.max(F.struct(*fields)).alias("d"))
+        .select("bank_account_id", *[F.col(f"d.{f}").alias(f) for f in fields])
+    )
+
+
+def latest_declared_balance(imports: DataFrame) -> DataFrame:
+    """Per account the balance with the latest date, then the latest import.
+
+    A late upload of an old statement does not replace a newer declaration.
+    """
+    return newest_declarations(imports).select(
+        "bank_account_id",
+        F.col("statement_balance").alias("declared_balance"),
+        F.col("statement_balance_date").alias("declared_date"),
     )
 
 

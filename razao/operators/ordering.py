@@ -35,7 +35,7 @@ def capped_list(
     return top_k(rows, [key], order, cap).join(sizes, key)
 
 
-def next_due(planned: DataFrame, first, last, k: int = 10) -> DataFrame:
+def next_due(planned: DataFrame, first, last, k: int) -> DataFrame:
     """The first planned rows of each company inside the horizon."""
     inside = planned.where(
         (F.col("status") == "previsto") & F.col("booking_date").between(day(first), day(last))
@@ -59,7 +59,7 @@ def portfolio_order() -> list[Column]:
     return [F.desc("attention_score"), F.collate(F.col("name"), "pt").asc(), F.asc("company_id")]
 
 
-def closing_calendar(companies: DataFrame, closings: DataFrame, as_of, months: int = 12) -> DataFrame:
+def closing_calendar(companies: DataFrame, closings: DataFrame, as_of, months: int) -> DataFrame:
     """The last months of each company, newest first, also those without a closing."""
     last = month_start(day(as_of))
     spine = companies.select(

@@ -218,7 +218,7 @@ def cash_flow_report(accounts: DataFrame, transactions: DataFrame, first, last)
 
 
 def monthly_evolution(
-    accounts: DataFrame, transactions: DataFrame, as_of, months: int = 12
+    accounts: DataFrame, transactions: DataFrame, as_of, months: int
 ) -> DataFrame:
     """The last months: inflow, outflow, result and balance at month end (today for the current).
 

@@ -53,6 +53,29 @@ def _lookup(table: dict[str, Column], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), key)
 
 
+# How a file in UTF-16 begins: a byte order mark, or a first ASCII character with its zero byte.
+UTF16_LE, UTF16_BE = "utf-16le", "utf-16be"
+_START_LE = r"^(?:\xff\xfe|[\x01-\x7f]\x00)"
+_START_BE = r"^(?:\xfe\xff|\x00[\x01-\x7f])"
+# One valid character in group 1, or a lone surrogate in group 2, which is dropped. Matches follow each
+# other without a gap, so they stay on even positions.
+_UNITS_LE = r"(?s)(.[\xd8-\xdb].[\xdc-\xdf]|.[^\xd8-\xdf])|(..)"
+_UNITS_BE = r"(?s)([\xd8-\xdb].[\xdc-\xdf].|[^\xd8-\xdf].)|(..)"
+
+
+def _utf16_order(content: Column) -> Column:
+    """The byte order of a UTF-16 file, or null."""
+    start = F.decode(F.substring(content, 1, 2), "ISO-8859-1")
+    return F.when(start.rlike(_START_LE), UTF16_LE).when(start.rlike(_START_BE), UTF16_BE)
+
+
+def _as_utf16(content: Column, units: str, codec: str) -> Column:
+    """Text of whole code units; an odd last byte and lone surrogates are left out."""
+    even = F.substring(content, F.lit(1), F.octet_length(content) - F.octet_length(content) % 2)
+    clean = F.regexp_replace(F.decode(even, "ISO-8859-1"), units, "$1")
+    return F.regexp_replace(F.decode(F.encode(clean, "ISO-8859-1"), codec), "^\ufeff", "")
+
+
 def _charset(name: Column) -> Column:
     """The charset a declared name means; what is unknown is read as UTF-8."""
     meant = {name: F.lit(charset) for charset, (_, names) in ONE_BYTE.items() for name in names}
@@ -66,8 +89,11 @@ def _as_text(content: Column, charset: Column) -> Column:
 
     def read(pair: Column) -> Column:
         bytes_as_chars = F.decode(content, "ISO-8859-1")
-        return F.when(pair.isNull(), _as_utf8(content)).otherwise(
-            F.call_function("translate", bytes_as_chars, pair[0], pair[1])
+        return (
+            F.when(charset == UTF16_LE, _as_utf16(content, _UNITS_LE, "UTF-16LE"))
+            .when(charset == UTF16_BE, _as_utf16(content, _UNITS_BE, "UTF-16BE"))
+            .when(pair.isNull(), _as_utf8(content))
+            .otherwise(F.call_function("translate", bytes_as_chars, pair[0], pair[1]))
         )
 
     return let(_lookup(tables, charset), read)
@@ -91,14 +117,14 @@ XML_ENCODING = r"""(?i)<\?xml[^>]*encoding\s*=\s*["']([\w-]+)["']"""
 
 
 def statement_charset(content: Column) -> Column:
-    """The charset by name: XML prolog first, then CHARSET, then ENCODING; else ``utf-8``."""
+    """The charset by name: UTF-16 by its first bytes, then XML prolog, CHARSET, ENCODING; else ``utf-8``."""
     head = _header(content)
     name = F.coalesce(
         _declared(head, XML_ENCODING),
         _declared(head, r"(?i)CHARSET\s*:\s*([\w-]+)"),
         _declared(head, r"(?i)ENCODING\s*:\s*([\w-]+)"),
     )
-    return _charset(name)
+    return F.coalesce(_utf16_order(content), _charset(name))
 
 
 def decode_statement(content: Column) -> Column:
@@ -106,6 +132,6 @@ def decode_statement(content: Column) -> Column:
 
 
 def decode_invoice(content: Column) -> Column:
-    """Only the XML prolog counts for an invoice."""
+    """Only the first bytes and the XML prolog count for an invoice."""
     name = _declared(F.decode(content, "ISO-8859-1"), XML_ENCODING)
-    return _as_text(content, _charset(name))
+    return _as_text(content, F.coalesce(_utf16_order(content), _charset(name)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -204,3 +206,19 @@ def test_csv_with_a_stated_layout(spark):
     assert warned == {("a", "data"), ("c", "valor")}
     problems = {r.file: r.problem for r in delimited.stated_layout(data, mapping).collect()}
     assert problems == {"a": None, "b": None, "c": None, "d": "no_lines"}
+
+
+@pytest.mark.parametrize("order", ["le", "be"])
+def test_utf16_by_mark_and_by_first_bytes(spark, order):
+    from razao.sources.decode import decode_invoice, decode_statement, statement_charset
+
+    text = "<OFX>é ção \U0001F600 ok</OFX>"
+    raw = text.encode(f"utf-16-{order}")
+    mark = "\ufeff".encode(f"utf-16-{order}")
+    # a lone surrogate in the middle and half a character at the end
+    lone = (b"\x00\xd8" if order == "le" else b"\xd8\x00") + raw + b"x"
+    rows = [(1, mark + raw), (2, raw), (3, mark + lone), (4, mark), (5, b""), (6, b"x")]
+    df = spark.createDataFrame(rows, "i int, content binary").orderBy("i")
+    got = df.select(statement_charset(F.col("content")), decode_statement(F.col("content")), decode_invoice(F.col("content"))).collect()
+    assert [r[0] for r in got] == [f"utf-16{order}"] * 4 + ["utf-8"] * 2
+    assert [r[1] for r in got] == [text, text, text, "", "", "x"] == [r[2] for r in got]
