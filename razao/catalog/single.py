@@ -13,7 +13,6 @@ from razao.catalog.ledger import _state
 from razao.catalog.matching import _CONTESTED, _PLAN
 from razao.catalog.scalars import _NEXT, _ORDERS, _days, grouped
 from razao.functions import dates, money
-from razao.functions.money import from_decimal
 from razao.operators import filters as flt
 from razao.operators import ordering
 from razao.session import checkpoint_dir
@@ -253,7 +252,7 @@ def stream_balances(m: Model):
     imports = _stream(m, "orders").select(
         key.alias("id"),
         F.col("o_custkey").alias("bank_account_id"),
-        F.when(key % 5 != 0, from_decimal(F.col("o_totalprice"))).alias("statement_balance"),
+        F.when(key % 5 != 0, money.from_decimal(F.col("o_totalprice"))).alias("statement_balance"),
         F.col("o_orderdate").cast("date").alias("statement_balance_date"),
         F.lit("2000-01-01").cast("timestamp_ntz").alias("created_at"),
     )

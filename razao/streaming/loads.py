@@ -16,7 +16,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from razao.operators.balances import newest_declarations
 from razao.operators.imports import new_lines
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket_of(columns: list[str], buckets: int) -> Column:
