@@ -64,6 +64,21 @@ def scan_embedded(m: Model):
     )
 
 
+@query(
+    "scan_embedded_chunks",
+    "profile_accounts",
+    """SELECT profile_id, place // 8 AS chunk, string_agg(bank_account_id::VARCHAR, ',' ORDER BY bank_account_id) AS accounts
+       FROM (SELECT profile_id, bank_account_id, row_number() OVER (PARTITION BY profile_id ORDER BY bank_account_id) - 1 AS place
+             FROM (SELECT DISTINCT profile_id, bank_account_id FROM profile_accounts))
+       GROUP BY profile_id, chunk""",
+)
+def scan_embedded_chunks(m: Model):
+    from razao.sources.tables import embed_chunks
+
+    rows = embed_chunks(m.profile_accounts, "profile_id", "bank_account_id", "accounts", 8)
+    return rows.select("profile_id", "chunk", F.array_join(F.transform("accounts", lambda a: a.cast("string")), ",").alias("accounts"))
+
+
 @query("scope_filter", "transactions", f"{_T} WHERE status = 'realizado'")
 def scope_filter(m: Model):
     return flt.scope_filter(m.transactions).select(*_TX)

@@ -196,6 +196,10 @@ def balance_proof(accounts: DataFrame, transactions: DataFrame, imports: DataFra
     return check_balance(accounts, transactions, latest_declared_balance(imports))
 
 
+# A company's accounts are dealt to so many tasks where they meet its months.
+COMPANY_SALTS = 64
+
+
 def closing_snapshot(accounts: DataFrame, transactions: DataFrame, periods: DataFrame) -> DataFrame:
     """Balance of every account at each closed month end of its company.
 
@@ -210,9 +214,14 @@ def closing_snapshot(accounts: DataFrame, transactions: DataFrame, periods: Data
     )
     # Each wanted month end is a row without movement among its account's months, so the running
     # sum reaches it where it stands and nothing is joined back.
+    # The few months of a company are repeated for each salt, so a large company is spread over tasks.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(COMPANY_SALTS - 1))).alias("_salt")
     marks = (
-        accounts.select("bank_account_id", "company_id", "opening_balance")
-        .join(periods.select("closing_id", "company_id", "period"), "company_id")
+        accounts.select(
+            "bank_account_id", "company_id", "opening_balance",
+            F.pmod(F.xxhash64("bank_account_id"), F.lit(COMPANY_SALTS)).cast("int").alias("_salt"),
+        )
+        .join(periods.select("closing_id", "company_id", "period", salts), ["company_id", "_salt"])
         .select(
             "bank_account_id", "period", F.lit(0).cast("bigint").alias("net"),
             F.lit(True).alias("_wanted"), "closing_id", "opening_balance",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from razao.operators.assign import rank_in_group
+
 
 def scan_table(
     table: DataFrame,
@@ -55,3 +57,16 @@ def embed_many(
     return rows.join(lists, key, "left").withColumn(
         name, F.coalesce(name, F.array().cast(lists.schema[name].dataType))
     )
+
+
+def embed_chunks(children: DataFrame, key: str, field: str, name: str, size: int) -> DataFrame:
+    """The children's values in sorted arrays of ``size``, numbered from 0 within each parent.
+
+    For link tables without a bound: ranks are taken in slices, so a parent with any number of
+    children is spread over rows and tasks.
+    """
+    ranked = rank_in_group(children.select(key, field).distinct(), [key], field)
+    return (
+        ranked.groupBy(key, F.floor(F.col("rank") / size).cast("bigint").alias("chunk"))
+        .agg(F.array_sort(F.collect_list(field)).alias(name))
+    )

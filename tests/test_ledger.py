@@ -139,3 +139,12 @@ def test_working_month(spark):
     assert working_month(one, none, "2025-09-01").first().working_month == day("2025-08-01")
     assert working_month(one, closing, "2025-09-01").first().working_month == day("2025-09-01")
     assert working_month(one, none, "2025-01-20").first().working_month == day("2025-01-01")
+
+
+def test_many_children_spread_over_chunks(spark):
+    from razao.sources.tables import embed_chunks
+
+    children = spark.range(300_000).selectExpr("1L AS parent", "id AS child").union(spark.createDataFrame([(2, 5), (2, 5), (2, 3)], "parent bigint, child bigint"))
+    rows = embed_chunks(children, "parent", "child", "children", 1000).collect()
+    assert sorted((r.chunk, r.children[0], len(r.children)) for r in rows if r.parent == 1) == [(i, 1000 * i, 1000) for i in range(300)]
+    assert [(r.chunk, list(r.children)) for r in rows if r.parent == 2] == [(0, [3, 5])]
