@@ -143,44 +143,41 @@ def assign_classes(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def greedy_in_group(pairs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def greedy_in_group(pairs: DataFrame, keys: list[str], order: list[str], carried: list[str]) -> DataFrame:
     """The same assignment for small groups in one pass, on the JVM.
 
     ``order`` names columns of ``pairs``, best first when ascending, among them ``line_id``
-    and ``transaction_id``, so that the order is strict. The caller bounds the pairs of a group, so the sorted array of one group is
-    small, and the aggregate that carries the used ids stays cheap.
+    and ``transaction_id``, so that the order is strict. The caller bounds the pairs of a group, so
+    the sorted array of one group is small, and the aggregate that carries the used ids stays cheap.
+    Returns ``keys``, ``order`` and ``carried`` of the pairs that are taken.
     """
-    element = F.struct(*order)
+    element = F.struct(*order, *carried)
     kinds = dict(pairs.dtypes)
     line_type, txn_type = kinds["line_id"], kinds["transaction_id"]
+    pair_type = pairs.select(element.alias("e")).schema["e"].dataType.simpleString()
     start = F.struct(
         F.array().cast(f"array<{line_type}>").alias("lines"),
         F.array().cast(f"array<{txn_type}>").alias("transactions"),
+        F.array().cast(f"array<{pair_type}>").alias("pairs"),
     )
 
     def step(done: Column, pair: Column) -> Column:
         free = ~F.array_contains(done["lines"], pair["line_id"]) & ~F.array_contains(
             done["transactions"], pair["transaction_id"]
         )
+
+        def with_one(name: str, value: Column) -> Column:
+            return F.when(free, F.array_append(done[name], value)).otherwise(done[name]).alias(name)
+
         return F.struct(
-            F.when(free, F.array_append(done["lines"], pair["line_id"]))
-            .otherwise(done["lines"])
-            .alias("lines"),
-            F.when(free, F.array_append(done["transactions"], pair["transaction_id"]))
-            .otherwise(done["transactions"])
-            .alias("transactions"),
+            with_one("lines", pair["line_id"]), with_one("transactions", pair["transaction_id"]), with_one("pairs", pair)
         )
 
     return (
         pairs.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(element)).alias("_pairs"))
-        .select(*keys, F.aggregate("_pairs", start, step).alias("_done"))
-        .select(*keys, F.explode(F.arrays_zip("_done.lines", "_done.transactions")).alias("_m"))
-        .select(
-            *keys,
-            F.col("_m.lines").alias("line_id"),
-            F.col("_m.transactions").alias("transaction_id"),
-        )
+        .select(*keys, F.explode(F.aggregate("_pairs", start, step, lambda done: done["pairs"])).alias("_m"))
+        .select(*keys, "_m.*")
     )
 
 
