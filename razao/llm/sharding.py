@@ -106,7 +106,8 @@ def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) *
     """Whole rows as Parquet below ``path``, one folder a shard; the name of the folder column.
 
     Rows of a shard are dealt by their number in the scan over as many tasks as files are wanted,
-    so that equal rows and hot keys are spread as well; the deal only sets the file.
+    so that equal rows and hot keys are spread as well; the deal only sets the file. ``docs`` is a
+    table as it is read, so that a task that runs again deals its rows as before.
     """
     name = free_name(docs, "shard")
     placed_docs = docs.withColumn(name, placed(F.col(f"`{key}`"), weights))
