@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from razao.functions.text import document_hit, jaccard, normalize_text, tokens
 from razao.operators.assign import assign_classes, greedy_in_group, rank_in_group
-from razao.session import cut_lineage
 
 # Day tolerances and weights of the score.
 EXACT_DAYS, SUGGEST_DAYS = 3, 30
@@ -32,7 +31,6 @@ DATE_POINTS, POINTS_PER_DAY, TEXT_POINTS, DOCUMENT_POINTS = 100, 8, 40, 50
 GROUP = ["company_id", "bank_account_id", "amount"]
 LINE_CLASS = [*GROUP, "posted_at", "memo"]
 TXN_CLASS = [*GROUP, "booking_date", "description", "document_number"]
-PAIR = ["posted_at", "booking_date", "day_gap", "similarity", "document_hit", "score", "confidence"]
 
 # Lines times transactions of a group up to which one task may pair it.
 SMALL_GROUP_PAIRS = 4096
@@ -155,9 +153,7 @@ def _small(lines: DataFrame, transactions: DataFrame, exact_days: int, suggest_d
     scored = _score(pairs, exact_days).withColumn("_order", -F.col("score"))
     by_line = ["posted_at", "memo", "line_id"]
     by_transaction = ["booking_date", "description", "document_number", "transaction_id"]
-    facts = ["similarity", "document_hit", "score", "confidence"]
-    taken = greedy_in_group(scored, GROUP, ["_order", "day_gap", *by_line, *by_transaction], facts)
-    return taken.select(*GROUP, "line_id", "transaction_id", *PAIR)
+    return greedy_in_group(scored, GROUP, ["_order", "day_gap", *by_line, *by_transaction])
 
 
 def _large(lines: DataFrame, transactions: DataFrame, exact_days: int, suggest_days: int) -> DataFrame:
@@ -167,13 +163,10 @@ def _large(lines: DataFrame, transactions: DataFrame, exact_days: int, suggest_d
 
     left_rows = lines.withColumn("left_id", class_id(LINE_CLASS))
     right_rows = transactions.withColumn("right_id", class_id(TXN_CLASS))
-    candidates = match_candidates(lines, transactions, exact_days, suggest_days).withColumns(
-        {"left_id": class_id(LINE_CLASS), "right_id": class_id(TXN_CLASS)}
-    )
-    facts = cut_lineage(candidates.drop("reason", "first_line_id", "first_transaction_id"))
-    pairs = facts.select(
-        "left_id",
-        "right_id",
+    pairs = match_candidates(lines, transactions, exact_days, suggest_days)
+    pairs = pairs.select(
+        class_id(LINE_CLASS).alias("left_id"),
+        class_id(TXN_CLASS).alias("right_id"),
         F.col("n_lines").alias("left_count"),
         F.col("n_transactions").alias("right_count"),
         F.struct(
@@ -216,8 +209,7 @@ def _large(lines: DataFrame, transactions: DataFrame, exact_days: int, suggest_d
     return (
         matches.join(left, ["left_id", "left_rank"])
         .join(right, ["right_id", "right_rank"])
-        .join(facts.select("left_id", "right_id", *PAIR), ["left_id", "right_id"])
-        .select(*GROUP, "line_id", "transaction_id", *PAIR)
+        .select(*GROUP, "line_id", "transaction_id")
     )
 
 
@@ -228,7 +220,7 @@ def assign_lines(
     suggest_days: int = SUGGEST_DAYS,
     small_group_pairs: int = SMALL_GROUP_PAIRS,
 ) -> DataFrame:
-    """(line_id, transaction_id) of the greedy one-to-one assignment, with what the pair was scored on."""
+    """(line_id, transaction_id) of the greedy one-to-one assignment."""
     lines = lines.select("id", *LINE_CLASS)
     transactions = transactions.select("id", *TXN_CLASS)
     hot = hot_groups(lines, transactions, small_group_pairs)
@@ -260,7 +252,23 @@ def match_statement(
 
     Exact pairs may be applied without asking; likely ones need a person.
     """
-    return assign_lines(lines, transactions, exact_days, suggest_days, small_group_pairs).select(
+    assigned = assign_lines(lines, transactions, exact_days, suggest_days, small_group_pairs)
+    left = _with_text(
+        lines.select(F.col("id").alias("line_id"), "posted_at", "memo"), "memo", "memo"
+    )
+    right = _with_text(
+        transactions.select(
+            F.col("id").alias("transaction_id"), "booking_date", "description", "document_number"
+        ),
+        "description",
+        "description",
+    )
+    pairs = (
+        assigned.join(left, "line_id")
+        .join(right, "transaction_id")
+        .withColumn("day_gap", F.abs(F.datediff("posted_at", "booking_date")))
+    )
+    return _score(pairs, exact_days).select(
         "company_id",
         "bank_account_id",
         "line_id",
