@@ -373,11 +373,11 @@ def _decide_by_amount(spans: DataFrame, blind: DataFrame, window: int) -> DataFr
         "month",
         {"_count": F.col("delta"), "_which": F.col("hash")},
     )
-    alone = swept.where((F.col("phase") == 1) & (F.col("_count") == 1)).select(
-        *GROUP, "day", "ref", F.col("_which").cast("decimal(20,0)").alias("_which")
-    )
+    alone = swept.where((F.col("phase") == 1) & (F.col("_count") == 1)).select(*GROUP, "day", "ref", "_which")
+    # The hash takes the type of the sums, not the sums that of a hash: the planner may cast a sum over
+    # many open invoices before it looks at the count.
     named = seen.select(
-        *GROUP, "invoice_id", "client_tax_id", F.col("_hash").cast("decimal(20,0)").alias("_which")
+        *GROUP, "invoice_id", "client_tax_id", F.col("_hash").cast(dict(swept.dtypes)["_which"]).alias("_which")
     ).distinct()
     return alone.join(named, [*GROUP, "_which"]).select(*CLIENT, "day", "ref", "invoice_id", "amount")
 

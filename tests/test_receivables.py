@@ -164,3 +164,12 @@ def test_exact_clients_skip_the_stream(spark, monkeypatch):
     blind = [(0, 9001, D(2025, 2, 2), 777, None), (1, 9002, D(2025, 2, 2), 100, None)]
     invoices += [(r[0], r[1] + 100, r[2], r[3], "B") for r in odd]
     assert run(spark, credits + blind, invoices) == one_by_one(credits + blind, invoices)
+
+
+def test_thousands_of_open_invoices_of_one_amount(spark):
+    """The sum of their id hashes is far beyond one hash; a credit that sees one still finds it."""
+    day = dt.date(2024, 1, 10)
+    crowd = [(1, i, day, 100, None) for i in range(1, 5001)]
+    invoices = [*crowd, (1, 9001, day, 700, None)]
+    credits = [(1, 1, dt.date(2024, 1, 20), 100, None), (1, 2, dt.date(2024, 1, 21), 700, None)]
+    assert run(spark, credits, invoices) == {(1, 0, None), (2, 4, 9001)}
