@@ -27,8 +27,8 @@ def iso_date(text: Column) -> Column:
 
 def ofx_date(text: Column) -> Column:
     """First eight digits only: the time zone suffix must not move the day."""
-    raw = F.regexp_replace(trimmed(text), r"^\[|\]$", "")
-    return F.try_to_date(F.regexp_extract(raw, r"^(\d{8})", 1), "yyyyMMdd")
+    digits = F.regexp_extract(trimmed(text), r"^\[?(?!0000)(\d{8})", 1)
+    return F.regexp_replace(digits, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date")
 
 
 def csv_date(text: Column) -> Column:
@@ -53,7 +53,9 @@ def csv_date(text: Column) -> Column:
             raw.rlike(br), joined
         )
 
-    return let(let(trimmed(text), parts), iso_date)
+    common = text.rlike(r"^\d{2}/\d{2}/(?!0000)\d{4}\z")
+    plain = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2))
+    return F.when(common, plain.try_cast("date")).otherwise(let(let(trimmed(text), parts), iso_date))
 
 
 def nfse_date(text: Column) -> Column:

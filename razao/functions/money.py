@@ -16,10 +16,11 @@ MAX_CENTS = 99_999_999_999_999
 
 # What trims and separates in typed text: ASCII and Unicode spaces, and the byte order mark.
 BLANKS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+BLANK_CHARACTERS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.trim(text, F.lit(BLANK_CHARACTERS))
 
 
 def in_range(cents: Column) -> Column:
@@ -86,6 +87,18 @@ def parse_user_amount(text: Column) -> Column:
     Comma is the decimal mark. A single dot with at most two digits after it is decimal;
     any other dot groups thousands. Parentheses and a leading minus negate.
     """
+    common = text.rlike(r"^-?(?:\d[\d.]{0,11},\d{1,2}|\d{1,12}(?:\.\d{1,2})?)\z")
+    units = F.when(F.contains(text, F.lit(",")), F.translate(text, ",.", ".")).otherwise(text)
+    return F.when(common, _plain_cents(units)).otherwise(_any_user_amount(text))
+
+
+def _plain_cents(text: Column) -> Column:
+    """Cents of ``-1234.5``, at most twelve digits and two after the dot."""
+    return (text.try_cast("decimal(14,2)") * 100).cast("bigint")
+
+
+def _any_user_amount(text: Column) -> Column:
+    """Every other form: currency signs, parentheses, blanks, further fraction digits."""
 
     def value(body: Column) -> Column:
         return F.regexp_replace(body, r"^[-+]", "")
@@ -119,6 +132,12 @@ def parse_tolerant_amount(text: Column) -> Column:
 
     A lone dot is always decimal here, unlike in :func:`parse_user_amount`.
     """
+    common = text.rlike(r"^-?\d{1,12}(?:[.,]\d{1,2})?\z")
+    return F.when(common, _plain_cents(F.translate(text, ",", "."))).otherwise(_any_tolerant_amount(text))
+
+
+def _any_tolerant_amount(text: Column) -> Column:
+    """Every other form: currency signs, blanks, grouped thousands, further fraction digits."""
 
     def plain(raw: Column) -> Column:
         comma = F.length(raw) - F.instr(F.reverse(raw), ",")

@@ -93,7 +93,11 @@ def _as_text(content: Column, charset: Column) -> Column:
             F.when(charset == UTF16_LE, _as_utf16(content, _UNITS_LE, "UTF-16LE"))
             .when(charset == UTF16_BE, _as_utf16(content, _UNITS_BE, "UTF-16BE"))
             .when(pair.isNull(), _as_utf8(content))
-            .otherwise(F.call_function("translate", bytes_as_chars, pair[0], pair[1]))
+            .when(
+                F.rlike(bytes_as_chars, F.concat(F.lit("["), pair[0], F.lit("]"))),
+                F.call_function("translate", bytes_as_chars, pair[0], pair[1]),
+            )
+            .otherwise(bytes_as_chars)
         )
 
     return let(_lookup(tables, charset), read)
@@ -106,7 +110,7 @@ def _as_utf8(content: Column) -> Column:
 
 def _header(content: Column) -> Column:
     """Everything before the ``<OFX>`` element, one character per byte."""
-    return F.split(F.decode(content, "ISO-8859-1"), "(?i)<OFX>", 2)[0]
+    return F.regexp_extract(F.decode(content, "ISO-8859-1"), r"(?i)^(?:[^<]++|<(?!OFX>))*+", 0)
 
 
 def _declared(head: Column, pattern: str) -> Column:
@@ -118,12 +122,8 @@ XML_ENCODING = r"""(?i)<\?xml[^>]*encoding\s*=\s*["']([\w-]+)["']"""
 
 def statement_charset(content: Column) -> Column:
     """The charset by name: UTF-16 by its first bytes, then XML prolog, CHARSET, ENCODING; else ``utf-8``."""
-    head = _header(content)
-    name = F.coalesce(
-        _declared(head, XML_ENCODING),
-        _declared(head, r"(?i)CHARSET\s*:\s*([\w-]+)"),
-        _declared(head, r"(?i)ENCODING\s*:\s*([\w-]+)"),
-    )
+    patterns = (XML_ENCODING, r"(?i)CHARSET\s*:\s*([\w-]+)", r"(?i)ENCODING\s*:\s*([\w-]+)")
+    name = let(_header(content), lambda head: F.coalesce(*[_declared(head, pattern) for pattern in patterns]))
     return F.coalesce(_utf16_order(content), _charset(name))
 
 

@@ -122,7 +122,8 @@ def attested(declared: Column, generated: Column) -> Column:
 
 
 def _transactions(files: DataFrame) -> DataFrame:
-    block = r"(?is)<STMTTRN>(.*?)(?=<STMTTRN>|</STMTTRN>|</BANKTRANLIST>|$)"
+    # Up to the next of these tags or the end; possessive, so that nothing is tried twice.
+    block = r"(?i)<STMTTRN>((?:[^<]++|<(?!/?STMTTRN>|/BANKTRANLIST>))*+)"
     blocks = F.regexp_extract_all("_body", F.lit(block), F.lit(1))
     cleaned = F.regexp_replace(F.col("_block"), CONTAINER, "")
     fields = {

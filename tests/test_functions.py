@@ -138,3 +138,14 @@ def test_long_digit_runs_keep_their_order(spark):
     texts = ["n9", "n10", f"n{10**22 + 7}", f"n{10**26}", f"n{10**26 + 1}", f"n000{10**26 + 2}"]
     df = spark.createDataFrame([(t,) for t in reversed(texts)], "v string")
     assert [r.v for r in df.orderBy(text.natural_key(F.col("v"))).collect()] == texts
+
+
+def test_references_in_a_long_text_take_linear_time(values):
+    """Each decoded piece used to be added to a copy of all the text before it."""
+    import time
+
+    long = "&#101;" * 400_000
+    values(["&#101;"], text.xml_entities)
+    started = time.monotonic()
+    assert values([long, "a&#233;&#x&lt;&#8364;&#1234567890;&#65;"], text.xml_entities) == ["e" * 400_000, "aé&#x<€&#1234567890;A"]
+    assert time.monotonic() - started < 10
