@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from razao.functions.dates import nfse_date
-from razao.functions.money import parse_tolerant_amount
+from razao.functions.money import let, parse_tolerant_amount
 from razao.functions.staging import staged
 from razao.functions.text import is_tax_id, only_digits
 from razao.sources.decode import decode_invoice
@@ -44,16 +44,16 @@ ENVELOPES = ("CompNfse", "NFSe", "Nfse")
 LEAVES = T.StructType(
     [
         T.StructField("names", T.ArrayType(T.StringType())),
-        T.StructField("parents", T.ArrayType(T.IntegerType())),
         T.StructField("texts", T.ArrayType(T.StringType())),
-        T.StructField("client", T.ArrayType(T.BooleanType())),
+        T.StructField("client_names", T.ArrayType(T.StringType())),
+        T.StructField("client_texts", T.ArrayType(T.StringType())),
     ]
 )
 
 
 def _flatten(xml: str | None) -> tuple[list, list, list, list] | None:
-    """Leaves of a document in document order: lower-case name, number of the parent element,
-    text, and whether it lies in the client's element; None for malformed XML.
+    """Lower-case names and texts of a document's leaves, by number of the parent element and then by
+    place, an empty text as None, and those of them in the client's element; None for malformed XML.
 
     Names keep their prefix, as written. The client's element is the first one by number of
     its parent, then by place: the same order in which a field is looked up.
@@ -82,7 +82,7 @@ def _flatten(xml: str | None) -> tuple[list, list, list, list] | None:
     def end(_name: str) -> None:
         _, name, leaf, parts, inside = stack.pop()
         if leaf:
-            leaves.append((name, stack[-1][0] if stack else -1, "".join(parts).strip(), inside))
+            leaves.append((name, stack[-1][0] if stack else -1, "".join(parts).strip() or None, inside))
 
     if xml is None:
         return None
@@ -94,42 +94,39 @@ def _flatten(xml: str | None) -> tuple[list, list, list, list] | None:
     except expat.ExpatError:
         return None
     client = min(clients)[1] if clients else None
-    names, parents, texts, inside = zip(*leaves, strict=True)
-    return list(names), list(parents), list(texts), [client in chain for chain in inside]
+    leaves.sort(key=lambda leaf: leaf[1])
+    own = [leaf for leaf in leaves if client in leaf[3]]
+    return [leaf[0] for leaf in leaves], [leaf[2] for leaf in leaves], [leaf[0] for leaf in own], [leaf[2] for leaf in own]
 
 
-@F.pandas_udf(LEAVES)
-def xml_leaves(xml: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(LEAVES)
+def xml_leaves(xml: pa.Array) -> pa.Array:
     """Flatten documents, one Arrow batch at a time; everything after it runs in the JVM."""
-    rows = [_flatten(text) or (None,) * 4 for text in xml]
-    return pd.DataFrame(rows, columns=["names", "parents", "texts", "client"])
+    rows = [_flatten(text) or (None,) * 4 for text in xml.to_pylist()]
+    return pa.StructArray.from_arrays(
+        [pa.array([row[i] for row in rows], pa.list_(pa.string())) for i in range(4)], names=LEAVES.names
+    )
 
 
-def _first(names: tuple[str, ...], client_only: bool = False) -> Column:
+def _first(names: tuple[str, ...], part: str = "") -> Column:
     """Text of the first leaf with one of the names, or null."""
-    wanted = F.array(*[F.lit(name) for name in names])
-
-    def fits(leaf: Column) -> Column:
-        named = F.array_contains(wanted, leaf["name"])
-        return named & leaf["client"] if client_only else named
-
-    return F.nullif(F.array_min(F.filter("_leaves", fits))["text"], F.lit(""))
+    places = F.array(*[F.array_position(f"_flat.{part}names", name) for name in names])
+    place = F.array_min(F.array_remove(places, 0))
+    return F.try_element_at(F.col(f"_flat.{part}texts"), place.cast("int"))
 
 
 def split_invoices(files: DataFrame) -> DataFrame:
     """One row per invoice element; a file with a single invoice stays whole."""
     text = decode_invoice(F.col("content"))
     body = F.regexp_replace(text, r"^\s*<\?xml[^>]*\?>", "")
-    parts = F.coalesce(
-        *[
-            F.when(F.size(found) > 1, found)
-            for tag in ENVELOPES
-            for found in [
-                F.regexp_extract_all("_body", F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0))
-            ]
-        ],
-        F.array("_body"),
-    )
+
+    def several(tag: str) -> Column:
+        """All elements of the tag, null unless there are several."""
+        element = rf"<{tag}(?:\s[^>]*)?>(?:[^<]++|<(?!/{tag}>))*+</{tag}>"
+        found = let(F.regexp_extract_all("_body", F.lit(element), F.lit(0)), lambda all_: F.when(F.size(all_) > 1, all_))
+        return F.when(F.contains("_body", F.lit(f"</{tag}>")), found)
+
+    parts = F.coalesce(*[several(tag) for tag in ENVELOPES], F.array("_body"))
     kept = [c for c in files.columns if c != "content"]
     whole = staged(files, {"_body": body}).drop("content")
     return (
@@ -143,27 +140,16 @@ def split_invoices(files: DataFrame) -> DataFrame:
 def _parsed(files: DataFrame) -> DataFrame:
     """Invoice fields, null where absent; malformed XML has none."""
     flat = staged(split_invoices(files), {"_flat": xml_leaves(F.col("xml"))}).drop("xml")
-    place = F.arrays_zip("_flat.names", "_flat.parents", "_flat.texts", "_flat.client")
-    leaves = F.transform(
-        place,
-        lambda leaf, i: F.struct(
-            leaf["parents"].alias("parent"),
-            i.alias("place"),
-            leaf["texts"].alias("text"),
-            leaf["names"].alias("name"),
-            leaf["client"].alias("client"),
-        ),
-    )
-    rows = staged(flat.withColumn("_ok", F.col("_flat.names").isNotNull()), {"_leaves": leaves})
-    has_client = F.exists("_leaves", lambda leaf: leaf["client"])
+    rows = flat.withColumn("_ok", F.col("_flat.names").isNotNull())
+    has_client = F.size("_flat.client_names") > 0
 
     def scoped(meaning: str) -> Column:
-        return F.when(has_client, _first(NAMES[meaning], client_only=True)).otherwise(
+        return F.when(has_client, _first(NAMES[meaning], "client_")).otherwise(
             _first(NAMES[meaning])
         )
 
     found = staged(
-        rows.drop("_flat"),
+        rows,
         {
             "number": _first(NAMES["number"]),
             "series": _first(NAMES["series"]),
@@ -176,7 +162,7 @@ def _parsed(files: DataFrame) -> DataFrame:
             "_has_client": F.coalesce(has_client, F.lit(False)),
             "_withheld": F.array_compact(F.array(*[_first((name,)) for name in WITHHELD])),
         },
-    ).drop("_leaves")
+    ).drop("_flat")
     any_amount = F.coalesce("_amount", "_net")
     # An unreadable withholding makes the invoice unreadable: its null goes through the sum.
     withheld = F.aggregate(

@@ -222,3 +222,12 @@ def test_utf16_by_mark_and_by_first_bytes(spark, order):
     got = df.select(statement_charset(F.col("content")), decode_statement(F.col("content")), decode_invoice(F.col("content"))).collect()
     assert [r[0] for r in got] == [f"utf-16{order}"] * 4 + ["utf-8"] * 2
     assert [r[1] for r in got] == [text, text, text, "", "", "x"] == [r[2] for r in got]
+
+
+def test_leaves_of_an_invoice_leave_python_in_lookup_order():
+    """By number of the parent element, then by place; the client's own apart, empty text as None."""
+    xml = "<a><b><Numero>7</Numero><Serie> </Serie></b><Tomador><x><Cnpj>1</Cnpj></x><Nome>N</Nome></Tomador><Numero>8</Numero></a>"
+    assert nfse._flatten(xml) == (
+        ["numero", "numero", "serie", "nome", "cnpj"], ["8", "7", None, "N", "1"], ["nome", "cnpj"], ["N", "1"],
+    )
+    assert nfse._flatten("<a><b></a>") is None
