@@ -619,6 +619,16 @@ def test_nn_descent_is_whole_when_rounds_run_out(store, monkeypatch, audited):
     assert got == [(2 * i, 2 * i + 1) for i in range(300)] and recall >= nn_descent.TARGET
 
 
+def test_nn_descent_asks_little_of_the_driver(store):
+    """Stages and their plans stay in the driver's memory: a round is few of them."""
+    _, rows = isolated_pairs(store, 100)
+    vectors = store.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    scheduler = store.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextStageId()
+    assert all(r.n_links == 1 for r in nn_descent.near_duplicates(vectors).collect())
+    assert scheduler.nextStageId() - before < 180
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
