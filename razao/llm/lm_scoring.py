@@ -1,17 +1,18 @@
 """Code lengths of texts under context-tree weighting.
 
-A token is a word's bytes and a space; the end of a text is one line feed. Every byte is eight
-binary decisions, each with a context tree over the bytes before it in the token (up to DEPTH,
-the space before the token included). A node has counts of zeros and ones; its
+A text is read as its words, each with a space after it, and one line feed as the end. Every byte
+is eight binary decisions, each with a context tree over the DEPTH bytes before it, which run on
+across spaces into the preceding words; before a text's first word stand one space and nothing.
+A node has counts of zeros and ones; its
 Krichevsky-Trofimov estimate is mixed with what its deeper contexts say, with the weight
 one half to either at every depth. Weights come from one upward pass over the counted nodes, the
 prediction of a byte from one downward pass. A context that training never met hands its weight
 to the longest one that it did meet, so that every prediction is a distribution.
 
-Scale: distinct words are counted once; distinct (context, byte) pairs are counted from the
-words and split by their last two context bytes, so that whole subtrees lie in one task; what is
-above has at most 65,280 nodes. A word's code length is looked up for the most frequent pairs in
-arrays of bounded size and joined for all others; documents do the same with words.
+Scale: distinct (context, byte) pairs are counted from the texts with sums inside each task and
+split by their last two context bytes, so that whole subtrees lie in one task; what is
+above has at most 65,280 nodes. Codes are looked up for the most frequent pairs in
+arrays of bounded size and joined for all others; the counts of words for the base score, too.
 
 Defined results: null and empty texts are the end token alone; a null doc_id counts as the
 empty text when the parts are drawn; repeated rows count and are scored each; without a training
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from razao.llm.common import Texts, bucket_of, signed, stored, text_chunks
+from razao.llm.common import WHITE, Texts, bucket_of, run_starts, signed, stored, text_chunks
 
 DEPTH = 6
-CACHED_PAIRS = 1 << 19
+CACHED_PAIRS = 1 << 21
 CACHED_WORDS = 1 << 18
 MERGE_ROWS = 800_000
+MERGE_PAIRS = 1 << 21
 SLICE_PAIRS = 1 << 15
 END = 0x20 << 8 | 0x0A  # the line feed in the context of a token's start
 
@@ -84,47 +86,83 @@ def _word_rows(keys, total, words, step: int = 50_000) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(signed(keys[part])), words[part], pa.array(total[part].astype(np.int64))], names=["hash", "word", "n"])
 
 
-def pairs_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, pair) for every byte and the space after it; a pair is context and byte."""
-    values = words.to_pylist()
-    sizes = np.fromiter((len(v) for v in values), np.int64, len(values))
-    raw = np.frombuffer(b" " * DEPTH + b"".join(v + b" " for v in values), np.uint8).astype(np.int64)
-    who = np.repeat(np.arange(len(values)), sizes + 1)
-    first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(values) else np.zeros(0, np.int64)
-    place = np.arange(len(who)) - first[who]
-    key = raw[DEPTH:].copy()
+def token_stream(t: Texts, ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, size of each text): the words with a space after each, then the end, if wanted."""
+    _, after, _ = t.words()
+    last = t.starts + t.sizes
+    copies = (~WHITE[t.bytes]).astype(np.int64)
+    copies[after] += 1
+    copies[last] += ends
+    upto = np.cumsum(copies)
+    before = upto - copies
+    out = np.repeat(t.bytes, copies)
+    out[before[after]] = 0x20
+    if ends:
+        out[upto[last] - 1] = 0x0A
+    return out, upto[last] - before[t.starts]
+
+
+def pairs_of(t: Texts, ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, pair) for every byte of the token streams; a pair is context and byte."""
+    raw, sizes = token_stream(t, ends)
+    who = np.repeat(np.arange(t.n), sizes)
+    padded = np.concatenate([np.zeros(DEPTH, np.uint8), raw])
+    key = raw.astype(np.int64)
     for d in range(1, DEPTH + 1):
-        # byte d places back; at place 0 that is the space before the token, beyond it nothing
-        back = raw[DEPTH - d : len(raw) - d]
-        back = np.where(place >= d, back, np.where(place == d - 1, 0x20, 0))
-        key |= back << (8 * d)
+        key |= padded[DEPTH - d : len(padded) - d].astype(np.int64) << (8 * d)
+    # nothing of the text before: a space, then zeros
+    first = np.cumsum(sizes) - sizes
+    for place in range(DEPTH):
+        at = first[sizes > place] + place
+        key[at] = key[at] & ((1 << 8 * (place + 1)) - 1) | 0x20 << 8 * (place + 1)
     return who, key
 
 
-def pair_counts(vocabulary: DataFrame, documents: int) -> DataFrame:
-    """(pair, n): distinct contexts with their next byte, also those of training count 0."""
+def pair_counts(texts: DataFrame, documents: int | None = None) -> DataFrame:
+    """(pair, n): distinct contexts with their next byte, also those of training count 0.
+
+    ``texts`` has the text as ``word`` and how often it counts as ``n``. Every text has its end,
+    unless a number of ``documents`` is given: then the texts are parts, and so many ends stand
+    alone.
+    """
+    ends = documents is None
+
+    def merged(keys, n):
+        # sorted runs, which a stable sort merges
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = run_starts(key)
+        return key[starts], np.add.reduceat(np.concatenate(n)[order], starts) if len(starts) else np.zeros(0, np.int64)
 
     def count(batches):
         keys, n, rows = [], [], 0
-        for batch in batches:
-            who, key = pairs_of(batch.column(0))
-            own = np.asarray(batch.column(1)).astype(float)
-            k, inverse = np.unique(key, return_inverse=True)
-            keys.append(k)
-            n.append(np.bincount(inverse, own[who], minlength=len(k)))
-            rows += len(k)
-            if rows > MERGE_ROWS:
-                k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-                keys, n, rows = [k], [np.bincount(inverse, np.concatenate(n), minlength=len(k))], len(k)
-                if rows > MERGE_ROWS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(n[0].astype(np.int64))], names=["pair", "n"])
+        for batch, found in text_chunks(batches, "word"):
+            who, key = pairs_of(Texts(found, fold=True), ends)
+            own = np.asarray(batch.column(1))[who]
+            for times in np.unique(own):
+                k, repeats = np.unique(key[own == times], return_counts=True)
+                keys.append(k)
+                n.append(repeats * times)
+                rows += len(k)
+            if rows > MERGE_PAIRS:
+                k, total = merged(keys, n)
+                keys, n, rows = [k], [total], len(k)
+                if rows > MERGE_PAIRS * 3 // 4:
+                    yield from _pair_rows(k, total)
                     keys, n, rows = [], [], 0
         if keys:
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(inverse, np.concatenate(n), minlength=len(k)).astype(np.int64))], names=["pair", "n"])
+            yield from _pair_rows(*merged(keys, n))
 
-    end = vocabulary.sparkSession.createDataFrame([(END, documents)], "pair long, n long")
-    return vocabulary.select("word", "n").mapInArrow(count, "pair long, n long").union(end).groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = texts.select("word", F.col("n").cast("long").alias("n")).mapInArrow(count, "pair long, n long")
+    if not ends:
+        counted = counted.union(texts.sparkSession.createDataFrame([(END, documents)], "pair long, n long"))
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _pair_rows(keys: np.ndarray, total: np.ndarray, step: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(keys), step):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + step]), pa.array(total[at : at + step])], names=["pair", "n"])
 
 
 # ---------------------------------------------------------------- the tree
@@ -285,69 +323,78 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _listed(who: np.ndarray, what: np.ndarray, names: np.ndarray, n: int) -> list[pa.ListArray]:
+    """For each of ``n`` texts the distinct names it holds, and how often."""
+    pair, repeats = np.unique(who * len(names) + what, return_counts=True)
+    who, what = (pair // len(names), pair % len(names)) if len(names) else (pair, pair)
+    upto = pa.array(np.searchsorted(who, np.arange(n + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(upto, pa.array(v)) for v in (names[what], repeats.astype(np.int64))]
+
+
+def code_sums(t: Texts, ends: bool, keys: np.ndarray, values: np.ndarray) -> tuple:
+    """(sum of the codes at hand, the other pairs, how often) for each text."""
+    who, key = pairs_of(t, ends)
+    pair, inverse = np.unique(key, return_inverse=True)
+    at, found = _find(keys, pair)
+    code = np.where(found, values[at], 0.0) if len(keys) else np.zeros(len(pair))
+    rest = np.flatnonzero(~found[inverse])
+    return np.bincount(who, code[inverse], minlength=t.n).astype(float), *_listed(who[rest], inverse[rest], pair, t.n)
+
+
+def other_codes(summed: DataFrame, row: str, codes: DataFrame) -> DataFrame:
+    """(row, code2): the codes of the pairs that were not at hand, summed by ``row``."""
+    rest = summed.select(row, F.explode(F.arrays_zip("pairs", "times")).alias("p")).select(row, F.col("p.pairs").alias("pair"), F.col("p.times").alias("k"))
+    return rest.join(codes.select("pair", F.col("code").alias("c")), "pair").groupBy(row).agg(F.sum(F.col("k") * F.col("c")).alias("code2"))
+
+
 def word_codes(vocabulary: DataFrame, codes: DataFrame, cached: int = CACHED_PAIRS) -> DataFrame:
-    """(hash, n, code): log10 probability of every word with the space after it."""
-    spark = vocabulary.sparkSession
-    keys, values = _sorted_arrays(most_frequent(codes, cached), "pair", "code")
-    held = spark.sparkContext.broadcast((keys, values))
+    """(hash, n, code): log10 probability of every word with the space after it, as a text's first."""
+    held = vocabulary.sparkSession.sparkContext.broadcast(_sorted_arrays(most_frequent(codes, cached), "pair", "code"))
 
     def add(batches):
-        keys, values = held.value
-        for batch in batches:
-            who, key = pairs_of(batch.column(1))
-            at, found = _find(keys, key)
-            sums = np.bincount(who[found], values[at[found]] if len(values) else None, minlength=batch.num_rows)
-            rest = ~found
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who[rest], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(key[rest], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sums.astype(float)), lists], names=["hash", "n", "code", "rest"])
-
-    summed = stored(vocabulary.select("hash", "word", "n").mapInArrow(add, "hash long, n long, code double, rest array<long>"), "words")
-    open_words = summed.where(F.size("rest") > 0)
-    more = open_words.select("hash", F.explode("rest").alias("pair")).join(codes.select("pair", F.col("code").alias("c")), "pair").groupBy("hash").agg(F.sum("c").alias("c"))
-    closed = open_words.join(more, "hash").select("hash", "n", (F.col("code") + F.col("c")).alias("code"))
-    return summed.where(F.size("rest") == 0).select("hash", "n", "code").union(closed)
-
-
-def score(docs: DataFrame, words: DataFrame, end_code: float, total: int, distinct: int, end_count: int, cached: int = CACHED_WORDS) -> DataFrame:
+        for batch, words in text_chunks(batches, "word"):
+            sums, pairs, times = code_sums(Texts(words, fold=True), False, *held.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sums), pairs, times], names=["hash", "n", "code", "pairs", "times"])
+
+    summed = stored(vocabulary.select("hash", "word", "n").mapInArrow(add, "hash long, n long, code double, pairs array<long>, times array<long>"), "words")
+    out = summed.join(other_codes(summed, "hash", codes), "hash", "left")
+    return out.select("hash", "n", (F.col("code") + F.coalesce("code2", F.lit(0.0))).alias("code"))
+
+
+def score(docs: DataFrame, words: DataFrame, codes: DataFrame, total: int, distinct: int, end_count: int, cached: int = CACHED_WORDS, cached_pairs: int = CACHED_PAIRS) -> DataFrame:
     """Sums over each document's tokens of the base and the model's logarithms."""
     spark = docs.sparkSession
-    hashes, counts, codes = _sorted_arrays(most_frequent(words, cached), "hash", "n", "code")
-    held = spark.sparkContext.broadcast((hashes, counts, codes))
+    held = spark.sparkContext.broadcast((_sorted_arrays(most_frequent(words, cached), "hash", "n"), _sorted_arrays(most_frequent(codes, cached_pairs), "pair", "code")))
     denominator = np.log10(total + distinct + 1.0)
     end_base = np.log10(end_count + 1.0) - denominator
 
     def add(batches):
-        hashes, counts, codes = held.value
+        (hashes, counts), at_hand = held.value
         for batch, texts in text_chunks(batches):
             t = Texts(texts, fold=True)
             starts, ends, owner = t.words()
             key, inverse = np.unique(signed(t.hashes(starts, ends)), return_inverse=True)
             at, found = _find(hashes, key)
             c = np.where(found, counts[at], 0) if len(hashes) else np.zeros(len(key))
-            code = np.where(found, codes[at], 0.0) if len(hashes) else np.zeros(len(key))
             base = np.where(found, np.log10(c + 1.0) - denominator, 0.0)
             n = len(texts)
             tokens = np.bincount(owner, minlength=n) + 1
             known = np.bincount(owner, (c > 0)[inverse], minlength=n).astype(np.int64) + (end_count > 0)
             size = t.sizes + 0
-            # the others: one row per document and distinct word
+            # the others: one row per document and distinct word or pair
             other = np.flatnonzero(~found[inverse])
-            pair, repeats = np.unique(owner[other] * len(key) + inverse[other], return_counts=True)
-            who, what = (pair // len(key), pair % len(key)) if len(key) else (pair, pair)
-            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(n + 1)), pa.int32()), pa.array(v)) for v in (key[what], repeats.astype(np.int64))]
+            code, pairs, times = code_sums(t, True, *at_hand)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), batch.column(3), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(size), pa.array(np.bincount(owner, base[inverse], minlength=n) + end_base), pa.array(np.bincount(owner, code[inverse], minlength=n) + end_code), *lists],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base", "code", "words", "repeats"],
+                [batch.column(1), batch.column(2), batch.column(3), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(size), pa.array(np.bincount(owner, base[inverse], minlength=n) + end_base), pa.array(code), *_listed(owner[other], inverse[other], key, n), pairs, times],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base", "code", "words", "repeats", "pairs", "times"],
             )
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (~F.col("train")).alias("held_out"))
-    part = stored(rows.mapInArrow(add, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base double, code double, words array<long>, repeats array<long>"), "parts")
+    part = stored(rows.mapInArrow(add, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base double, code double, words array<long>, repeats array<long>, pairs array<long>, times array<long>"), "parts")
     rest = part.select("row", F.explode(F.arrays_zip("words", "repeats")).alias("w")).select("row", F.col("w.words").alias("hash"), F.col("w.repeats").alias("k"))
     base = F.log10(F.col("n") + 1.0) - F.lit(float(denominator))
-    rest = rest.join(words, "hash").groupBy("row").agg(
-        F.sum(F.col("k") * base).alias("base2"), F.sum(F.col("k") * F.col("code")).alias("code2"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known2")
-    )
-    out = part.drop("words", "repeats").join(rest, "row", "left")
+    rest = rest.join(words.select("hash", "n"), "hash").groupBy("row").agg(F.sum(F.col("k") * base).alias("base2"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known2"))
+    out = part.drop("words", "repeats", "pairs", "times").join(rest, "row", "left").join(other_codes(part, "row", codes), "row", "left")
     model = F.col("code") + F.coalesce("code2", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known2", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
@@ -362,7 +409,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     documents = docs.where("train").count()
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     total, distinct = sums.n + documents, sums.v + (documents > 0)
-    codes = stored(pair_codes(pair_counts(vocabulary, documents)), "codes")
-    words = stored(word_codes(vocabulary, codes), "word-codes")
-    end = codes.where(F.col("pair") == END).first()
-    return score(docs, words, float(end.code), total, distinct, documents)
+    texts = docs.select(F.col("text").cast("string").alias("word"), F.col("train").cast("long").alias("n"))
+    codes = stored(pair_codes(stored(pair_counts(texts), "pairs")), "codes")
+    return score(docs, vocabulary, codes, total, distinct, documents)

@@ -296,6 +296,58 @@ def test_tree_against_recursion(store):
         assert math.isclose(got[r.hash], want, rel_tol=1e-6) and math.isclose(joined[r.hash], want, rel_tol=1e-6)
 
 
+def stream_pairs(text):
+    data = b"\0" * (lm_scoring.DEPTH - 1) + b" " + b"".join(w.encode() + b" " for w in WORD.findall((text or "").translate(LOWER))) + b"\n"
+    return [(data[at - lm_scoring.DEPTH : at], data[at]) for at in range(lm_scoring.DEPTH, len(data))]
+
+
+def plain_score(training, text):
+    """log10 P(text): every byte's trees, grown one training byte after the other."""
+    total = 0.0
+    for ctx, byte in stream_pairs(text):
+        for s in range(8):
+            part, bit = byte >> (8 - s), byte >> (7 - s) & 1
+            counts, order = {}, [(c, b >> (7 - s) & 1) for c, b in training if b >> (8 - s) == part]
+            for c, b in order:
+                for d in range(lm_scoring.DEPTH + 1):
+                    counts.setdefault(c[len(c) - d :], [0, 0])[b] += 1
+
+            def kt(node, counts=counts):
+                return math.prod([(k + 0.5) for k in range(counts[node][0])] + [(k + 0.5) for k in range(counts[node][1])]) / math.factorial(sum(counts[node]))
+
+            def pw(node, counts=counts, kt=kt):
+                if len(node) == lm_scoring.DEPTH:
+                    return kt(node)
+                return (kt(node) + math.prod(pw(c) for c in counts if len(c) == len(node) + 1 and c.endswith(node))) / 2
+
+            p, left = 0.0, 1.0
+            for d in range(lm_scoring.DEPTH + 1):
+                node = ctx[len(ctx) - d :]
+                zeros = counts.get(node, [0, 0])
+                last = d == lm_scoring.DEPTH or ctx[len(ctx) - d - 1 :] not in counts
+                stop = 1.0 if last else kt(node) / 2 / pw(node)
+                p += left * stop * (zeros[bit] + 0.5) / (sum(zeros) + 1)
+                left *= 1 - stop
+            total += math.log10(p)
+    return total
+
+
+def test_contexts_run_across_words(store, monkeypatch):
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [*zip(train, ["the cat ran\tHome", "a cat  ate", "the red fox", None, "cat", " \n"], strict=False), *zip(held, ["the cat ate", "ate cat the", "fox", ""], strict=False)]
+    docs = store.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs).collect()}
+    training = [p for i, t in rows if i in train for p in stream_pairs(t)]
+    for i, text in rows:
+        assert math.isclose(got[i], plain_score(training, text), rel_tol=1e-6)
+    assert got[held[0]] > got[held[1]] + 0.5  # the same words in an order that training has not seen
+    # few words and pairs at hand, the others joined
+    monkeypatch.setattr(lm_scoring.score, "__defaults__", (2, 5))
+    joined = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs).collect()}
+    assert all(math.isclose(joined[i], got[i], rel_tol=1e-9) for i in got)
+
+
 # ---------------------------------------------------------------- 5 and 6
 
 
