@@ -94,53 +94,64 @@ def assign_classes(pairs: DataFrame) -> DataFrame:
     """Greedy assignment between classes of interchangeable rows.
 
     ``pairs`` has ``left_id``, ``right_id``, ``left_count``, ``right_count`` (members of each
-    class) and ``quality``, a struct that sorts the best pair first and is a strict order.
+    class) and ``quality``, a struct that sorts the best pair first and is a strict order among
+    the pairs of a class. It travels with every pair, so it should hold numbers, not texts.
     Returns ``left_id``, ``right_id``, ``left_from``, ``right_from`` and ``taken``: members
     ``left_from …`` of the left class go to members ``right_from …`` of the right one.
 
-    Each round is two map-side aggregates and three joins on the class ids; at least one
-    class is used up per mutual best pair, and most are in the first rounds. No group is ever
-    gathered in one task. The rounds run until no pair is left.
+    A round deals the pairs by left class and by right class, once each, and writes one table:
+    the mutual best pairs and the pairs whose right class has members left. Which left classes
+    are used up is seen when the next round deals by left class. At least one class is used up
+    per mutual best pair, and most are in the first rounds. A task holds the pairs of a class,
+    never those of a group. The rounds run until no pair is left.
     """
-    state = cut_lineage(
-        pairs.select("left_id", "right_id", "left_count", "right_count", "quality")
-        .withColumn("left_left", F.col("left_count"))
-        .withColumn("right_left", F.col("right_count"))
+    by_left, by_right = W.partitionBy("left_id"), W.partitionBy("right_id")
+    fixed = ["left_id", "right_id", "left_count", "right_count"]
+    zero = F.lit(0)
+    state = pairs.select(
+        *fixed,
+        F.col("left_count").alias("left_left"),
+        F.col("right_count").alias("right_left"),
+        "quality",
     )
     rounds: list[DataFrame] = []
-    while not state.isEmpty():
-        best_left = state.groupBy("left_id").agg(
-            F.min(F.struct("quality", "right_id")).alias("_b")
-        ).select("left_id", F.col("_b.right_id").alias("right_id"))
-        best_right = state.groupBy("right_id").agg(
-            F.min(F.struct("quality", "left_id")).alias("_b")
-        ).select("right_id", F.col("_b.left_id").alias("left_id"))
-        mutual = best_left.join(best_right, ["left_id", "right_id"])
-        taken = cut_lineage(
-            state.join(mutual, ["left_id", "right_id"]).select(
+    while True:
+        mutual = F.col("_best") & (F.col("quality") == F.min("quality").over(by_right))
+        taken = F.when(F.col("_mutual"), F.least("left_left", "right_left"))
+        written = cut_lineage(
+            state.withColumn("_best", F.col("quality") == F.min("quality").over(by_left))
+            .withColumn("_mutual", mutual)
+            .withColumn("taken", taken)
+            .withColumn("_used", F.coalesce(F.max("taken").over(by_right), zero))
+            .where(F.col("_mutual") | (F.col("right_left") > F.col("_used")))
+            .select(
+                *fixed,
+                "left_left",
+                F.when(F.col("_mutual"), F.col("right_left"))
+                .otherwise(F.col("right_left") - F.col("_used"))
+                .alias("right_left"),
+                F.when(~F.col("_mutual"), F.col("quality")).alias("quality"),
+                "taken",
+            )
+        )
+        rounds.append(
+            written.where(F.col("taken").isNotNull()).select(
                 "left_id",
                 "right_id",
                 (F.col("left_count") - F.col("left_left")).alias("left_from"),
                 (F.col("right_count") - F.col("right_left")).alias("right_from"),
-                F.least("left_left", "right_left").alias("taken"),
+                "taken",
             )
         )
-        rounds.append(taken)
-        zero = F.lit(0)
-        state = cut_lineage(
-            state.join(taken.select("left_id", F.col("taken").alias("_l")), "left_id", "left")
-            .join(taken.select("right_id", F.col("taken").alias("_r")), "right_id", "left")
-            .withColumn("left_left", F.col("left_left") - F.coalesce("_l", zero))
-            .withColumn("right_left", F.col("right_left") - F.coalesce("_r", zero))
-            .where((F.col("left_left") > 0) & (F.col("right_left") > 0))
+        if written.where(F.col("taken").isNull()).isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        state = (
+            written.withColumn("_used", F.coalesce(F.max("taken").over(by_left), zero))
+            .where(F.col("taken").isNull() & (F.col("left_left") > F.col("_used")))
             .select(
-                "left_id", "right_id", "left_count", "right_count", "quality", "left_left", "right_left"
+                *fixed, (F.col("left_left") - F.col("_used")).alias("left_left"), "right_left", "quality"
             )
         )
-    if not rounds:
-        empty = "left_id string, right_id string, left_from bigint, right_from bigint, taken bigint"
-        return pairs.sparkSession.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, rounds)
 
 
 def greedy_in_group(pairs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
